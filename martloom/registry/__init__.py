@@ -6,7 +6,7 @@ from importlib import import_module
 
 from martloom.registry.common import Registry
 
-MODULES = ("retail", "plans")
+MODULES = ("retail", "plans", "spec")
 
 
 def load() -> Registry:
