@@ -24,36 +24,27 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/martloom/{label}-{uuid.uuid4().hex}"
 
 
-CUSTOMER_TEXT = """cast(c_custkey as {text}) as customer_id, concat('"', c_name, '", ', c_mktsegment) as label,
-  case c_mktsegment when 'BUILDING' then 'NULL' when 'MACHINERY' then 'null' when 'FURNITURE' then ''
-    when 'HOUSEHOLD' then ' NULL ' else c_mktsegment end as segment"""
+CUSTOMER_TEXT = (
+    "cast(c_custkey as {text}) as customer_id",
+    """concat('"', c_name, '", ', c_mktsegment) as label""",
+    """case c_mktsegment when 'BUILDING' then 'NULL' when 'MACHINERY' then 'null' when 'FURNITURE' then ''
+    when 'HOUSEHOLD' then ' NULL ' else c_mktsegment end as segment""",
+)
 
 
 @REG.query(
     "raw_load",
-    f"""with t as (select {CUSTOMER_TEXT.format(text='varchar')} from customer)
+    f"""with t as (select {', '.join(CUSTOMER_TEXT).format(text='varchar')} from customer)
     select customer_id, label, case when segment in ('', 'NULL', 'null') then null else segment end as segment from t""",
 )
 def raw_load(spark: SparkSession, sf: str) -> DataFrame:
     """Writes the customers as quoted CSV, then loads them back as raw text."""
-    source = table(spark, sf, "customer").selectExpr(*_split(CUSTOMER_TEXT.format(text="string")))
+    source = table(spark, sf, "customer").selectExpr(*(c.format(text="string") for c in CUSTOMER_TEXT))
     path = fresh_folder(spark, "raw-load")
     raw_csv.write_csv(source, path)
     return raw_csv.read_raw_csv(spark, path, ["customer_id", "label", "segment"])
 
 
-def _split(columns: str) -> list[str]:
-    """Top-level commas of a select list."""
-    parts, depth, quoted, start = [], 0, False, 0
-    for at, ch in enumerate(columns):
-        quoted ^= ch == "'"
-        depth += (ch == "(") - (ch == ")") if not quoted else 0
-        if ch == "," and not depth and not quoted:
-            parts.append(columns[start:at])
-            start = at + 1
-    return [*parts, columns[start:]]
-
-
 REG.add(
     "raw_preview",
     lambda s, d: raw_csv.preview(

@@ -16,26 +16,28 @@ EVENT_COLUMNS = [
     "event_id", "user_id", "event_type", "event_day", "us_day", "amount", "units", "flag", "note", "mixed", "props",
 ]
 # Text columns spelled the same way in both engines; only the day formats differ.
-EVENT_TEXT = """
-  cast(event_id as {text}) as event_id, cast(user_id as {text}) as user_id, event_type,
-  {day} as event_day, {us_day} as us_day,
-  case event_type when 'error' then '' when 'view' then 'NULL'
-    else cast(cast(value as decimal(18,2)) as {text}) end as amount,
-  concat(' ', cast(cast(floor(value) as bigint) as {text}), '  ') as units,
-  case event_type when 'click' then 'Yes' when 'view' then 'no' else 'N' end as flag,
-  case event_type when 'click' then ' ' when 'view' then 'null' else 'NULL' end as note,
-  case event_type when 'signup' then 'Null' else '12' end as mixed, props"""
-EVENTS_SQL = "ev as (select event_id as pos," + EVENT_TEXT.format(
+EVENT_TEXT = (
+    "cast(event_id as {text}) as event_id",
+    "cast(user_id as {text}) as user_id",
+    "event_type",
+    "{day} as event_day",
+    "{us_day} as us_day",
+    """case event_type when 'error' then '' when 'view' then 'NULL'
+    else cast(cast(value as decimal(18,2)) as {text}) end as amount""",
+    "concat(' ', cast(cast(floor(value) as bigint) as {text}), '  ') as units",
+    "case event_type when 'click' then 'Yes' when 'view' then 'no' else 'N' end as flag",
+    "case event_type when 'click' then ' ' when 'view' then 'null' else 'NULL' end as note",
+    "case event_type when 'signup' then 'Null' else '12' end as mixed",
+    "props",
+)
+EVENTS_SQL = "ev as (select event_id as pos, " + ", ".join(EVENT_TEXT).format(
     text="varchar", day="strftime(ts, '%Y-%m-%d')", us_day="strftime(ts, '%m/%d/%Y')"
 ) + " from events)"
 
 
 def events_text(spark: SparkSession, sf: str) -> DataFrame:
-    columns = EVENT_TEXT.format(
-        text="string", day="date_format(ts, 'yyyy-MM-dd')", us_day="date_format(ts, 'MM/dd/yyyy')"
-    )
-    table(spark, sf, "events").createOrReplaceTempView("__events_for_text")
-    return spark.sql(f"select event_id as pos, {columns} from __events_for_text")
+    spelled = {"text": "string", "day": "date_format(ts, 'yyyy-MM-dd')", "us_day": "date_format(ts, 'MM/dd/yyyy')"}
+    return table(spark, sf, "events").selectExpr("event_id as pos", *(c.format(**spelled) for c in EVENT_TEXT))
 
 
 def long_sql(source: str, columns) -> str:
