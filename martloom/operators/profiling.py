@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martloom.functions.names import normalize_header, strip_all
+from martloom.sources.inline import rows
 
 SAMPLE_SIZE = 5
 # Words read as missing, and words read as booleans.
@@ -58,13 +59,13 @@ def is_identifier_name(name: Column) -> Column:
 
 
 def value_counts(df: DataFrame, columns: list[str], position: Column) -> DataFrame:
-    """(raw_column_name, value, rows, first_seen); missing values share one NULL row per column."""
+    """(raw_column_name, value, row_total, first_seen); missing values share one NULL row per column."""
     long = df.select(position.alias("__position"), *(F.col(c) for c in columns)).unpivot(
         ["__position"], columns, "raw_column_name", "value"
     )
     return (
         long.groupBy("raw_column_name", meaningful(F.col("value")).alias("value"))
-        .agg(F.count("*").alias("rows"), F.min("__position").alias("first_seen"))
+        .agg(F.count("*").alias("row_total"), F.min("__position").alias("first_seen"))
     )
 
 
@@ -85,8 +86,8 @@ def summarize(counts: DataFrame) -> DataFrame:
     value = F.col("value")
     every = lambda test: F.coalesce(F.bool_and(test), F.lit(True))
     summary = counts.groupBy("raw_column_name").agg(
-        F.sum("rows").alias("row_count"),
-        F.sum(F.when(value.isNull(), F.col("rows")).otherwise(0)).alias("null_count"),
+        F.sum("row_total").alias("row_count"),
+        F.sum(F.when(value.isNull(), F.col("row_total")).otherwise(0)).alias("null_count"),
         F.count("value").alias("unique_count"),
         every(F.lower(value).isin(*BOOLEAN_WORDS)).alias("all_boolean"),
         every(is_integer_text(value)).alias("all_integer"),
@@ -131,7 +132,7 @@ def profile(df: DataFrame, columns: list[str], position: Column) -> DataFrame:
     first. A table without rows still gets one row per column."""
     counts = value_counts(df, columns, position)
     found = summarize(counts).join(samples(counts), "raw_column_name", "left")
-    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "raw_column_name string")
+    listed = rows(df.sparkSession, ["raw_column_name"], [(c,) for c in columns])
     complete = listed.join(found, "raw_column_name", "left").select(
         "raw_column_name",
         normalize_header(F.col("raw_column_name")).alias("normalized_column_name"),
