@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,11 +65,21 @@ def items(doc: Column, path: str = "$") -> Column:
     return F.when(is_list(doc, path), F.try_variant_get(doc, path, "array<variant>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` computed once; a plain reuse would repeat the whole expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def within(cleaned: Column, max_length: int) -> Column:
+    return F.when((F.length(cleaned) > 0) & (F.length(cleaned) <= max_length), cleaned)
+
+
 def safe_text(value: Column, max_length: int, collapse: bool = True) -> Column:
     """Cleaned text, NULL when blank or too long."""
     cleaned = collapse_spaces(value) if collapse else strip_all(value)
-    return F.when((F.length(cleaned) > 0) & (F.length(cleaned) <= max_length), cleaned)
+    return let(cleaned, lambda c: within(c, max_length))
 
 
-def bad_text(value: Column, max_length: int) -> Column:
-    return safe_text(value, max_length).isNull()
+def safe_texts(values: Column, max_length: int) -> Column:
+    """``safe_text`` for each entry; unusable entries become NULL."""
+    return F.transform(F.transform(values, collapse_spaces), lambda c: within(c, max_length))

@@ -16,7 +16,7 @@ def strip_all(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return F.regexp_replace(strip_all(col), rf"{WHITESPACE}+", " ")
+    return F.trim(F.regexp_replace(col, rf"{WHITESPACE}+", " "))
 
 
 def is_safe_name(col: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martloom.operators.unnest import unnest
+
 # The layers every dataset passes through, in order.
 LAYERS = (
     ("raw_input", "Raw Input"),
@@ -46,18 +48,19 @@ def layer_edges(datasets: DataFrame) -> DataFrame:
     return datasets.select("dataset_id", F.inline(pairs)).withColumn("edge_type", F.lit("prepares"))
 
 
+def _marts(specs: DataFrame) -> DataFrame:
+    return unnest(specs, ["proposal_id", "dimensions"], "marts", "m")
+
+
 def relationships(specs: DataFrame) -> DataFrame:
     """Fact-to-dimension links by key and mart-to-dimension links by shared fields, one row each."""
-    fact = specs.select(
-        "proposal_id", F.col("spec.fact_table.name").alias("from_model"), F.explode("spec.dimensions").alias("d")
-    ).select(
-        "proposal_id", "from_model", F.col("d.name").alias("to_model"),
+    fact = unnest(specs, ["proposal_id", "fact_name"], "dimensions", "d").select(
+        "proposal_id", F.col("fact_name").alias("from_model"), F.col("d.name").alias("to_model"),
         F.lit("fact_to_dimension").alias("relationship_type"), F.array("d.key_column").alias("join_fields"),
     )
     shared = F.filter("m.dimensions", lambda f: F.array_contains(F.col("d.columns"), f))
     marts = (
-        specs.select("proposal_id", "spec.dimensions", F.explode("spec.marts").alias("m"))
-        .select("proposal_id", "m", F.explode("dimensions").alias("d"))
+        unnest(_marts(specs), ["proposal_id", "m"], "dimensions", "d")
         .select(
             "proposal_id", F.col("m.name").alias("from_model"), F.col("d.name").alias("to_model"),
             F.lit("mart_to_dimension").alias("relationship_type"), shared.alias("join_fields"),
@@ -69,7 +72,7 @@ def relationships(specs: DataFrame) -> DataFrame:
 
 def related_dimensions(specs: DataFrame) -> DataFrame:
     """Per mart, the dimensions that hold at least one of its fields, in spec order."""
-    mart = specs.select("proposal_id", "spec.dimensions", F.explode("spec.marts").alias("m"))
+    mart = _marts(specs)
     hits = F.filter("dimensions", lambda d: F.arrays_overlap(d["columns"], F.col("m.dimensions")))
     return mart.select(
         "proposal_id", F.col("m.name").alias("mart"),
@@ -79,9 +82,9 @@ def related_dimensions(specs: DataFrame) -> DataFrame:
 
 def column_owners(specs: DataFrame) -> DataFrame:
     """The first dimension, in spec order, that lists each column."""
-    listed = (
-        specs.select("proposal_id", F.posexplode("spec.dimensions").alias("position", "d"))
-        .select("proposal_id", "position", F.col("d.name").alias("dimension"), F.explode("d.columns").alias("column"))
+    each = unnest(specs, ["proposal_id"], "dimensions", "d", "position")
+    listed = each.select(
+        "proposal_id", "position", F.col("d.name").alias("dimension"), F.explode("d.columns").alias("column")
     )
     return listed.groupBy("proposal_id", "column").agg(F.min_by("dimension", "position").alias("owner"))
 
@@ -94,7 +97,7 @@ def name_tokens(text):
 
 def matching_dimensions(specs: DataFrame) -> DataFrame:
     """Dimensions shown next to each mart: those sharing a field, else those sharing a name token."""
-    mart = specs.select("proposal_id", "spec.dimensions", F.explode("spec.marts").alias("m"))
+    mart = _marts(specs)
     fields = F.transform("m.dimensions", F.lower)
     explicit = F.filter(
         "dimensions",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from martloom.functions import documents as D
 from martloom.functions.names import is_safe_name, strip_all
 from martloom.functions.text import PLAN_SECRET_MARKERS, contains_any
+from martloom.operators.unnest import unnest
 from martloom.plans.spec import MEASURE_ROLES, NUMERIC_TYPES
 
 # Roles a mapping may have, and those that make a column a label.
@@ -97,11 +98,8 @@ def entity_hints(mappings: DataFrame) -> DataFrame:
         F.struct(F.lit("grain_evidence").alias("hint"), grain.alias("columns"), F.lit(1).alias("at_least")),
     )
     hints = F.concat(F.transform(ids, entity), fixed)
-    return (
-        names.select("dataset_id", F.inline(hints))
-        .filter(F.size("columns") >= F.col("at_least"))
-        .select("dataset_id", "hint", "columns")
-    )
+    found = unnest(names, ["dataset_id"], hints, "h").filter(F.size("h.columns") >= F.col("h.at_least"))
+    return found.select("dataset_id", "h.hint", "h.columns")
 
 
 def review_suggestions(payloads: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -121,19 +119,17 @@ def review_suggestions(payloads: DataFrame, profiles: DataFrame) -> DataFrame:
         .when(F.coalesce(F.size("columns"), F.lit(0)) < 1, "columns_required")
     )
     names = F.transform("columns", lambda c: F.trim(D.text(c, "$.raw_column_name")))
-    one = doc.withColumn("stop", stop).withColumn("names", names)
-    stopped = one.filter(F.col("stop").isNotNull()).select(
-        "dataset_id", F.lit(-1).alias("position"), F.col("stop").alias("violations")
-    )
-    item = one.filter(F.col("stop").isNull()).select(
-        "dataset_id", "names", F.posexplode("columns").alias("position", "item")
+    # A stopped payload has no items, so the outer generator gives it the one row that carries the stop.
+    item = doc.withColumns({"stop": stop, "names": names}).select(
+        "dataset_id", "stop", "names",
+        F.posexplode_outer(F.when(F.col("stop").isNull(), F.col("columns"))).alias("position", "item"),
     )
     i = F.col("item")
     raw = D.safe_text(D.text(i, "$.raw_column_name"), 255, collapse=False)
     suggested = D.safe_text(D.text(i, "$.suggested_name"), 64, collapse=False)
     role = D.safe_text(D.text(i, "$.semantic_role"), 32, collapse=False)
     fields = item.select(
-        "dataset_id", "position",
+        "dataset_id", "stop", F.coalesce("position", F.lit(-1)).alias("position"),
         D.is_object(i).alias("is_object"),
         raw.alias("raw_column_name"),
         (F.array_position("names", raw) < F.col("position") + 1).alias("repeated"),
@@ -160,11 +156,12 @@ def review_suggestions(payloads: DataFrame, profiles: DataFrame) -> DataFrame:
     review = F.col("asked_review") | F.coalesce(c < REVIEW_BELOW, F.lit(False)) | (
         F.coalesce("semantic_role", F.lit("")) == "unknown"
     )
-    good = checked.select(
-        "dataset_id", "position", F.array_join(broken, "|").alias("violations"), "raw_column_name",
-        "suggested_name", "semantic_role", F.round(c, 4).alias("confidence"), review.alias("needs_review"),
+    return checked.select(
+        "dataset_id", "position",
+        F.coalesce("stop", F.array_join(broken, "|")).alias("violations"), "raw_column_name",
+        "suggested_name", "semantic_role", F.round(c, 4).alias("confidence"),
+        F.when(F.col("stop").isNull(), review).alias("needs_review"),
     )
-    return good.unionByName(stopped, allowMissingColumns=True)
 
 
 def edit_problem(edits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from martloom.functions import documents as D
 from martloom.functions.names import is_safe_name
 from martloom.functions.text import SPEC_SECRET_MARKERS, contains_any
+from martloom.operators.unnest import unnest
 
 # List and text caps. Longer lists are cut, longer texts are refused.
 KEY_ITEMS, MEASURE_ITEMS, DEGENERATE_ITEMS, DATE_ITEMS = 6, 8, 8, 4
@@ -23,92 +24,127 @@ DEFAULT_MART_GRAIN = "one row per mart grouping"
 BASE_TERMS = ("sales", "performance", "trend", "monthly", "month", "compare", "comparison", "breakdown")
 
 
-def _no_text() -> Column:
-    return F.array().cast("array<string>")
+LISTS = {
+    "keys": KEY_ITEMS, "measures": MEASURE_ITEMS, "degenerate_dimensions": DEGENERATE_ITEMS,
+    "date_columns": DATE_ITEMS,
+}
+PAYLOAD_TYPE = (
+    "grain string, fact_table struct<name:string,grain:string,keys:array<string>,measures:array<string>,"
+    "degenerate_dimensions:array<string>,date_columns:array<string>>,"
+    "dimensions array<struct<name:string,key_column:string,columns:array<string>>>,"
+    "marts array<struct<name:string,grain:string,dimensions:array<string>,metrics:array<string>>>"
+)
 
 
-def _texts(doc: Column, path: str, cap: int) -> Column:
+def _texts(values: Column, cap: int) -> Column:
     """Cut, cleaned and de-duplicated list. Unusable entries stay as NULL for the rule that reports them."""
-    cut = F.slice(D.items(doc, path), 1, cap)
-    return F.coalesce(
-        F.array_distinct(F.transform(cut, lambda v: D.safe_text(D.text(v), NAME_LENGTH))), _no_text()
-    )
+    kept = F.array_distinct(D.safe_texts(F.slice(values, 1, cap), NAME_LENGTH))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def _has_null(values: Column) -> Column:
     return F.exists(values, lambda v: v.isNull())
 
 
-def _listed(doc: Column, path: str) -> Column:
-    """A list where one is given at all."""
-    return (D.kind(doc, path) == "") | D.is_list(doc, path)
+def _name(value: Column) -> Column:
+    return D.safe_text(value, NAME_LENGTH)
 
 
-def _name(doc: Column, path: str) -> Column:
-    return D.safe_text(D.text(doc, path), NAME_LENGTH)
+def _grain(doc: Column, path: str, value: Column, default: Column) -> Column:
+    """Given text if it is usable text, the default where none is given, else NULL."""
+    shape = D.kind(doc, path)
+    return F.when(shape == "", default).when(shape == "STRING", D.safe_text(value, GRAIN_LENGTH))
 
 
 def parse(proposals: DataFrame) -> DataFrame:
-    """Add ``doc`` and the cleaned ``spec``; keys missing from a dimension's columns come first."""
-    doc = F.col("doc")
-    grain = D.safe_text(D.text(doc, "$.grain"), GRAIN_LENGTH)
+    """Add the cleaned spec as columns (fact_*, dimensions, marts) and what follows from it: the
+    fact's dimension keys, month columns, and the fields a mart may group by as things stand.
+
+    The text is read once into typed fields; ``doc`` only answers what the types cannot, such as
+    whether a member was given at all. Each cleaning step is its own projection or transform, so no
+    expression is evaluated more than once.
+    """
+    read = proposals.withColumns(
+        {"doc": D.parse(F.col("payload")), "given": F.from_json("payload", PAYLOAD_TYPE)}
+    )
+    doc, given = F.col("doc"), F.col("given")
+    fact = given["fact_table"]
 
     def dimension(d: Column) -> Column:
-        key = _name(d, "$.key_column")
-        columns = _texts(d, "$.columns", DIMENSION_COLUMNS)
-        keyed = F.when(F.array_contains(columns, key) | key.isNull(), columns).otherwise(
-            F.concat(F.array(key), columns)
+        return F.struct(
+            _name(d["name"]).alias("name"), _name(d["key_column"]).alias("key_column"),
+            _texts(d["columns"], DIMENSION_COLUMNS).alias("columns"),
+            d["columns"].isNotNull().alias("columns_given"),
         )
+
+    def keyed(d: Column) -> Column:
+        """The key comes first where the columns leave it out."""
+        missing = ~F.array_contains(d["columns"], d["key_column"])
+        columns = F.when(
+            d["key_column"].isNotNull() & F.coalesce(missing, F.lit(True)),
+            F.concat(F.array(d["key_column"]), d["columns"]),
+        ).otherwise(d["columns"])
         return F.struct(
-            _name(d, "$.name").alias("name"), key.alias("key_column"),
-            keyed.alias("columns"),
-            D.is_list(d, "$.columns").alias("columns_given"),
+            d["name"].alias("name"), d["key_column"].alias("key_column"), columns.alias("columns"),
+            d["columns_given"].alias("columns_given"),
         )
 
-    def mart(m: Column) -> Column:
-        given = D.safe_text(D.text(m, "$.grain"), GRAIN_LENGTH)
+    mart_shapes = F.array(*(D.kind(doc, f"$.marts[{i}].grain") for i in range(MART_ITEMS)))
+
+    def mart(m: Column, i: Column) -> Column:
+        shape = F.element_at(F.col("mart_shapes"), i + 1)
         return F.struct(
-            _name(m, "$.name").alias("name"),
-            F.when(D.kind(m, "$.grain") == "", F.lit(DEFAULT_MART_GRAIN)).otherwise(given).alias("grain"),
-            _texts(m, "$.dimensions", MART_DIMENSIONS).alias("dimensions"),
-            _texts(m, "$.metrics", MART_METRICS).alias("metrics"),
+            _name(m["name"]).alias("name"),
+            F.when(shape == "", F.lit(DEFAULT_MART_GRAIN))
+            .when(shape == "STRING", D.safe_text(m["grain"], GRAIN_LENGTH))
+            .alias("grain"),
+            _texts(m["dimensions"], MART_DIMENSIONS).alias("dimensions"),
+            _texts(m["metrics"], MART_METRICS).alias("metrics"),
         )
 
-    fact = F.struct(
-        _name(doc, "$.fact_table.name").alias("name"),
-        F.when(D.kind(doc, "$.fact_table.grain") == "", grain)
-        .otherwise(D.safe_text(D.text(doc, "$.fact_table.grain"), GRAIN_LENGTH))
-        .alias("grain"),
-        _texts(doc, "$.fact_table.keys", KEY_ITEMS).alias("keys"),
-        _texts(doc, "$.fact_table.measures", MEASURE_ITEMS).alias("measures"),
-        _texts(doc, "$.fact_table.degenerate_dimensions", DEGENERATE_ITEMS).alias("degenerate_dimensions"),
-        _texts(doc, "$.fact_table.date_columns", DATE_ITEMS).alias("date_columns"),
+    cleaned = read.withColumns(
+        {
+            "mart_shapes": mart_shapes,
+            "grain": _grain(doc, "$.grain", given["grain"], F.lit(None).cast("string")),
+            "dims": F.transform(F.slice(given["dimensions"], 1, DIMENSION_ITEMS), dimension),
+        }
     )
-    many = lambda path, cap, build: F.transform(F.slice(D.items(doc, path), 1, cap), build)
-    spec = F.struct(
-        grain.alias("grain"), fact.alias("fact_table"),
-        many("$.dimensions", DIMENSION_ITEMS, dimension).alias("dimensions"),
-        many("$.marts", MART_ITEMS, mart).alias("marts"),
+    shaped = cleaned.select(
+        *proposals.columns, "doc", "grain",
+        _name(fact["name"]).alias("fact_name"),
+        _grain(doc, "$.fact_table.grain", fact["grain"], F.col("grain")).alias("fact_grain"),
+        *(_texts(fact[n], cap).alias(f"fact_{n}") for n, cap in LISTS.items()),
+        F.coalesce(F.transform("dims", keyed), F.array()).alias("dimensions"),
+        F.coalesce(
+            F.transform(F.slice(given["marts"], 1, MART_ITEMS), mart), F.array()
+        ).alias("marts"),
     )
-    return proposals.withColumn("doc", D.parse(F.col("payload"))).withColumn(
-        "spec", F.when(F.col("doc").isNotNull(), spec)
+    keys = F.array_distinct(F.concat("fact_keys", F.transform("dimensions", lambda d: d["key_column"])))
+    months = F.transform("fact_date_columns", lambda c: F.concat(c, F.lit("_month")))
+    held = F.flatten(F.transform("dimensions", lambda d: d["columns"]))
+    return shaped.withColumns({"fact_dimension_keys": keys, "fact_months": months}).withColumn(
+        "candidates",
+        F.array_distinct(
+            F.concat(
+                "fact_dimension_keys", "fact_degenerate_dimensions", held, "fact_date_columns", "fact_months"
+            )
+        ),
     )
 
 
+def _listed(doc: Column, path: str) -> Column:
+    """A list where one is given at all."""
+    return (D.kind(doc, path) == "") | D.is_list(doc, path)
+
+
 def _outside(values: Column, allowed: str) -> Column:
     return F.size(F.array_except(values, F.col(allowed))) > 0
 
 
-def violations(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
-    """One row per broken rule: (proposal_id, position, rule, subject).
-
-    Rules appear in checking order, so position 0 is the error a stop-at-first check would raise.
-    ``subject`` is the dimension or mart at fault, empty for the fact and the proposal itself.
-    """
+def checked(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
+    """Parsed proposals with ``broken``: the (rule, subject) pairs in checking order."""
     joined = parse(proposals).join(column_sets, "dataset_id", "left")
-    spec, doc = F.col("spec"), F.col("doc")
-    fact = spec["fact_table"]
-    dims, marts = F.coalesce(spec["dimensions"], F.array()), F.coalesce(spec["marts"], F.array())
+    doc, dims, marts = F.col("doc"), F.col("dimensions"), F.col("marts")
 
     def rule(name: str, broken: Column, subject: Column | None = None) -> Column:
         at = F.lit("") if subject is None else F.coalesce(subject, F.lit(""))
@@ -116,18 +152,17 @@ def violations(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
             F.coalesce(broken, F.lit(False)), F.struct(F.lit(name).alias("rule"), at.alias("subject"))
         )
 
-    lists = ("keys", "measures", "degenerate_dimensions", "date_columns")
     head = [
-        rule("grain_text", spec["grain"].isNull()),
+        rule("grain_text", F.col("grain").isNull()),
         rule("fact_missing", ~D.is_object(doc, "$.fact_table")),
-        rule("fact_name", ~(is_safe_name(fact["name"]) & F.startswith(fact["name"], F.lit("fact_")))),
-        rule("fact_grain", fact["grain"].isNull()),
-        *(rule(f"fact_{n}_list", ~_listed(doc, f"$.fact_table.{n}") | _has_null(fact[n])) for n in lists),
-        *(rule(f"fact_{n}_unknown", _outside(F.array_compact(fact[n]), "all_columns")) for n in lists),
-        rule("fact_measures_numeric", (F.size(fact["measures"]) == 0) | _outside(fact["measures"], "measures")),
-        rule("fact_degenerate_labels", _outside(fact["degenerate_dimensions"], "label_columns")),
-        rule("fact_dates", _outside(fact["date_columns"], "dates")),
-        rule("dimensions_required", F.coalesce(F.size(D.items(doc, "$.dimensions")), F.lit(0)) < 1),
+        rule("fact_name", ~(is_safe_name(F.col("fact_name")) & F.startswith("fact_name", F.lit("fact_")))),
+        rule("fact_grain", F.col("fact_grain").isNull()),
+        *(rule(f"fact_{n}_list", ~_listed(doc, f"$.fact_table.{n}") | _has_null(F.col(f"fact_{n}"))) for n in LISTS),
+        *(rule(f"fact_{n}_unknown", _outside(F.array_compact(f"fact_{n}"), "all_columns")) for n in LISTS),
+        rule("fact_measures_numeric", (F.size("fact_measures") == 0) | _outside(F.col("fact_measures"), "measures")),
+        rule("fact_degenerate_labels", _outside(F.col("fact_degenerate_dimensions"), "label_columns")),
+        rule("fact_dates", _outside(F.col("fact_date_columns"), "dates")),
+        rule("dimensions_required", F.size(dims) < 1),
     ]
     dim_names = F.transform(dims, lambda d: d["name"])
 
@@ -155,13 +190,12 @@ def violations(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
         )
 
     mart_names = F.transform(marts, lambda m: m["name"])
-    candidates = _candidates(spec)
 
     def mart_rules(m: Column, i: Column) -> Column:
         name = m["name"]
         loose = F.filter(
             m["dimensions"],
-            lambda c: ~F.array_contains(candidates, c)
+            lambda c: ~F.array_contains(F.col("candidates"), c)
             & ~(F.array_contains(F.col("label_columns"), c) & ~F.array_contains(F.col("measures"), c)),
         )
         return F.array(
@@ -172,13 +206,13 @@ def violations(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
             rule("mart_dimensions_required", F.size(m["dimensions"]) == 0, name),
             rule("mart_metrics_required", F.size(m["metrics"]) == 0, name),
             rule("mart_unknown_dimension", F.size(loose) > 0, name),
-            rule("mart_metric_not_in_fact", F.size(F.array_except(m["metrics"], fact["measures"])) > 0, name),
+            rule("mart_metric_not_in_fact", F.size(F.array_except(m["metrics"], F.col("fact_measures"))) > 0, name),
         )
 
     body = F.concat(
         F.array(*head),
         F.flatten(F.transform(dims, dimension_rules)),
-        F.array(rule("marts_required", F.coalesce(F.size(D.items(doc, "$.marts")), F.lit(0)) < 1)),
+        F.array(rule("marts_required", F.size(marts) < 1)),
         F.flatten(F.transform(marts, mart_rules)),
     )
     found = (
@@ -187,82 +221,65 @@ def violations(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
         .when(F.col("all_columns").isNull(), F.array(rule("no_mapped_columns", F.lit(True))))
         .otherwise(body)
     )
-    return joined.select("proposal_id", F.posexplode(F.array_compact(found)).alias("position", "v")).select(
-        "proposal_id", "position", "v.rule", "v.subject"
-    )
-
-
-def accepted(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
-    """Parsed proposals that break no rule."""
-    broken = violations(proposals, column_sets).select("proposal_id")
-    return parse(proposals).join(broken, "proposal_id", "left_anti")
-
+    return joined.withColumn("broken", F.array_compact(found))
 
-def _fact_dimension_keys(spec: Column) -> Column:
-    return F.array_distinct(
-        F.concat(spec["fact_table"]["keys"], F.transform(spec["dimensions"], lambda d: d["key_column"]))
-    )
 
+def violations(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
+    """One row per broken rule: (proposal_id, position, rule, subject).
 
-def _months(spec: Column) -> Column:
-    return F.transform(spec["fact_table"]["date_columns"], lambda c: F.concat(c, F.lit("_month")))
+    Rules appear in checking order, so position 0 is the error a stop-at-first check would raise.
+    ``subject`` is the dimension or mart at fault, empty for the fact and the proposal itself.
+    """
+    rows = unnest(checked(proposals, column_sets), ["proposal_id"], "broken", "v", "position")
+    return rows.select("proposal_id", "position", "v.rule", "v.subject")
 
 
-def _candidates(spec: Column) -> Column:
-    """Fields a mart may group by without adding any to the fact."""
-    fact = spec["fact_table"]
-    return F.array_distinct(
-        F.concat(
-            _fact_dimension_keys(spec), fact["degenerate_dimensions"],
-            F.flatten(F.transform(spec["dimensions"], lambda d: d["columns"])), fact["date_columns"], _months(spec),
-        )
-    )
+def accepted(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
+    """Parsed proposals that break no rule."""
+    return checked(proposals, column_sets).filter(F.size("broken") == 0).drop("broken")
 
 
 def candidate_fields(specs: DataFrame) -> DataFrame:
-    return specs.select("proposal_id", F.explode(_candidates(F.col("spec"))).alias("field"))
+    return unnest(specs, ["proposal_id"], "candidates", "field")
 
 
 def derived(specs: DataFrame) -> DataFrame:
     """What follows from an accepted spec: the fact's dimension keys, its degenerate dimensions with
     those only marts mention, and the resulting column list."""
-    spec = F.col("spec")
-    fact = spec["fact_table"]
-    mart_fields = F.flatten(F.transform(spec["marts"], lambda m: m["dimensions"]))
-    inferred = F.array_except(mart_fields, _candidates(spec))
-    out = specs.select(
-        "proposal_id", "spec",
-        _fact_dimension_keys(spec).alias("fact_dimension_keys"),
-        F.array_distinct(F.concat(fact["degenerate_dimensions"], inferred)).alias("fact_degenerate_dimensions"),
+    mart_fields = F.flatten(F.transform("marts", lambda m: m["dimensions"]))
+    degenerate = F.array_distinct(
+        F.concat("fact_degenerate_dimensions", F.array_except(mart_fields, F.col("candidates")))
     )
     columns = F.array_distinct(
         F.concat(
-            fact["keys"], F.col("fact_dimension_keys"), F.col("fact_degenerate_dimensions"),
-            fact["date_columns"], _months(spec), fact["measures"],
+            "fact_keys", "fact_dimension_keys", "fact_degenerate_dimensions", "fact_date_columns",
+            "fact_months", "fact_measures",
         )
     )
-    return out.withColumn("fact_columns", columns)
+    return specs.withColumn("fact_degenerate_dimensions", degenerate).select(
+        "proposal_id", "fact_dimension_keys", "fact_degenerate_dimensions", columns.alias("fact_columns")
+    )
 
 
 def catalog(specs: DataFrame) -> DataFrame:
     """Marts of each spec with their grain, dimensions and metrics."""
-    return specs.select("proposal_id", F.explode("spec.marts").alias("m")).select(
+    return unnest(specs, ["proposal_id"], "marts", "m").select(
         "proposal_id", F.col("m.name").alias("mart"), "m.grain", "m.dimensions", "m.metrics"
     )
 
 
 def unknown_columns(specs: DataFrame, mappings: DataFrame) -> DataFrame:
     """Referenced columns the dataset does not map, by an anti-join on (dataset, column)."""
-    fact = F.col("spec.fact_table")
-    parts = [("fact_table." + n, fact[n]) for n in ("keys", "measures", "degenerate_dimensions", "date_columns")]
+    parts = [("fact_table." + n, F.col(f"fact_{n}")) for n in LISTS]
     from_fact = F.array(*(F.struct(F.lit(p).alias("used_in"), F.array_compact(c).alias("columns")) for p, c in parts))
     from_dims = F.transform(
-        F.coalesce("spec.dimensions", F.array()),
+        "dimensions",
         lambda d: F.struct(d["name"].alias("used_in"), F.array_compact(d["columns"]).alias("columns")),
     )
-    used = (
-        specs.select("proposal_id", "dataset_id", F.inline(F.concat(from_fact, from_dims)))
-        .select("proposal_id", "dataset_id", "used_in", F.explode("columns").alias("name"))
+    places = unnest(specs, ["proposal_id", "dataset_id"], F.concat(from_fact, from_dims), "place")
+    used = places.select(
+        "proposal_id", "dataset_id", F.col("place.used_in").alias("used_in"),
+        F.explode("place.columns").alias("name"),
     )
     return used.join(mappings.select("dataset_id", "name"), ["dataset_id", "name"], "left_anti").select(
         "proposal_id", "used_in", F.col("name").alias("column_name")
@@ -277,4 +294,4 @@ def catalog_terms(catalog_rows: DataFrame, keys: list[str]) -> DataFrame:
         F.array(*(F.lit(w) for w in BASE_TERMS)), F.array(F.lower("mart")), lowered,
         F.filter(parts, lambda p: p != ""),
     )
-    return catalog_rows.select(*keys, F.explode(F.array_distinct(words)).alias("term")).distinct()
+    return unnest(catalog_rows, keys, F.array_distinct(words), "term").distinct()

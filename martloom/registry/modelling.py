@@ -206,21 +206,22 @@ violations(proposal_id, rule, subject) as (
   union all select proposal_id, 'dimension_name', name from dims where not regexp_full_match(name, 'dim_[A-Za-z0-9_]*')
   union all select proposal_id, 'dimension_repeated', name from dims d where exists (
     select 1 from dims o where o.proposal_id = d.proposal_id and o.name = d.name and o.position < d.position)
-  union all select distinct proposal_id, 'dimension_unknown_columns', name from dim_columns c
-    where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c.column_name)
-  union all select distinct proposal_id, 'dimension_holds_measure', name from dim_columns c where column_name <> key_column
-    and exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c.column_name and is_measure)
+  union all select proposal_id, 'dimension_unknown_columns', name from (select distinct proposal_id, position, name from dim_columns c
+    where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c.column_name))
+  union all select proposal_id, 'dimension_holds_measure', name from (select distinct proposal_id, position, name from dim_columns c
+    where column_name <> key_column
+    and exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c.column_name and is_measure))
   union all select proposal_id, 'dimension_key_role', name from dims
     where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = key_column and (is_dimension or is_identifier))
   union all select proposal_id, 'mart_repeated', name from mart m where exists (
     select 1 from mart o where o.proposal_id = m.proposal_id and o.name = m.name and o.position < m.position)
   union all select proposal_id, 'mart_metrics_required', name from mart where len(metrics) = 0
-  union all select distinct proposal_id, 'mart_unknown_dimension', name from mart_dims m
+  union all select proposal_id, 'mart_unknown_dimension', name from (select distinct proposal_id, position, name from mart_dims m
     where not exists (select 1 from candidates c where c.proposal_id = m.proposal_id and c.field = m.field)
-      and not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = m.field and is_dimension and not is_measure)
-  union all select distinct m.proposal_id, 'mart_metric_not_in_fact', m.name
-    from (select proposal_id, name, unnest(metrics) as metric from mart) m join j on m.proposal_id = j.proposal_id
-    where not list_contains(j.measures, m.metric))"""
+      and not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = m.field and is_dimension and not is_measure))
+  union all select proposal_id, 'mart_metric_not_in_fact', name from (select distinct m.proposal_id, m.position, m.name
+    from (select proposal_id, position, name, unnest(metrics) as metric from mart) m join j on m.proposal_id = j.proposal_id
+    where not list_contains(j.measures, m.metric)))"""
 ACCEPTED_SQL = f"""{VIOLATIONS_SQL},
 good as (select * from j where proposal_id not in (select proposal_id from violations)),
 good_dims as (select * from dims where proposal_id in (select proposal_id from good)),
@@ -250,7 +251,7 @@ inferred as (select m.proposal_id, list(m.field order by m.position, m.ord) as f
   where not exists (select 1 from candidates c where c.proposal_id = m.proposal_id and c.field = m.field) group by 1)"""
 REG.add(
     "proposal_derived",
-    lambda s, d: P.derived(accepted(s, d)).drop("spec", "fact_columns"),
+    lambda s, d: P.derived(accepted(s, d)).drop("fact_columns"),
     f"""with {DERIVED_SQL} select g.proposal_id, array_to_string(ks, '|') as fact_dimension_keys,
       array_to_string(list_concat(degenerate, coalesce(fields, [])), '|') as fact_degenerate_dimensions
     from good g join key_list k on g.proposal_id = k.proposal_id left join inferred i on g.proposal_id = i.proposal_id""",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions.names import normalize_header, strip_all
+from martloom.operators.unnest import unnest
 
 BYTES_PER_MB = 1024 * 1024
 PREVIEW_ROWS = 25
@@ -105,9 +106,7 @@ def conformance(files: DataFrame, limit_mb: int) -> DataFrame:
     found = F.array_compact(F.array(*(F.when(broken, F.lit(rule)) for rule, broken in rules)))
     checked = _parsed(files).withColumn("stopped", stopped)
     broken_rules = F.when(F.col("stopped").isNotNull(), F.array("stopped")).otherwise(found)
-    rows = checked.select(
-        "file_name", F.explode(broken_rules).alias("rule")
-    )
+    rows = unnest(checked, ["file_name"], broken_rules, "rule")
     return rows.withColumn(
         "error_code",
         F.when(F.col("rule") == "wrong_extension", "INVALID_FILE_TYPE")
