@@ -6,7 +6,7 @@ from importlib import import_module
 
 from martloom.registry.common import Registry
 
-MODULES = ("retail", "plans", "spec", "profiling", "ingest", "workspace", "modelling")
+MODULES = ("retail", "plans", "spec", "profiling", "ingest", "workspace", "modelling", "analysis")
 
 
 def load() -> Registry:
