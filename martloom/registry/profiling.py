@@ -80,7 +80,11 @@ RETAIL_SQL = f"""with {RAW_SQL}, placed as (
   select cast(regexp_replace(order_line_id, '[^0-9]', '', 'g') as bigint) as pos, * from raw),
 {long_sql('placed', RETAIL_CONTRACT)}"""
 EVENT_PROFILE_SQL = f"with {EVENTS_SQL}, {long_sql('ev', EVENT_COLUMNS)}"
-PLACE = F.regexp_replace("order_line_id", "[^0-9]", "").cast("bigint")
+
+
+def line_place():
+    """Order and line number as one number: the line's place in the feed."""
+    return F.regexp_replace("order_line_id", "[^0-9]", "").cast("bigint")
 
 
 def event_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +93,7 @@ def event_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 REG.add(
     "profile_columns",
-    lambda s, d: P.profile(retail_feed(s, d), list(RETAIL_CONTRACT), PLACE),
+    lambda s, d: P.profile(retail_feed(s, d), list(RETAIL_CONTRACT), line_place()),
     f"{RETAIL_SQL} select *, cast({index_sql(RETAIL_CONTRACT)} as bigint) as column_index from profile",
 )
 REG.add(
