@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SAFE_NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,63}$"
-# Whitespace as text editors see it: ASCII, separators and the Unicode space classes.
-WHITESPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+# Every character that counts as whitespace when text is stripped.
+SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The same set as a pattern.
+WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
 def strip_all(col: Column) -> Column:
-    """Strip every kind of leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    """Strip every kind of leading and trailing whitespace, not only spaces. No pattern is involved."""
+    return F.btrim(col, F.lit(SPACES))
 
 
 def collapse_spaces(col: Column) -> Column:

@@ -14,7 +14,7 @@ from martloom.plans.retail import RETAIL_CATALOG
 from martloom.registry.common import Registry
 from martloom.registry.workspace import NORMALIZED
 from martloom.sources import payloads as Y
-from martloom.sources.feeds import table
+from martloom.sources.feeds import spread, table
 from martloom.sources.inline import catalog
 
 REG = Registry()
@@ -173,7 +173,7 @@ LABEL = """array_to_string(list_transform(string_split({c}, '_'), lambda w: uppe
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """Stored results, one per order: schema, a few preview rows, and what the run asked for."""
-    flat = table(spark, sf, "orders").selectExpr(*(c.format(text="string") for c in RESULT_COLUMNS))
+    flat = spread(table(spark, sf, "orders")).selectExpr(*(c.format(text="string") for c in RESULT_COLUMNS))
     dim, metric = F.upper("dim"), F.upper("metric")
     fields = F.array_compact(
         F.array(
@@ -270,7 +270,7 @@ def question_payloads(spark: SparkSession, sf: str) -> DataFrame:
     items = F.transform(
         asked, lambda q, i: F.struct(q.alias("question"), F.when(i > 1, intent).alias("intent"))
     )
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations")).select(
         F.concat_ws("-", "conv_id", "turn").alias("payload_id"),
         F.to_json(F.struct(items.alias("suggested_questions"))).alias("payload"),
     )
@@ -329,7 +329,7 @@ def insight_payloads(spark: SparkSession, sf: str) -> DataFrame:
         title.alias("chart_title"), F.element_at(lines, 1).alias("summary"),
         F.array(F.lit("store")).alias("tags"), F.lit("medium").alias("confidence"),
     )
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("run_id"),
         F.to_json(F.struct(question.alias("question_insight"), F.array(chart).alias("chart_insights"))).alias("payload"),
     )

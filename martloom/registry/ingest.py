@@ -15,7 +15,7 @@ from martloom.registry.profiling import EVENTS_SQL, events_text
 from martloom.registry.retail import MART_SQL, mart
 from martloom.session import shared_folder
 from martloom.sources import files, raw_csv, sinks
-from martloom.sources.feeds import retail_feed, table
+from martloom.sources.feeds import retail_feed, spread, table
 
 REG = Registry()
 
@@ -112,12 +112,12 @@ LIMIT_MB = 5
 
 def document_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and pages as uploaded files: sources name the type, pages are HTML."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"),
                  F.when(F.col("source") == "src1", ".txt").otherwise(".csv")).alias("file_name"),
         F.col("text").alias("body"),
     )
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages")).select(
         F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".CSV")).alias("file_name"),
         F.col("html").alias("body"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from martloom.operators import profiling as P
 from martloom.registry.common import Registry
 from martloom.registry.retail import RAW_SQL
-from martloom.sources.feeds import RETAIL_CONTRACT, retail_feed, table
+from martloom.sources.feeds import RETAIL_CONTRACT, retail_feed, spread, table
 
 REG = Registry()
 
@@ -37,7 +37,7 @@ EVENTS_SQL = "ev as (select event_id as pos, " + ", ".join(EVENT_TEXT).format(
 
 def events_text(spark: SparkSession, sf: str) -> DataFrame:
     spelled = {"text": "string", "day": "date_format(ts, 'yyyy-MM-dd')", "us_day": "date_format(ts, 'MM/dd/yyyy')"}
-    return table(spark, sf, "events").selectExpr("event_id as pos", *(c.format(**spelled) for c in EVENT_TEXT))
+    return spread(table(spark, sf, "events")).selectExpr("event_id as pos", *(c.format(**spelled) for c in EVENT_TEXT))
 
 
 def long_sql(source: str, columns) -> str:

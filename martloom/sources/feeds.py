@@ -18,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SPREAD = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with few splits, dealt out over the idle cores.
+
+    Text work costs far more per row than the scan, and a file with one row group arrives as one
+    split however many rows it has. A scan with enough splits is returned as it is, so a large table
+    is never shuffled for this.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if splits * 2 > cores else df.repartition(min(cores, splits * SPREAD))
+
+
 def _money(col: Column) -> Column:
     return col.cast("decimal(18,2)")
 
@@ -106,7 +120,7 @@ INVOICE_CONTRACT = (
 
 
 def _attach(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     if needed & {"orders", "customer", "customer_region"}:
         lines = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if needed & {"customer", "customer_region"}:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.sources.feeds import RETAIL_CONTRACT, table
+from martloom.sources.feeds import RETAIL_CONTRACT, spread, table
 
 ROLES = (
     "identifier", "identifier", "date_time", "identifier", "dimension", "dimension", "identifier", "dimension",
@@ -107,14 +107,14 @@ PLAN_PAYLOAD = """case when o_custkey % 41 = 0 then 'plan: none' when o_custkey
 
 
 def suggestion_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey as dataset_id", f"{SUGGESTION_PAYLOAD} as payload")
+    return spread(table(spark, sf_dir, "customer")).selectExpr("c_custkey as dataset_id", f"{SUGGESTION_PAYLOAD} as payload")
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr(
+    return spread(table(spark, sf_dir, "customer")).selectExpr(
         "c_custkey as proposal_id", "c_custkey as dataset_id", f"{PROPOSAL_PAYLOAD} as payload"
     )
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as plan_id", f"{PLAN_PAYLOAD} as payload")
+    return spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey as plan_id", f"{PLAN_PAYLOAD} as payload")
