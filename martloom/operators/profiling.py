@@ -1,6 +1,6 @@
 """Column profiles of a text table: nulls, exact distinct counts, first samples and detected types.
 
-The table is unpivoted and aggregated to one row per (column, value) with partial aggregation on the
+The table is turned into (column, value) cells and aggregated to one row per (column, value) with partial aggregation on the
 map side, so a value that fills a third of a column crosses the shuffle once per task. Every later
 step, including the type tests, works on distinct values.
 """
@@ -37,7 +37,7 @@ def is_integer_text(col: Column) -> Column:
 
 
 def is_decimal_text(col: Column) -> Column:
-    return col.rlike(DECIMAL)
+    return is_integer_text(col) | col.rlike(DECIMAL)
 
 
 def is_date_text(col: Column) -> Column:
@@ -50,7 +50,8 @@ def is_date_text(col: Column) -> Column:
         F.coalesce(F.try_to_date(col, "M/d/yyyy"), F.try_to_date(col, "d/M/yyyy")),
     )
     found = F.coalesce(dashed, slashed, either, packed)
-    return found.isNotNull() & (F.year(found) > 0)
+    # Eight to ten characters bound every accepted shape, so longer text skips the patterns.
+    return F.when(F.length(col).between(8, 10), found.isNotNull() & (F.year(found) > 0)).otherwise(False)
 
 
 def is_identifier_name(name: Column) -> Column:
@@ -60,12 +61,15 @@ def is_identifier_name(name: Column) -> Column:
 
 def value_counts(df: DataFrame, columns: list[str], position: Column) -> DataFrame:
     """(raw_column_name, value, row_total, first_seen); missing values share one NULL row per column."""
-    long = df.select(position.alias("__position"), *(F.col(c) for c in columns)).unpivot(
-        ["__position"], columns, "raw_column_name", "value"
-    )
-    return (
-        long.groupBy("raw_column_name", meaningful(F.col("value")).alias("value"))
-        .agg(F.count("*").alias("row_total"), F.min("__position").alias("first_seen"))
+    # Inline rather than unpivot: plans around an unpivot never compare equal, so the two readers of
+    # this aggregation would each run the scan and the shuffle again.
+    cell = lambda c: F.struct(F.lit(c).alias("raw_column_name"), F.col(c).alias("value"))
+    long = df.select(position.alias("__position"), F.inline(F.array(*(cell(c) for c in columns))))
+    # The cleaned value is a column before it is a key: grouping by an expression gives each reader of
+    # the result its own plan, and Spark could not reuse one shuffle for all of them.
+    cells = long.select("__position", "raw_column_name", meaningful(F.col("value")).alias("value"))
+    return cells.groupBy("raw_column_name", "value").agg(
+        F.count("*").alias("row_total"), F.min("__position").alias("first_seen")
     )
 
 
@@ -84,15 +88,20 @@ def _detected_type() -> Column:
 def summarize(counts: DataFrame) -> DataFrame:
     """One row per column from ``value_counts``: null and distinct counts, and the detected type."""
     value = F.col("value")
+    # A name that marks an identifier settles the type, so its values are not tested.
+    tested = F.col("tested")
     every = lambda test: F.coalesce(F.bool_and(test), F.lit(True))
-    summary = counts.groupBy("raw_column_name").agg(
+    read = counts.withColumn("tested", F.when(~is_identifier_name(F.col("raw_column_name")), value))
+    summary = read.groupBy("raw_column_name").agg(
         F.sum("row_total").alias("row_count"),
         F.sum(F.when(value.isNull(), F.col("row_total")).otherwise(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
-        every(F.lower(value).isin(*BOOLEAN_WORDS)).alias("all_boolean"),
-        every(is_integer_text(value)).alias("all_integer"),
-        every(is_decimal_text(value)).alias("all_decimal"),
-        every(is_date_text(value)).alias("all_date"),
+        # Counting first_seen, as samples carry row_total, leaves both readers of the value counts
+        # with the same columns, and Spark then runs that aggregation once for the two.
+        F.count(F.when(value.isNotNull(), F.col("first_seen"))).alias("unique_count"),
+        every(F.lower(tested).isin(*BOOLEAN_WORDS)).alias("all_boolean"),
+        every(is_integer_text(tested)).alias("all_integer"),
+        every(is_decimal_text(tested)).alias("all_decimal"),
+        every(is_date_text(tested)).alias("all_date"),
     )
     rate = F.round(F.col("null_count") / F.col("row_count"), 4)
     return summary.select(
@@ -109,17 +118,15 @@ def summarize(counts: DataFrame) -> DataFrame:
 def samples(counts: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
     """The first distinct values of each column. The rank filter is a top-k: every task keeps at
     most ``size`` rows per column before the shuffle, so the list is bounded too."""
-    first = W.partitionBy("raw_column_name").orderBy("first_seen", "value")
-    kept = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("__rank", F.row_number().over(first))
-        .filter(F.col("__rank") <= size)
-    )
-    return kept.groupBy("raw_column_name").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("__rank", "value"))), lambda item: item["value"]
-        ).alias("sample_values")
+    # Missing values rank last and are dropped after the cut; dropped before it, they would make this
+    # a different aggregation from the one the summary reads.
+    first = W.partitionBy("raw_column_name").orderBy(F.col("value").isNull(), "first_seen", "value")
+    kept = counts.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= size)
+    listed = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("__rank", "value", "row_total"))))
+    found = kept.groupBy("raw_column_name").agg(
+        F.transform(listed, lambda item: item["value"]).alias("sample_values")
     )
+    return found.filter(F.size("sample_values") > 0)
 
 
 def _with_index(profile: DataFrame, columns: list[str]) -> DataFrame:
