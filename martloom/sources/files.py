@@ -20,17 +20,28 @@ QUOTED_FIELD = r'(^|[,\r\n])(?:"[^"]*+")++'
 MARK = "\x01"
 
 
-def read_files(spark: SparkSession, path: str, limit_mb: int) -> DataFrame:
-    """Whole files as rows. Content over the size limit is never read, only its length."""
+def read_files(spark: SparkSession, path: str, limit_mb: int, log: DataFrame | None = None) -> DataFrame:
+    """Whole files as rows. Content over the size limit is never read, only its length.
+
+    Spark skips zero-byte files when it reads a folder. ``log``, a table with the ``file_name`` of
+    every upload, brings them back: a logged name without content is an empty file.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     limit = limit_mb * BYTES_PER_MB
     small = listed.filter(F.col("length") <= limit).select("path", "length", "content")
     large = listed.filter(F.col("length") > limit).select(
         "path", "length", F.lit(None).cast("binary").alias("content")
     )
-    return small.unionByName(large).select(
+    found = small.unionByName(large).select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"), "content"
     )
+    if log is None:
+        return found
+    size = F.coalesce("size_bytes", F.lit(0))
+    return log.select("file_name").join(found, "file_name", "full").select(
+        "file_name", size.alias("size_bytes"),
+        F.when(size == 0, F.lit("").cast("binary")).otherwise(F.col("content")).alias("content"),
+    )
 
 
 def extension(file_name: Column) -> Column:
