@@ -49,6 +49,10 @@ def snapshots(
         .unionByName(child(attempts.filter(F.col("task_type").isin(*SNAPSHOT_TASKS)), "provider_run",
                            F.col("attempt_id"), F.date_format("created_at", "yyyyMMddHHmmssSSSSSS"),
                            F.col("lane"), F.col("status")))
+        # Each run is an entry of its own, so a run without children has a part as well and the join
+        # below can be an inner one, which Spark may split on the side where one run has many parts.
+        .unionByName(child(runs, "run", F.col("run_id"), F.lit(""), F.lit(None).cast("string"),
+                           F.lit(None).cast("string")))
     )
     nested = (
         _in_parts(children, "run_id", "id", part_rows)
@@ -59,10 +63,8 @@ def snapshots(
         F.col("dataset_id").alias("__id"), "dataset_name", "source_type",
         F.col("status").alias("__status"), "deleted_at",
     )
-    joined = runs.join(nested, "run_id", "left").join(side, F.col("dataset_id") == F.col("__id"), "left")
-    empty = F.array().cast(nested.schema["items"].dataType)
-    items = F.coalesce("items", empty)
-    of_kind = lambda kind: F.filter(items, lambda i: i["kind"] == kind)
+    joined = nested.join(runs, "run_id").join(side, F.col("dataset_id") == F.col("__id"), "left")
+    of_kind = lambda kind: F.filter("items", lambda i: i["kind"] == kind)
     document = F.struct(
         F.lit(1).alias("snapshot_version"),
         F.struct(
@@ -78,9 +80,7 @@ def snapshots(
         of_kind("insight").alias("insights"),
         of_kind("provider_run").alias("provider_runs"),
     )
-    return joined.select(
-        "run_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), document.alias("card_snapshot")
-    )
+    return joined.select("run_id", "part", document.alias("card_snapshot"))
 
 
 def mark_deleted(snapshot: Column, deleted: Column, deleted_at: Column) -> Column:
