@@ -29,9 +29,20 @@ def is_safe_name(col: Column) -> Column:
     return F.coalesce(col.rlike(SAFE_NAME) & ~F.contains(col, F.lit("\n")), F.lit(False))
 
 
+def _header_name(col: Column) -> Column:
+    underscored = F.regexp_replace(strip_all(col), r"[^A-Za-z0-9_]+", "_")
+    return F.upper(F.btrim(underscored, F.lit("_")))
+
+
+def _header_prefix(name: Column) -> Column:
+    return F.when(name.rlike(r"^[0-9]"), F.concat(F.lit("COL_"), name)).otherwise(name)
+
+
 def normalize_header(col: Column) -> Column:
     """Upper-case column name with runs of other characters as one underscore."""
-    name = F.upper(
-        F.regexp_replace(F.regexp_replace(strip_all(col), r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", "")
-    )
-    return F.when(name.rlike(r"^[0-9]"), F.concat(F.lit("COL_"), name)).otherwise(name)
+    return _header_prefix(_header_name(col))
+
+
+def normalize_headers(cols: Column | str) -> Column:
+    """``normalize_header`` over an array, each name computed once."""
+    return F.transform(F.transform(cols, _header_name), _header_prefix)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.functions.names import normalize_header, strip_all
+from martloom.functions.names import normalize_header, normalize_headers, strip_all
 from martloom.operators.unnest import unnest
 
 BYTES_PER_MB = 1024 * 1024
@@ -83,7 +83,7 @@ def _parsed(files: DataFrame) -> DataFrame:
 def conformance(files: DataFrame, limit_mb: int) -> DataFrame:
     """One row per broken rule and file. Early rules stop later ones, as later ones need them."""
     name, size = F.col("file_name"), F.col("size_bytes")
-    normalized = F.transform("headers", normalize_header)
+    normalized = F.col("normalized")
     width = F.size("headers")
     stops = [
         ("missing_name", F.coalesce(name, F.lit("")) == ""),
@@ -94,7 +94,7 @@ def conformance(files: DataFrame, limit_mb: int) -> DataFrame:
         ("not_utf8", ~F.is_valid_utf8(F.col("content").cast("string"))),
         (
             "unreadable_csv",
-            F.col("masked").rlike(rf'(^|[,\r\n])"|{MARK}[^,\r\n]|\r[^\n]'),
+            F.col("masked").rlike(rf'{MARK}[^,\r\n]|\r[^\n]|[,\r\n]"|^"'),
         ),
         ("no_header", width == 0),
     ]
@@ -115,7 +115,7 @@ def conformance(files: DataFrame, limit_mb: int) -> DataFrame:
     for rule, broken in reversed(stops):
         stopped = F.when(broken, F.lit(rule)).otherwise(stopped)
     found = F.array_compact(F.array(*(F.when(broken, F.lit(rule)) for rule, broken in rules)))
-    checked = _parsed(files).withColumn("stopped", stopped)
+    checked = _parsed(files).withColumns({"stopped": stopped, "normalized": normalize_headers("headers")})
     broken_rules = F.when(F.col("stopped").isNotNull(), F.array("stopped")).otherwise(found)
     rows = unnest(checked, ["file_name"], broken_rules, "rule")
     return rows.withColumn(
