@@ -58,6 +58,18 @@ def test_written_layers_equal_lazy_layers(spark, retail, tmp_path):
         assert sorted(map(str, written[name].collect())) == sorted(map(str, retail.model(name).collect()))
 
 
+def test_layers_can_be_saved_as_catalog_tables(spark, retail):
+    from martloom.sources.sinks import table_writer
+
+    R.RetailModel(retail.raw).write(table_writer({"fact_sales": "order_month"}))
+    for layer in R.RetailModel.LAYERS.values():
+        for name in layer:
+            assert sorted(map(str, spark.table(name).select(*retail.model(name).columns).collect())) == sorted(
+                map(str, retail.model(name).collect())
+            )
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_detected_number_beats_dimension_role(spark):
     """An integer-looking label, such as a postcode, is routed to a number."""
     zip_code = P.Mapping("zip", "zip", "dimension", "integer")
