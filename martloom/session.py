@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +20,10 @@ SETTINGS = {
 }
 
 
+# Temporary folders of sessions without executors elsewhere, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app_name: str = "martloom", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -28,16 +34,25 @@ def build_session(app_name: str = "martloom", master: str | None = None, **extra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that outlives executors; a local one is made only where the cluster names none."""
+    """The folder that outlives executors and that all of them see, from ``spark.checkpoint.dir``.
+
+    Only a session whose executors run in this process may go without one; it gets a temporary folder, once. On a
+    cluster a missing folder is an error, since executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
         return named
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="martloom-")
-    sc.setCheckpointDir(folder)
-    return folder
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="martloom-")
+    return _LOCAL[sc.applicationId]
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/martloom-{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
