@@ -2,47 +2,68 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions.names import is_safe_name
+from martloom.operators import charts
 from martloom.plans.analysis import AnalysisPlan, run_plan
 from martloom.plans.retail import RetailModel
 from martloom.registry.common import Registry
 from martloom.registry.profiling import EVENTS_SQL, events_text
 from martloom.registry.retail import MART_SQL, mart
-from martloom.session import shared_folder
+from martloom.session import scratch_folder
 from martloom.sources import files, raw_csv, sinks
-from martloom.sources.feeds import retail_feed, spread, table
+from martloom.sources.feeds import retail_feed, table
 
 REG = Registry()
 
 
-def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/martloom/{label}-{uuid.uuid4().hex}"
-
-
 CUSTOMER_TEXT = (
     "cast(c_custkey as {text}) as customer_id",
     """concat('"', c_name, '", ', c_mktsegment) as label""",
     """case c_mktsegment when 'BUILDING' then 'NULL' when 'MACHINERY' then 'null' when 'FURNITURE' then ''
-    when 'HOUSEHOLD' then ' NULL ' else c_mktsegment end as segment""",
+    when 'HOUSEHOLD' then ' NULL ' else c_mktsegment end as segment""", "c_nationkey",
 )
+# Lines of a file whose header has another order than the load asks for; some have a cell too many or too few.
+CUSTOMER_LINE = """concat('"', replace(label, '"', '""'), '",', customer_id, case c_nationkey when 5 then '' else concat(',', segment) end,
+  case c_nationkey when 3 then ',more' else '' end)"""
+CUSTOMER_COLUMNS = ("customer_id", "label", "segment")
+
+
+def customer_files(spark: SparkSession, sf: str) -> str:
+    """Writes the customers as CSV lines, each file under its header, and returns the folder."""
+    lines = table(spark, sf, "customer").selectExpr(*(c.format(text="string") for c in CUSTOMER_TEXT)).select(
+        F.expr(CUSTOMER_LINE).alias("label,customer_id,segment")
+    )
+    path = scratch_folder(spark, "raw-load")
+    # Marks that do not occur, so that lines are written as they are.
+    marks = {"header": "true", "sep": "\x01", "quote": "\x02", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines.write.options(**marks).csv(path)
+    return path
+
+
+CUSTOMER_SQL = f"t as (select {', '.join(CUSTOMER_TEXT).format(text='varchar')} from customer)"
 
 
 @REG.query(
     "raw_load",
-    f"""with t as (select {', '.join(CUSTOMER_TEXT).format(text='varchar')} from customer)
-    select customer_id, label, case when segment in ('', 'NULL', 'null') then null else segment end as segment from t""",
+    f"""with {CUSTOMER_SQL}
+    select customer_id, label, case when segment in ('', 'NULL', 'null') then null else segment end as segment from t
+    where c_nationkey not in (3, 5)""",
 )
 def raw_load(spark: SparkSession, sf: str) -> DataFrame:
-    """Writes the customers as quoted CSV, then loads them back as raw text."""
-    source = table(spark, sf, "customer").selectExpr(*(c.format(text="string") for c in CUSTOMER_TEXT))
-    path = fresh_folder(spark, "raw-load")
-    raw_csv.write_csv(source, path)
-    return raw_csv.read_raw_csv(spark, path, ["customer_id", "label", "segment"])
+    """Customers written as quoted CSV, then loaded back as raw text: the lines that fit their header."""
+    return raw_csv.read_raw_csv(spark, customer_files(spark, sf), list(CUSTOMER_COLUMNS))
+
+
+@REG.query(
+    "raw_diverted",
+    f"""with {CUSTOMER_SQL} select {CUSTOMER_LINE} as line, case c_nationkey when 3 then 4 else 2 end as n_cells, label as first_cell from t where c_nationkey in (3, 5)""",
+)
+def raw_diverted(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the same files that the load leaves out."""
+    return raw_csv.diverted_rows(spark, customer_files(spark, sf), list(CUSTOMER_COLUMNS))
 
 
 REG.add(
@@ -112,12 +133,12 @@ LIMIT_MB = 5
 
 def document_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and pages as uploaded files: sources name the type, pages are HTML."""
-    docs = spread(table(spark, sf, "documents")).select(
+    docs = table(spark, sf, "documents").select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"),
                  F.when(F.col("source") == "src1", ".txt").otherwise(".csv")).alias("file_name"),
         F.col("text").alias("body"),
     )
-    pages = spread(table(spark, sf, "pages")).select(
+    pages = table(spark, sf, "pages").select(
         F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".CSV")).alias("file_name"),
         F.col("html").alias("body"),
     )
@@ -162,9 +183,10 @@ REG.add(
         and len(list_distinct(list_transform(normalized, lambda c: case when regexp_matches(c, '^[0-9]') then 'COL_' || c else c end))) <> width
       union all select file_name, 'no_data_rows' from n where stopped is null and len(data_rows) = 0
       union all select file_name, 'width_mismatch' from n where stopped is null
-        and len(list_filter(data_rows[1:25], lambda x: len(string_split(x, ',')) <> width)) > 0)
-    select file_name, rule, case rule when 'wrong_extension' then 'INVALID_FILE_TYPE'
-      when 'file_too_large' then 'FILE_TOO_LARGE' else 'INVALID_CSV_FORMAT' end as error_code from r""",
+        and len(list_filter(data_rows, lambda x: len(string_split(x, ',')) <> width)) > 0)
+    select r.file_name, rule, case rule when 'width_mismatch' then list_position(list_transform(data_rows, lambda x: len(string_split(x, ',')) <> width), true) end as bad_row,
+      case rule when 'wrong_extension' then 'INVALID_FILE_TYPE'
+      when 'file_too_large' then 'FILE_TOO_LARGE' else 'INVALID_CSV_FORMAT' end as error_code from r join n on r.file_name = n.file_name""",
 )
 REG.add(
     "file_manifest",
@@ -176,32 +198,33 @@ REG.add(
 # ---- sinks --------------------------------------------------------------------------------------
 
 
+# For each model a sum over its values, so that wrong contents show as well as missing rows.
+MODEL_SUMS = {
+    "stg_retail_transactions": "sum(cost)", "int_retail_sales_enriched": "sum(gross_margin)", "fact_sales": "sum(net_revenue)",
+    "dim_customer": "sum(length(customer_name) + length(customer_segment))", "dim_product": "sum(length(product_name) + length(product_category))",
+    "dim_store": "sum(length(store_name) + length(store_region))", "dim_date": "sum(order_year * 100 + order_month_number)",
+    "mart_sales_performance": "sum(revenue) + sum(orders)", "mart_product_performance": "sum(revenue) + sum(quantity)",
+    "mart_customer_segments": "sum(revenue) + sum(orders)", "mart_store_performance": "sum(revenue) + sum(orders)",
+}
+MODEL_TABLES = {"stg_retail_transactions": "stg", "int_retail_sales_enriched": "int", "fact_sales": "int"}
+
+
 @REG.query(
     "layer_tables",
-    f"""with {MART_SQL}, counts as (
-      select 'stg_retail_transactions' as model, 'staging' as layer, count(*) as row_count from stg
-      union all select 'int_retail_sales_enriched', 'intermediate', count(*) from int
-      union all select 'fact_sales', 'dimensional_model', count(*) from int
-      union all select 'dim_customer', 'dimensional_model', count(*) from dim_customer
-      union all select 'dim_product', 'dimensional_model', count(*) from dim_product
-      union all select 'dim_store', 'dimensional_model', count(*) from dim_store
-      union all select 'dim_date', 'dimensional_model', count(*) from dim_date
-      union all select 'mart_sales_performance', 'data_marts', count(*) from mart_sales_performance
-      union all select 'mart_product_performance', 'data_marts', count(*) from mart_product_performance
-      union all select 'mart_customer_segments', 'data_marts', count(*) from mart_customer_segments
-      union all select 'mart_store_performance', 'data_marts', count(*) from mart_store_performance)
-    select model, layer, row_count from counts""",
+    f"with {MART_SQL} " + " union all ".join(
+        f"select '{name}' as model, '{layer}' as layer, count(*) as row_count, cast({MODEL_SUMS[name]} as double) as value_sum from {MODEL_TABLES.get(name, name)}"
+        for layer, names in RetailModel.LAYERS.items() for name in names
+    ),
 )
 def layer_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Writes every layer as a table in the shared folder and counts what can be read back."""
+    """Writes every layer as a table in the shared folder, then counts and sums what can be read back."""
     model = RetailModel(retail_feed(spark, sf))
-    writer = sinks.parquet_writer(fresh_folder(spark, "layers"), {"fact_sales": "order_month"})
-    written = model.write(writer)
+    written = model.write(sinks.parquet_writer(scratch_folder(spark, "layers"), {"fact_sales": "order_month"}))
     counts = None
     for layer, names in RetailModel.LAYERS.items():
         for name in names:
-            one = written[name].agg(F.count("*").alias("row_count")).select(
-                F.lit(name).alias("model"), F.lit(layer).alias("layer"), "row_count"
+            one = written[name].agg(F.count("*").alias("row_count"), F.expr(MODEL_SUMS[name]).cast("double").alias("value_sum")).select(
+                F.lit(name).alias("model"), F.lit(layer).alias("layer"), "row_count", "value_sum"
             )
             counts = one if counts is None else counts.unionByName(one)
     return counts
@@ -213,6 +236,24 @@ SNAPSHOT_PLAN = AnalysisPlan(
 )
 
 
+CHART_PLAN = AnalysisPlan("mart_sales_performance", (("revenue", "sum"),), ("order_month",), sort=(("order_month", "asc"),), limit=500)
+
+
+@REG.query(
+    "plan_chart",
+    f"""with {MART_SQL}, r as (select order_month, sum(revenue) as revenue, row_number() over (order by order_month asc nulls last) as pos
+      from mart_sales_performance group by 1)
+    select 'line' as chart_type, 'Revenue Trend' as title, pos - 1 as position, strftime(order_month, '%Y-%m-%d') as x,
+      cast(revenue as double) as y from r""",
+)
+def plan_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """From a plan to the points of its chart: run, snapshot, chart choice, series."""
+    snapshot = sinks.result_snapshot(run_plan(mart(spark, sf, CHART_PLAN.source_model), CHART_PLAN), CHART_PLAN.limit)
+    chosen = charts.choose(sinks.as_chart_result(snapshot, CHART_PLAN, "How did revenue develop?"))
+    points = charts.series(chosen).join(chosen.select("run_id", "title"), "run_id")
+    return points.select("chart_type", "title", F.col("position").cast("long").alias("position"), "x", "y")
+
+
 @REG.query(
     "result_snapshot",
     f"""with {MART_SQL}, r as (select order_month, sum(revenue) as revenue, cast(sum(orders) as bigint) as orders,

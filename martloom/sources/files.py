@@ -12,7 +12,6 @@ from martloom.functions.names import normalize_header, normalize_headers, strip_
 from martloom.operators.unnest import unnest
 
 BYTES_PER_MB = 1024 * 1024
-PREVIEW_ROWS = 25
 # A quoted field, replaced by one mark so that its delimiters no longer count. The possessive
 # quantifiers keep Java's matcher iterative on long fields.
 QUOTED_BLANK = r'(^|[,\r\n])"[ \t]*"(?!")'
@@ -20,19 +19,14 @@ QUOTED_FIELD = r'(^|[,\r\n])(?:"[^"]*+")++'
 MARK = "\x01"
 
 
-def read_files(spark: SparkSession, path: str, limit_mb: int, log: DataFrame | None = None) -> DataFrame:
-    """Whole files as rows. Content over the size limit is never read, only its length.
+def read_files(spark: SparkSession, path: str, log: DataFrame | None = None) -> DataFrame:
+    """Whole files as rows, content of any size included, so that a manifest covers every file.
 
     Spark skips zero-byte files when it reads a folder. ``log``, a table with the ``file_name`` of
     every upload, brings them back: a logged name without content is an empty file.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    limit = limit_mb * BYTES_PER_MB
-    small = listed.filter(F.col("length") <= limit).select("path", "length", "content")
-    large = listed.filter(F.col("length") > limit).select(
-        "path", "length", F.lit(None).cast("binary").alias("content")
-    )
-    found = small.unionByName(large).select(
+    found = listed.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size_bytes"), "content"
     )
     if log is None:
@@ -81,7 +75,10 @@ def _parsed(files: DataFrame) -> DataFrame:
 
 
 def conformance(files: DataFrame, limit_mb: int) -> DataFrame:
-    """One row per broken rule and file. Early rules stop later ones, as later ones need them."""
+    """One row per broken rule and file; ``bad_row`` is the first data row of another width than the header.
+
+    Early rules stop later ones, as later ones need them.
+    """
     name, size = F.col("file_name"), F.col("size_bytes")
     normalized = F.col("normalized")
     width = F.size("headers")
@@ -106,9 +103,7 @@ def conformance(files: DataFrame, limit_mb: int) -> DataFrame:
         ("no_data_rows", F.size("data_rows") == 0),
         (
             "width_mismatch",
-            F.exists(
-                F.slice("data_rows", 1, PREVIEW_ROWS), lambda row: F.size(F.split(row, ",")) != width
-            ),
+            F.exists("data_rows", lambda row: F.size(F.split(row, ",")) != width),
         ),
     ]
     stopped = F.lit(None).cast("string")
@@ -117,8 +112,11 @@ def conformance(files: DataFrame, limit_mb: int) -> DataFrame:
     found = F.array_compact(F.array(*(F.when(broken, F.lit(rule)) for rule, broken in rules)))
     checked = _parsed(files).withColumns({"stopped": stopped, "normalized": normalize_headers("headers")})
     broken_rules = F.when(F.col("stopped").isNotNull(), F.array("stopped")).otherwise(found)
-    rows = unnest(checked, ["file_name"], broken_rules, "rule")
-    return rows.withColumn(
+    bad = F.filter(
+        F.transform("data_rows", lambda row, i: F.when(F.size(F.split(row, ",")) != width, i + 1)), lambda i: i.isNotNull()
+    )
+    rows = unnest(checked.withColumn("bad_row", F.get(bad, 0).cast("long")), ["file_name", "bad_row"], broken_rules, "rule")
+    return rows.withColumn("bad_row", F.when(F.col("rule") == "width_mismatch", F.col("bad_row"))).withColumn(
         "error_code",
         F.when(F.col("rule") == "wrong_extension", "INVALID_FILE_TYPE")
         .when(F.col("rule") == "file_too_large", "FILE_TOO_LARGE")

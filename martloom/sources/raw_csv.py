@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,32 +18,43 @@ class EmptyLoadError(ValueError):
     """A load produced no rows."""
 
 
+class HeaderError(ValueError):
+    """A file's header does not hold the expected columns."""
+
+
 def nulls_applied(col: Column) -> Column:
     return F.when(~col.isin(*LOAD_NULLS), col)
 
 
-def read_raw_csv(
-    spark: SparkSession, path: str, columns: list[str], multi_line: bool = True, keep_corrupt: bool = False
-) -> DataFrame:
-    """Headered CSV as text. Rows of the wrong width land in the corrupt column.
+def _parsed(spark: SparkSession, path: str, columns: list[str], multi_line: bool) -> DataFrame:
+    options = {
+        "header": "true", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "enforceSchema": "false",
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false",
+    }
+    given = spark.read.options(**options).csv(path).columns
+    if sorted(given) != sorted(columns):
+        raise HeaderError(f"the header has {given}, not {columns}")
+    # Every file is read in the order of the first one's header; Spark stops at a file with another order.
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*given, CORRUPT]])
+    return spark.read.schema(schema).options(**options).csv(path)
+
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task; switch it off for
-    files large enough to be split.
+def read_raw_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """Headered CSV as text, columns found by the header's names whatever their order.
+
+    A header without just these names is an error. Rows of another width than the header are left out here and
+    are what ``diverted_rows`` returns. Quoted line breaks need ``multi_line``, which reads each file in one task.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-    loaded = (
-        spark.read.schema(schema)
-        .option("header", "true")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", str(multi_line).lower())
-        .option("enforceSchema", "true")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    kept = [F.col(CORRUPT)] if keep_corrupt else []
-    return loaded.select(*(nulls_applied(F.col(c)).alias(c) for c in columns), *kept)
+    good = _parsed(spark, path, columns, multi_line).filter(F.col(CORRUPT).isNull())
+    return good.select(*(nulls_applied(F.col(c)).alias(c) for c in columns))
+
+
+def diverted_rows(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """The lines a load leaves out, as they stand in the files: ``line``, ``n_cells``, split at plain commas, and ``first_cell``."""
+    parsed = _parsed(spark, path, columns, multi_line)
+    bad = parsed.filter(F.col(CORRUPT).isNotNull())
+    bare = F.regexp_replace(CORRUPT, r'"(?:[^"]|"")*+"', "")
+    return bad.select(F.col(CORRUPT).alias("line"), F.size(F.split(bare, ",")).cast("long").alias("n_cells"), F.col(parsed.columns[0]).alias("first_cell"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -58,12 +71,18 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def load_table(raw: DataFrame, name: str) -> DataFrame:
-    """Save a raw load as a table; a load without rows fails and leaves no table behind."""
+    """Save a raw load as a table. A load without rows fails, and a table of that name stays as it was.
+
+    Rows go to a table of another name first, which takes the place of the old one once it is complete.
+    """
     spark = raw.sparkSession
-    if raw.isEmpty():
-        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    staged = f"{name}__load_{uuid.uuid4().hex[:8]}"
+    raw.write.saveAsTable(staged)
+    if spark.table(staged).isEmpty():
+        spark.sql(f"DROP TABLE {staged}")
         raise EmptyLoadError(f"load into {name} produced no rows")
-    raw.write.mode("overwrite").saveAsTable(name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
     return spark.table(name)
 
 

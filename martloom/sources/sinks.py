@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martloom.plans.analysis import AnalysisPlan
+
 
 def parquet_writer(folder: str, partitioned: dict[str, str] | None = None) -> Callable[[str, DataFrame], DataFrame]:
     """Writer for layered models: each model becomes a folder, rebuilt whole, and is read back.
@@ -59,6 +61,17 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*(safe(f) for f in df.schema.fields))
 
 
+def as_chart_result(snapshot: DataFrame, plan: AnalysisPlan, question: str, intent: str | None = None, grain: str = "") -> DataFrame:
+    """A result snapshot in the shape charts are chosen from: what was asked, and preview rows as field to text."""
+    names = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    return snapshot.select(
+        F.lit(0).alias("run_id"), F.lit(question).alias("question"), F.lit(intent).cast("string").alias("intent"),
+        F.lit(plan.source_model).alias("source_model"), F.lit(grain).alias("grain"),
+        names(name for name, _ in plan.metrics).alias("metrics"), names(plan.dimensions).alias("dimensions"), "output_schema",
+        F.transform("preview_rows", lambda row: F.from_json(F.to_json(row), "map<string,string>")).alias("preview_rows"),
+    )
+
+
 def result_snapshot(result: DataFrame, preview_limit: int = 100) -> DataFrame:
     """One row: output schema, the first rows and how many of them there are.
 

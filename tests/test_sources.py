@@ -26,7 +26,7 @@ CASES = {
     "same_header.csv": (b"Order ID,order-id\n1,2\n", ["duplicate_header"]),
     "no_rows.csv": (b"a,b\n , \n\n", ["no_data_rows"]),
     "ragged.csv": (b"a,b\n1,2\n3\n", ["width_mismatch"]),
-    "late_ragged.csv": (b"a,b\n" + b"1,2\n" * 25 + b"3\n", []),
+    "late_ragged.csv": (b"a,b\n" + b"1,2\n" * 25 + b"3\n", ["width_mismatch"]),
 }
 
 
@@ -42,18 +42,24 @@ def folder(tmp_path_factory):
 def test_conformance_of_files_on_disk(spark, folder):
     found: dict[str, list[str]] = {}
     log = spark.createDataFrame([(n,) for n in CASES], "file_name string")
-    for r in files.conformance(files.read_files(spark, folder, 1, log), 1).collect():
+    for r in files.conformance(files.read_files(spark, folder, log), 1).collect():
         found.setdefault(r["file_name"], []).append(r["rule"])
     expected = {n: rules for n, (_, rules) in CASES.items() if rules} | {"large.csv": ["file_too_large"]}
     assert {n: sorted(r) for n, r in found.items()} == {n: sorted(r) for n, r in expected.items()}
 
 
+def test_the_first_row_of_another_width_is_named(spark, folder):
+    rows = files.conformance(files.read_files(spark, folder), 5).filter("rule = 'width_mismatch'").collect()
+    assert {r["file_name"]: r["bad_row"] for r in rows} == {"ragged.csv": 2, "late_ragged.csv": 26}
+
+
 def test_manifest(spark, folder):
-    rows = {r["file_name"]: r for r in files.manifest(files.read_files(spark, folder, 1)).collect()}
+    rows = {r["file_name"]: r for r in files.manifest(files.read_files(spark, folder)).collect()}
     good = rows["good.csv"]
     assert good["checksum_sha256"] == hashlib.sha256(GOOD).hexdigest()
     assert (good["size_bytes"], good["row_count"], good["column_count"], good["extension"]) == (len(GOOD), 2, 2, ".csv")
     assert (rows["quoted.csv"]["row_count"], rows["quoted.csv"]["column_count"]) == (2, 2)
+    assert (rows["large.csv"]["row_count"], rows["large.csv"]["column_count"]) == (300_000, 2)
 
 
 def test_long_quoted_field_is_handled(spark):
@@ -66,7 +72,7 @@ def test_csv_round_trip_keeps_text(spark, tmp_path):
     rows = [("1", ' a "b", c ', "NULL"), ("2", "two\nlines", "null"), ("3", "", " NULL "), ("4", "x", "Null")]
     source = spark.createDataFrame(rows, "id string, label string, note string")
     raw_csv.write_csv(source, str(tmp_path / "csv"))
-    loaded = raw_csv.read_raw_csv(spark, str(tmp_path / "csv"), ["id", "label", "note"]).orderBy("id").collect()
+    loaded = raw_csv.read_raw_csv(spark, str(tmp_path / "csv"), ["id", "label", "note"], multi_line=True).orderBy("id").collect()
     assert [tuple(r) for r in loaded] == [
         ("1", ' a "b", c ', None), ("2", "two\nlines", None), ("3", None, " NULL "), ("4", "x", "Null"),
     ]
@@ -74,9 +80,17 @@ def test_csv_round_trip_keeps_text(spark, tmp_path):
 
 def test_rows_of_the_wrong_width_are_kept_aside(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
-    loaded = raw_csv.read_raw_csv(spark, str(tmp_path / "x.csv"), ["a", "b"], keep_corrupt=True)
-    bad = [r[raw_csv.CORRUPT] for r in loaded.collect() if r[raw_csv.CORRUPT] is not None]
-    assert sorted(bad) == ["3", "4,5,6"]
+    path = str(tmp_path / "x.csv")
+    assert [tuple(r) for r in raw_csv.read_raw_csv(spark, path, ["a", "b"]).collect()] == [("1", "2")]
+    bad = raw_csv.diverted_rows(spark, path, ["a", "b"]).collect()
+    assert sorted((r["line"], r["n_cells"]) for r in bad) == [("3", 1), ("4,5,6", 3)]
+
+
+def test_columns_are_found_by_the_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("c,b,a\n1,2,3\n")
+    assert [tuple(r) for r in raw_csv.read_raw_csv(spark, str(tmp_path / "x.csv"), ["a", "b", "c"]).collect()] == [("3", "2", "1")]
+    with pytest.raises(raw_csv.HeaderError):
+        raw_csv.read_raw_csv(spark, str(tmp_path / "x.csv"), ["a", "b", "d"])
 
 
 def test_zero_rows_fail_and_leave_no_table(spark):
@@ -86,6 +100,16 @@ def test_zero_rows_fail_and_leave_no_table(spark):
     assert not spark.catalog.tableExists("empty_load")
 
 
+def test_an_empty_load_keeps_the_table_of_that_name(spark):
+    raw_csv.load_table(spark.createDataFrame([("x",)], "a string"), "kept_load")
+    with pytest.raises(raw_csv.EmptyLoadError):
+        raw_csv.load_table(spark.createDataFrame([], "a string"), "kept_load")
+    assert [r["a"] for r in spark.table("kept_load").collect()] == ["x"]
+    assert raw_csv.load_table(spark.createDataFrame([("y",)], "a string"), "kept_load").first()["a"] == "y"
+    assert not [t.name for t in spark.catalog.listTables() if "__load_" in t.name]
+    spark.sql("DROP TABLE kept_load")
+
+
 def test_load_table(spark):
     assert raw_csv.load_table(spark.createDataFrame([("x",)], "a string"), "small_load").count() == 1
     spark.sql("DROP TABLE small_load")
@@ -114,3 +138,18 @@ def test_partitioned_layer_reads_back_with_its_types(spark, tmp_path):
     back = sinks.parquet_writer(str(tmp_path), {"t": "m"})("t", df)
     assert back.schema["m"].dataType == df.schema["m"].dataType
     assert sorted(back.collect(), key=lambda r: r["a"]) == sorted(df.collect(), key=lambda r: r["a"])
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from martloom.session import shared_folder
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="a", getConf=lambda: conf))
+
+    assert shared_folder(session("spark://host:7077", "hdfs:///x")) == "hdfs:///x"
+    with pytest.raises(ValueError):
+        shared_folder(session("local-cluster[2,1,1024]", None))
+    assert shared_folder(session("local[2]", None)) == shared_folder(session("local[2]", None))
