@@ -171,15 +171,15 @@ def violations(charts: DataFrame) -> DataFrame:
 def series(charts: DataFrame, compact: bool = False) -> DataFrame:
     """Chart points: the measure as a number where it reads as one, its text otherwise.
 
-    Tables show their first rows only; other charts show every preview row.
+    ``within_limit`` is false for rows that a table, which shows its first rows only, leaves off.
     """
     cap = COMPACT_TABLE_ROWS if compact else TABLE_ROWS
-    shown = F.when(F.col("chart_type") == "table", F.slice("preview_rows", 1, cap)).otherwise(F.col("preview_rows"))
     rows = unnest(
-        charts, ["run_id", "chart_type", "metric_field", "dimension_field"], shown, "row", "position"
+        charts, ["run_id", "chart_type", "metric_field", "dimension_field"], "preview_rows", "row", "position"
     )
     text = F.try_element_at("row", F.col("metric_field"))
     return rows.select(
         "run_id", "chart_type", "position",
         F.try_element_at("row", F.col("dimension_field")).alias("x"), C.to_number(text).alias("y"), text.alias("y_text"),
+        ((F.col("chart_type") != "table") | (F.col("position") < cap)).alias("within_limit"),
     )

@@ -9,7 +9,7 @@ from martloom.functions import documents as D
 from martloom.functions.names import SAFE_NAME, strip_all
 from martloom.functions.text import PLAN_SECRET_MARKERS, contains_any
 from martloom.operators.unnest import unnest
-from martloom.plans.analysis import AGGREGATIONS, DEFAULT_LIMIT, MAX_LIMIT, AnalysisPlan, Filter
+from martloom.plans.analysis import AGGREGATIONS, MAX_LIMIT, AnalysisPlan, Filter
 
 # Decisions, filter operators and directions a plan may name.
 DECISIONS = ("create_new", "needs_user_confirmation")
@@ -68,9 +68,7 @@ def checked(plans: DataFrame, catalog: DataFrame, keys: list[str] | None = None)
             ),
             F.array(),
         ).alias("sort"),
-        F.when(D.kind(doc, "$.limit") == "", F.lit(DEFAULT_LIMIT))
-        .when(D.is_integer(doc, "$.limit"), F.try_variant_get(given["limit"], "$", "bigint"))
-        .alias("asked_limit"),
+        F.when(D.is_integer(doc, "$.limit"), F.try_variant_get(given["limit"], "$", "bigint")).alias("row_limit"),
     )
     known = catalog.withColumnRenamed("mart", "source_model")
     joined = parts.join(known, [*keys, "source_model"], "left")
@@ -102,7 +100,8 @@ def checked(plans: DataFrame, catalog: DataFrame, keys: list[str] | None = None)
         rule("sort_list", ~_list_ok(doc, "$.sort")),
         rule("sort_field", in_catalog & F.exists("sort", lambda s: unknown(s["field"], fields))),
         rule("sort_direction", F.exists("sort", lambda s: outside(s["direction"], DIRECTIONS))),
-        rule("limit_integer", F.col("asked_limit").isNull()),
+        rule("limit_integer", ~D.is_missing(doc, "$.limit") & F.col("row_limit").isNull()),
+        rule("limit_range", (F.col("row_limit") < 1) | (F.col("row_limit") > MAX_LIMIT)),
         rule("question_text", F.col("question").isNull()),
         rule("intent_name", ~D.is_missing(doc, "$.intent") & ~F.coalesce(F.col("intent").rlike(SAFE_NAME), F.lit(False))),
         rule("grain_text", (D.kind(doc, "$.grain") != "") & F.col("plan_grain").isNull()),
@@ -117,7 +116,6 @@ def checked(plans: DataFrame, catalog: DataFrame, keys: list[str] | None = None)
     return joined.withColumns(
         {
             "broken": found,
-            "row_limit": F.greatest(F.lit(1), F.least(F.col("asked_limit"), F.lit(MAX_LIMIT))),
             "result_grain": F.coalesce("plan_grain", "grain"),
         }
     )
@@ -129,7 +127,7 @@ def violations(plans: DataFrame, catalog: DataFrame, keys: list[str] | None = No
 
 
 def accepted(plans: DataFrame, catalog: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Plans without violations, cleaned and with the limit clamped."""
+    """Plans without violations, cleaned. A plan without a limit returns all of its groups."""
     good = checked(plans, catalog, keys).filter(F.size("broken") == 0)
     value = lambda f: F.struct(
         strip_all(f["field"]).alias("field"), F.coalesce(f["operator"], F.lit("=")).alias("operator"),

@@ -14,7 +14,7 @@ from martloom.functions.names import is_safe_name
 from martloom.functions.text import SPEC_SECRET_MARKERS, contains_any
 from martloom.operators.unnest import unnest
 
-# List and text caps. Longer lists are cut, longer texts are refused.
+# List and text caps. All entries of a list are judged; what lies beyond its cap is marked. Longer texts are refused.
 KEY_ITEMS, MEASURE_ITEMS, DEGENERATE_ITEMS, DATE_ITEMS = 6, 8, 8, 4
 DIMENSION_ITEMS, DIMENSION_COLUMNS = 6, 8
 MART_ITEMS, MART_DIMENSIONS, MART_METRICS = 4, 3, 4
@@ -36,10 +36,14 @@ PAYLOAD_TYPE = (
 )
 
 
-def _texts(values: Column, cap: int) -> Column:
-    """Cut, cleaned and de-duplicated list. Unusable entries stay as NULL for the rule that reports them."""
-    kept = F.array_distinct(D.safe_texts(F.slice(values, 1, cap), NAME_LENGTH))
-    return F.coalesce(kept, F.array().cast("array<string>"))
+def _texts(values: Column) -> Column:
+    """Cleaned and de-duplicated list. Unusable entries stay as NULL for the rule that reports them."""
+    return F.coalesce(F.array_distinct(D.safe_texts(values, NAME_LENGTH)), F.array().cast("array<string>"))
+
+
+def _first(values: Column, cap: int) -> Column:
+    """The same list from its first entries only."""
+    return _texts(F.slice(values, 1, cap))
 
 
 def _has_null(values: Column) -> Column:
@@ -73,51 +77,55 @@ def parse(proposals: DataFrame) -> DataFrame:
     def dimension(d: Column) -> Column:
         return F.struct(
             _name(d["name"]).alias("name"), _name(d["key_column"]).alias("key_column"),
-            _texts(d["columns"], DIMENSION_COLUMNS).alias("columns"),
-            d["columns"].isNotNull().alias("columns_given"),
+            _texts(d["columns"]).alias("columns"), _first(d["columns"], DIMENSION_COLUMNS).alias("first_columns"),
+            d["columns"].isNotNull().alias("columns_given"), (F.size(d["columns"]) > DIMENSION_COLUMNS).alias("long"),
         )
 
     def keyed(d: Column) -> Column:
         """The key comes first where the columns leave it out."""
-        missing = ~F.array_contains(d["columns"], d["key_column"])
-        columns = F.when(
-            d["key_column"].isNotNull() & F.coalesce(missing, F.lit(True)),
-            F.concat(F.array(d["key_column"]), d["columns"]),
-        ).otherwise(d["columns"])
+
+        def with_key(name: str) -> Column:
+            missing = ~F.array_contains(d[name], d["key_column"])
+            return F.when(
+                d["key_column"].isNotNull() & F.coalesce(missing, F.lit(True)), F.concat(F.array(d["key_column"]), d[name])
+            ).otherwise(d[name])
+
         return F.struct(
-            d["name"].alias("name"), d["key_column"].alias("key_column"), columns.alias("columns"),
-            d["columns_given"].alias("columns_given"),
+            d["name"].alias("name"), d["key_column"].alias("key_column"), with_key("columns").alias("columns"),
+            with_key("first_columns").alias("first_columns"), d["columns_given"].alias("columns_given"), d["long"].alias("long"),
         )
 
-    mart_shapes = F.array(*(D.kind(doc, f"$.marts[{i}].grain") for i in range(MART_ITEMS)))
+    mart_shapes = F.transform(D.items(doc, "$.marts"), lambda m: D.kind(m, "$.grain"))
 
     def mart(m: Column, i: Column) -> Column:
-        shape = F.element_at(F.col("mart_shapes"), i + 1)
+        shape = F.get(F.col("mart_shapes"), i)
         return F.struct(
             _name(m["name"]).alias("name"),
             F.when(shape == "", F.lit(DEFAULT_MART_GRAIN))
             .when(shape == "STRING", D.safe_text(m["grain"], GRAIN_LENGTH))
             .alias("grain"),
-            _texts(m["dimensions"], MART_DIMENSIONS).alias("dimensions"),
-            _texts(m["metrics"], MART_METRICS).alias("metrics"),
+            _texts(m["dimensions"]).alias("dimensions"), _first(m["dimensions"], MART_DIMENSIONS).alias("first_dimensions"),
+            _texts(m["metrics"]).alias("metrics"), _first(m["metrics"], MART_METRICS).alias("first_metrics"),
+            (F.size(m["dimensions"]) > MART_DIMENSIONS).alias("long_dimensions"),
+            (F.size(m["metrics"]) > MART_METRICS).alias("long_metrics"),
         )
 
     cleaned = read.withColumns(
         {
             "mart_shapes": mart_shapes,
             "grain": _grain(doc, "$.grain", given["grain"], F.lit(None).cast("string")),
-            "dims": F.transform(F.slice(given["dimensions"], 1, DIMENSION_ITEMS), dimension),
+            "dims": F.transform(given["dimensions"], dimension),
         }
     )
     shaped = cleaned.select(
         *proposals.columns, "doc", "grain",
         _name(fact["name"]).alias("fact_name"),
         _grain(doc, "$.fact_table.grain", fact["grain"], F.col("grain")).alias("fact_grain"),
-        *(_texts(fact[n], cap).alias(f"fact_{n}") for n, cap in LISTS.items()),
+        *(_texts(fact[n]).alias(f"fact_{n}") for n in LISTS),
+        *(_first(fact[n], cap).alias(f"first_{n}") for n, cap in LISTS.items()),
+        F.array_compact(F.array(*(F.when(F.size(fact[n]) > cap, F.lit(f"fact_table.{n}")) for n, cap in LISTS.items()))).alias("long_lists"),
         F.coalesce(F.transform("dims", keyed), F.array()).alias("dimensions"),
-        F.coalesce(
-            F.transform(F.slice(given["marts"], 1, MART_ITEMS), mart), F.array()
-        ).alias("marts"),
+        F.coalesce(F.transform(given["marts"], mart), F.array()).alias("marts"),
     )
     keys = F.array_distinct(F.concat("fact_keys", F.transform("dimensions", lambda d: d["key_column"])))
     months = F.transform("fact_date_columns", lambda c: F.concat(c, F.lit("_month")))
@@ -146,67 +154,101 @@ def checked(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
     joined = parse(proposals).join(column_sets, "dataset_id", "left")
     doc, dims, marts = F.col("doc"), F.col("dimensions"), F.col("marts")
 
-    def rule(name: str, broken: Column, subject: Column | None = None) -> Column:
+    def rule(name: str, broken: Column, subject: Column | None = None, within: Column | bool = True) -> Column:
+        """``within``: whether it is broken as well when lists are cut at their caps."""
         at = F.lit("") if subject is None else F.coalesce(subject, F.lit(""))
+        near = F.lit(within) if isinstance(within, bool) else F.coalesce(within, F.lit(False))
         return F.when(
-            F.coalesce(broken, F.lit(False)), F.struct(F.lit(name).alias("rule"), at.alias("subject"))
+            F.coalesce(broken, F.lit(False)),
+            F.struct(F.lit(name).alias("rule"), at.alias("subject"), near.alias("within_limit")),
         )
 
+    def first(n: str) -> Column:
+        return F.col(f"first_{n}")
+
     head = [
         rule("grain_text", F.col("grain").isNull()),
         rule("fact_missing", ~D.is_object(doc, "$.fact_table")),
         rule("fact_name", ~(is_safe_name(F.col("fact_name")) & F.startswith("fact_name", F.lit("fact_")))),
         rule("fact_grain", F.col("fact_grain").isNull()),
-        *(rule(f"fact_{n}_list", ~_listed(doc, f"$.fact_table.{n}") | _has_null(F.col(f"fact_{n}"))) for n in LISTS),
-        *(rule(f"fact_{n}_unknown", _outside(F.array_compact(f"fact_{n}"), "all_columns")) for n in LISTS),
-        rule("fact_measures_numeric", (F.size("fact_measures") == 0) | _outside(F.col("fact_measures"), "measures")),
-        rule("fact_degenerate_labels", _outside(F.col("fact_degenerate_dimensions"), "label_columns")),
-        rule("fact_dates", _outside(F.col("fact_date_columns"), "dates")),
+        *(
+            rule(
+                f"fact_{n}_list", ~_listed(doc, f"$.fact_table.{n}") | _has_null(F.col(f"fact_{n}")),
+                within=~_listed(doc, f"$.fact_table.{n}") | _has_null(first(n)),
+            )
+            for n in LISTS
+        ),
+        *(
+            rule(
+                f"fact_{n}_unknown", _outside(F.array_compact(f"fact_{n}"), "all_columns"),
+                within=_outside(F.array_compact(first(n)), "all_columns"),
+            )
+            for n in LISTS
+        ),
+        rule(
+            "fact_measures_numeric", (F.size("fact_measures") == 0) | _outside(F.col("fact_measures"), "measures"),
+            within=(F.size("fact_measures") == 0) | _outside(first("measures"), "measures"),
+        ),
+        rule(
+            "fact_degenerate_labels", _outside(F.col("fact_degenerate_dimensions"), "label_columns"),
+            within=_outside(first("degenerate_dimensions"), "label_columns"),
+        ),
+        rule("fact_dates", _outside(F.col("fact_date_columns"), "dates"), within=_outside(first("date_columns"), "dates")),
         rule("dimensions_required", F.size(dims) < 1),
     ]
     dim_names = F.transform(dims, lambda d: d["name"])
 
     def dimension_rules(d: Column, i: Column) -> Column:
-        name = d["name"]
+        name, near = d["name"], i < DIMENSION_ITEMS
+        holds = lambda columns: F.exists(
+            columns, lambda c: F.array_contains(F.col("measures"), c) & (c != d["key_column"])
+        )
         return F.array(
-            rule("dimension_name", ~(is_safe_name(name) & F.startswith(name, F.lit("dim_"))), name),
-            rule("dimension_repeated", F.array_position(dim_names, name) < i + 1, name),
-            rule("dimension_key", ~is_safe_name(d["key_column"]), name),
-            rule("dimension_columns_list", ~d["columns_given"] | _has_null(d["columns"]), name),
-            rule("dimension_unknown_columns", _outside(F.array_compact(d["columns"]), "all_columns"), name),
+            rule("dimension_name", ~(is_safe_name(name) & F.startswith(name, F.lit("dim_"))), name, near),
+            rule("dimension_repeated", F.array_position(dim_names, name) < i + 1, name, near),
+            rule("dimension_key", ~is_safe_name(d["key_column"]), name, near),
             rule(
-                "dimension_holds_measure",
-                F.exists(
-                    d["columns"], lambda c: F.array_contains(F.col("measures"), c) & (c != d["key_column"])
-                ),
-                name,
+                "dimension_columns_list", ~d["columns_given"] | _has_null(d["columns"]), name,
+                near & (~d["columns_given"] | _has_null(d["first_columns"])),
             ),
+            rule(
+                "dimension_unknown_columns", _outside(F.array_compact(d["columns"]), "all_columns"), name,
+                near & _outside(F.array_compact(d["first_columns"]), "all_columns"),
+            ),
+            rule("dimension_holds_measure", holds(d["columns"]), name, near & holds(d["first_columns"])),
             rule(
                 "dimension_key_role",
                 ~F.array_contains(F.col("label_columns"), d["key_column"])
                 & ~F.array_contains(F.col("identifiers"), d["key_column"]),
-                name,
+                name, near,
             ),
+            rule("list_too_long", d["long"], F.concat(name, F.lit(".columns")), False),
         )
 
     mart_names = F.transform(marts, lambda m: m["name"])
 
     def mart_rules(m: Column, i: Column) -> Column:
-        name = m["name"]
-        loose = F.filter(
-            m["dimensions"],
+        name, near = m["name"], i < MART_ITEMS
+        loose = lambda columns: F.exists(
+            columns,
             lambda c: ~F.array_contains(F.col("candidates"), c)
             & ~(F.array_contains(F.col("label_columns"), c) & ~F.array_contains(F.col("measures"), c)),
         )
+        foreign = lambda metrics: F.size(F.array_except(metrics, F.col("fact_measures"))) > 0
         return F.array(
-            rule("mart_name", ~(is_safe_name(name) & F.startswith(name, F.lit("mart_"))), name),
-            rule("mart_repeated", F.array_position(mart_names, name) < i + 1, name),
-            rule("mart_grain", m["grain"].isNull(), name),
-            rule("mart_lists", _has_null(m["dimensions"]) | _has_null(m["metrics"]), name),
-            rule("mart_dimensions_required", F.size(m["dimensions"]) == 0, name),
-            rule("mart_metrics_required", F.size(m["metrics"]) == 0, name),
-            rule("mart_unknown_dimension", F.size(loose) > 0, name),
-            rule("mart_metric_not_in_fact", F.size(F.array_except(m["metrics"], F.col("fact_measures"))) > 0, name),
+            rule("mart_name", ~(is_safe_name(name) & F.startswith(name, F.lit("mart_"))), name, near),
+            rule("mart_repeated", F.array_position(mart_names, name) < i + 1, name, near),
+            rule("mart_grain", m["grain"].isNull(), name, near),
+            rule(
+                "mart_lists", _has_null(m["dimensions"]) | _has_null(m["metrics"]), name,
+                near & (_has_null(m["first_dimensions"]) | _has_null(m["first_metrics"])),
+            ),
+            rule("mart_dimensions_required", F.size(m["dimensions"]) == 0, name, near),
+            rule("mart_metrics_required", F.size(m["metrics"]) == 0, name, near),
+            rule("mart_unknown_dimension", loose(m["dimensions"]), name, near & loose(m["first_dimensions"])),
+            rule("mart_metric_not_in_fact", foreign(m["metrics"]), name, near & foreign(m["first_metrics"])),
+            rule("list_too_long", m["long_dimensions"], F.concat(name, F.lit(".dimensions")), False),
+            rule("list_too_long", m["long_metrics"], F.concat(name, F.lit(".metrics")), False),
         )
 
     body = F.concat(
@@ -214,6 +256,11 @@ def checked(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
         F.flatten(F.transform(dims, dimension_rules)),
         F.array(rule("marts_required", F.size(marts) < 1)),
         F.flatten(F.transform(marts, mart_rules)),
+        F.transform("long_lists", lambda path: rule("list_too_long", F.lit(True), path, False)),
+        F.array(
+            rule("list_too_long", F.size(dims) > DIMENSION_ITEMS, F.lit("dimensions"), False),
+            rule("list_too_long", F.size(marts) > MART_ITEMS, F.lit("marts"), False),
+        ),
     )
     found = (
         F.when(contains_any(F.col("payload"), SPEC_SECRET_MARKERS), F.array(rule("secret_text", F.lit(True))))
@@ -225,13 +272,14 @@ def checked(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
 
 
 def violations(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
-    """One row per broken rule: (proposal_id, position, rule, subject).
+    """One row per broken rule: (proposal_id, position, rule, subject, within_limit).
 
     Rules appear in checking order, so position 0 is the error a stop-at-first check would raise.
-    ``subject`` is the dimension or mart at fault, empty for the fact and the proposal itself.
+    ``subject`` is the dimension, mart or list at fault, empty for the fact and the proposal itself. Where ``within_limit`` is false,
+    the rule is broken only by entries beyond a list's cap, or by the length itself.
     """
     rows = unnest(checked(proposals, column_sets), ["proposal_id"], "broken", "v", "position")
-    return rows.select("proposal_id", "position", "v.rule", "v.subject")
+    return rows.select("proposal_id", "position", "v.rule", "v.subject", "v.within_limit")
 
 
 def accepted(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:

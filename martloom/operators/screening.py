@@ -13,6 +13,7 @@ from martloom.functions.text import PLAN_SECRET_MARKERS, SECRET_MARKERS, contain
 from martloom.operators.proposals import BASE_TERMS
 from martloom.operators.unnest import unnest
 
+# Entries a reader of the first few would see, and the longest texts.
 QUESTIONS, QUESTION_LENGTH, INTENT_LENGTH = 5, 180, 128
 FINDINGS, FINDING_LENGTH, SUMMARY_LENGTH, TAG_LENGTH, CHART_INSIGHTS = 5, 240, 800, 32, 3
 # Words that point at raw columns rather than marts (plain substrings).
@@ -20,6 +21,7 @@ RAW_ONLY_TERMS = (
     "payment", "payment method", "discount", "discount amount", "unit price", "cost", "customer name",
     "customer id", "product id", "store id", "order id", "order line", "raw",
 )
+# Fixed value: a claim that something to come is there.
 READY_CLAIM = "(dashboard|chart|insight).{0,40}(ready|created|generated)"
 # Phrases an insight cannot support, and the tags and confidences it may carry.
 UNSUPPORTED_CLAIMS = (
@@ -45,26 +47,25 @@ def _any_of(words) -> str:
 
 
 def screen_questions(payloads: DataFrame, terms: list[str]) -> DataFrame:
-    """The first few suggested questions of each payload, with every rule they break.
+    """All suggested questions of each payload, with every rule they break.
 
-    ``kept`` marks the first good one among questions that differ only in case. A payload that is
-    unusable as a whole has one row at position -1.
+    ``kept`` marks the first good one among questions that differ only in case; a bad spelling before it does not
+    count. ``within_limit`` says which questions a reader of the first few would see. A payload that is unusable as
+    a whole has one row at position -1. Members of the wrong type count as unusable text.
     """
-    read = payloads.withColumns(
-        {
-            "doc": D.parse(F.col("payload")),
-            "given": F.from_json("payload", "suggested_questions array<struct<question:string,intent:string>>"),
-        }
-    )
-    items = F.slice(F.col("given.suggested_questions"), 1, QUESTIONS)
+    read = payloads.withColumn("doc", D.parse(F.col("payload")))
+    read = read.withColumn("items", D.items(F.col("doc"), "$.suggested_questions"))
     stop = (
         F.when(contains_any(F.col("payload"), PLAN_SECRET_MARKERS), "secret_text")
         .when(F.col("doc").isNull(), "not_json_object")
-        .when(F.coalesce(F.size("given.suggested_questions"), F.lit(0)) < 1, "questions_required")
+        .when(F.coalesce(F.size("items"), F.lit(0)) < 1, "questions_required")
     )
     cleaned = F.transform(
-        items,
-        lambda q: F.struct(collapse_spaces(q["question"]).alias("question"), collapse_spaces(q["intent"]).alias("intent")),
+        "items",
+        lambda q: F.struct(
+            collapse_spaces(D.text(q, "$.question")).alias("question"), collapse_spaces(D.text(q, "$.intent")).alias("intent"),
+            (~D.is_missing(q, "$.intent")).alias("intent_given"),
+        ),
     )
     rule = lambda name, broken: F.when(F.coalesce(broken, F.lit(False)), F.lit(name))
 
@@ -79,7 +80,7 @@ def screen_questions(payloads: DataFrame, terms: list[str]) -> DataFrame:
                 rule("raw_only_term", lowered.rlike(_any_of(RAW_ONLY_TERMS))),
                 rule("no_catalog_term", ~lowered.rlike(_any_of(terms))),
                 rule("claims_ready", lowered.rlike(READY_CLAIM)),
-                rule("intent", q["intent"].isNotNull() & ~intent_ok),
+                rule("intent", q["intent_given"] & ~F.coalesce(intent_ok, F.lit(False))),
             )
         )
         return F.struct(question.alias("question"), lowered.alias("key"), F.array_join(broken, "|").alias("violations"))
@@ -87,7 +88,8 @@ def screen_questions(payloads: DataFrame, terms: list[str]) -> DataFrame:
     prepared = read.withColumns({"stop": stop, "cleaned": cleaned}).withColumn(
         "judged", F.transform("cleaned", judged)
     )
-    keys = prepared.withColumn("keys", F.transform("judged", lambda q: q["key"]))
+    # Keys of good questions in place, so the first good one is found by position.
+    keys = prepared.withColumn("keys", F.transform("judged", lambda q: F.when(q["violations"] == "", q["key"])))
     rows = keys.select(
         "payload_id", "stop", "keys",
         F.posexplode_outer(F.when(F.col("stop").isNull(), F.col("judged"))).alias("position", "q"),
@@ -97,6 +99,7 @@ def screen_questions(payloads: DataFrame, terms: list[str]) -> DataFrame:
         "payload_id", F.coalesce("position", F.lit(-1)).alias("position"), F.col("q.question").alias("question"),
         F.coalesce("stop", "q.violations").alias("violations"),
         F.coalesce((F.col("q.violations") == "") & first, F.lit(False)).alias("kept"),
+        (F.coalesce("position", F.lit(-1)) < QUESTIONS).alias("within_limit"),
     )
 
 
@@ -109,48 +112,59 @@ def first_of_each(questions: DataFrame, scope: list[str], position: list[str], t
     )
 
 
-INSIGHT_TYPE = (
-    "summary:string,key_findings:array<string>,tags:array<string>,confidence:string,chart_id:string,"
-    "analysis_run_chart_id:string,chart_title:string"
-)
-
-
 def screen_insights(payloads: DataFrame, charts: DataFrame) -> DataFrame:
-    """The question insight and the first chart insights of each payload, with the rules they break.
+    """The question insight and all chart insights of each payload, with the rules they break.
 
-    ``charts`` (run_id, chart_id, title) says what a chart insight may refer to, by id or by title.
+    ``charts`` (run_id, chart_id, title, sort_order) says what a chart insight may refer to, by id or by title; of charts with
+    one title the last in order counts. ``within_limit`` is false for a chart insight beyond the first few, and ``finding_within_limit``
+    says whether a bad finding is among the first few. Members of the wrong type break the rule of their place.
     """
-    shape = f"question_insight struct<{INSIGHT_TYPE}>, chart_insights array<struct<{INSIGHT_TYPE}>>"
-    read = payloads.withColumns({"doc": D.parse(F.col("payload")), "given": F.from_json("payload", shape)})
+    read = payloads.withColumn("doc", D.parse(F.col("payload")))
     doc = F.col("doc")
+    read = read.withColumns({
+        "question": F.when(D.is_object(doc, "$.question_insight"), D.member(doc, "$.question_insight")),
+        "charted": D.items(doc, "$.chart_insights"),
+    })
     stop = (
         F.when(contains_any(F.col("payload"), SECRET_MARKERS), "secret_text")
         .when(doc.isNull(), "not_json_object")
-        .when(~D.is_object(doc, "$.question_insight"), "question_insight_required")
-        .when((D.kind(doc, "$.chart_insights") != "") & ~D.is_list(doc, "$.chart_insights"), "chart_insights_list")
+        .when(F.col("question").isNull(), "question_insight_required")
+        .when((D.kind(doc, "$.chart_insights") != "") & F.col("charted").isNull(), "chart_insights_list")
     )
-    charted = F.coalesce(F.slice(F.col("given.chart_insights"), 1, CHART_INSIGHTS), F.array())
-    items = F.concat(F.array("given.question_insight"), charted)
+    nonblank = lambda c: F.when(strip_all(c) != "", strip_all(c))
+
+    def typed(i: Column) -> Column:
+        """Members of one insight; text where text was given, NULL for anything else."""
+        tag = lambda t: F.replace(F.lower(collapse_spaces(D.text(t))), F.lit(" "), F.lit("_"))
+        # A chart id of another type gives way to the title, as a missing one does; a false or empty one to the other id.
+        empty_id = D.is_missing(i, "$.chart_id") | (F.coalesce(D.text(i, "$.chart_id"), F.lit("x")) == "")
+        chart = F.when(empty_id, D.text(i, "$.analysis_run_chart_id")).otherwise(D.text(i, "$.chart_id"))
+        return F.struct(
+            collapse_spaces(D.text(i, "$.summary")).alias("summary"),
+            D.is_object(i).alias("is_object"),
+            (D.is_missing(i, "$.key_findings") | D.is_list(i, "$.key_findings")).alias("findings_ok"),
+            F.transform(D.items(i, "$.key_findings"), lambda f: collapse_spaces(D.text(f))).alias("findings"),
+            (D.is_missing(i, "$.tags") | D.is_list(i, "$.tags")).alias("tags_ok"),
+            F.transform(D.items(i, "$.tags"), tag).alias("tags"),
+            F.lower(collapse_spaces(D.text(i, "$.confidence"))).alias("confidence"),
+            F.coalesce(nonblank(chart), nonblank(D.text(i, "$.chart_title"))).alias("reference"),
+        )
+
+    items = F.concat(F.array("question"), F.coalesce("charted", F.array().cast("array<variant>")))
     rows = read.withColumn("stop", stop).select(
         "run_id", "stop",
-        F.posexplode_outer(F.when(F.col("stop").isNull(), items)).alias("position", "insight"),
+        F.posexplode_outer(F.when(F.col("stop").isNull(), F.transform(items, typed))).alias("position", "i"),
     )
-    i = F.col("insight")
-    nonblank = lambda c: F.when(strip_all(c) != "", strip_all(c))
     no_text = F.array().cast("array<string>")
     parts = rows.select(
-        "run_id", "stop", F.coalesce("position", F.lit(-1)).alias("position"),
-        collapse_spaces(i["summary"]).alias("summary"),
-        F.coalesce(F.transform(F.slice(i["key_findings"], 1, FINDINGS), collapse_spaces), no_text).alias("findings"),
-        F.coalesce(
-            F.transform(i["tags"], lambda t: F.replace(F.lower(collapse_spaces(t)), F.lit(" "), F.lit("_"))), no_text
-        ).alias("tags"),
-        F.lower(collapse_spaces(i["confidence"])).alias("confidence"),
-        F.coalesce(nonblank(F.coalesce(F.nullif(i["chart_id"], F.lit("")), i["analysis_run_chart_id"])), nonblank(i["chart_title"])).alias("reference"),
+        "run_id", "stop", F.coalesce("position", F.lit(-1)).alias("position"), "i.summary", "i.is_object", "i.findings_ok", "i.tags_ok",
+        F.coalesce("i.findings", no_text).alias("findings"), F.coalesce("i.tags", no_text).alias("tags"),
+        "i.confidence", "i.reference",
     )
-    by_id = charts.select("run_id", F.col("chart_id").alias("reference"), "chart_id")
-    by_title = charts.select("run_id", F.lower("title").alias("reference"), "chart_id")
-    lookup = by_id.unionByName(by_title).groupBy("run_id", "reference").agg(F.max("chart_id").alias("chart_id"))
+    by_id = charts.select("run_id", F.col("chart_id").alias("reference"), "chart_id", "sort_order")
+    by_title = charts.select("run_id", F.lower("title").alias("reference"), "chart_id", "sort_order")
+    last = F.max_by("chart_id", F.struct("sort_order", "chart_id")).alias("chart_id")
+    lookup = by_id.unionByName(by_title).groupBy("run_id", "reference").agg(last)
     exact = parts.join(lookup, ["run_id", "reference"], "left")
     lowered = lookup.select(
         "run_id", F.col("reference").alias("lowered"), F.col("chart_id").alias("chart_by_title")
@@ -160,22 +174,29 @@ def screen_insights(payloads: DataFrame, charts: DataFrame) -> DataFrame:
     on_chart = F.col("position") > 0
     claims = _any_of(UNSUPPORTED_CLAIMS)
     bad_length = lambda c, cap: (F.coalesce(F.length(c), F.lit(0)) < 1) | (F.length(c) > cap)
+    bad_finding = lambda f: bad_length(f, FINDING_LENGTH) | F.coalesce(F.lower(f).rlike(claims), F.lit(False))
     rule = lambda name, broken: F.when(F.coalesce(broken, F.lit(False)), F.lit(name))
     broken = F.array_compact(
         F.array(
+            rule("insight_object", ~F.col("is_object")),
             rule("no_chart_reference", on_chart & F.col("reference").isNull()),
             rule("unknown_chart", on_chart & F.col("reference").isNotNull() & chart.isNull()),
             rule("summary_text", bad_length(F.col("summary"), SUMMARY_LENGTH)),
             rule("summary_claim", F.lower("summary").rlike(claims)),
+            rule("findings_list", ~F.col("findings_ok")),
             rule("finding_text", F.exists("findings", lambda f: bad_length(f, FINDING_LENGTH))),
             rule("finding_claim", F.exists("findings", lambda f: F.coalesce(F.lower(f).rlike(claims), F.lit(False)))),
-            rule("tag", F.exists("tags", lambda t: ~F.coalesce(t.isin(*TAGS), F.lit(False)))),
+            rule("tags_list", ~F.col("tags_ok")),
+            rule("tag", F.exists("tags", lambda t: bad_length(t, TAG_LENGTH) | ~F.coalesce(t.isin(*TAGS), F.lit(False)))),
             rule("confidence", ~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(False))),
         )
     )
+    first_bad = F.array_position(F.transform("findings", bad_finding), True)
     return found.select(
         "run_id", "position",
         F.when(F.col("position") < 0, F.lit(None)).when(on_chart, "chart").otherwise("question").alias("insight_level"),
         F.coalesce("stop", F.array_join(broken, "|")).alias("violations"),
         F.array_distinct("tags").alias("tags"), "confidence", F.when(on_chart, chart).alias("chart_id"),
+        (F.col("position") <= CHART_INSIGHTS).alias("within_limit"),
+        first_bad.between(1, FINDINGS).alias("finding_within_limit"),
     )

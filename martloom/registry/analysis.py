@@ -14,16 +14,22 @@ from martloom.plans.retail import RETAIL_CATALOG
 from martloom.registry.common import Registry
 from martloom.registry.workspace import NORMALIZED
 from martloom.sources import payloads as Y
-from martloom.sources.feeds import spread, table
+from martloom.sources.feeds import table
 from martloom.sources.inline import catalog
 
 REG = Registry()
 
 # ---- plans --------------------------------------------------------------------------------------
 
-CATALOG_SQL = "catalog(mart, metrics, dimensions) as (values " + ", ".join(
-    f"('{n}', {m['metrics']!r}, {m['dimensions']!r})" for n, m in RETAIL_CATALOG.items()
+CATALOG_SQL = "catalog(mart, grain, metrics, dimensions) as (values " + ", ".join(
+    f"('{n}', '{m['grain']}', {m['metrics']!r}, {m['dimensions']!r})" for n, m in RETAIL_CATALOG.items()
 ) + ")"
+PLAN_RULES = (
+    "secret_text", "not_json_object", "contains_sql", "decision_type", "needs_confirmation", "unknown_model", "metrics_required", "metric_name",
+    "metric_aggregation", "dimensions_list", "dimension_name", "filters_list", "filter_field", "filter_operator", "filter_value",
+    "sort_list", "sort_field", "sort_direction", "limit_integer", "limit_range", "question_text", "intent_name", "grain_text",
+    "sort_not_selected", "metric_repeated",
+)
 PLANS_SQL = f"""{CATALOG_SQL},
 p as (select o_orderkey as plan_id, {Y.PLAN_PAYLOAD} as payload from orders),
 g as (select *, case when contains(lower(payload), 'api_key') or contains(lower(payload), 'secret') then 'secret_text'
@@ -40,7 +46,7 @@ j as (select plan_id, payload as j, nullif(trim(json_extract_string(payload, '$.
     json_extract_string(payload, '$.sort[*].field') as sort_fields,
     list_transform(json_extract_string(payload, '$.sort[*].direction'), lambda a: lower(a)) as sort_dirs
   from g where stop is null),
-c as (select j.*, metrics, dimensions, mart is not null as known from j left join catalog on model = mart),
+c as (select j.*, grain, metrics, dimensions, mart is not null as known from j left join catalog on model = mart),
 violations(plan_id, rule) as (
   select plan_id, stop from g where stop is not null
   union all select plan_id, 'contains_sql' from c where json_exists(j, '$.sql') or json_exists(j, '$.generated_sql')
@@ -58,6 +64,7 @@ violations(plan_id, rule) as (
   union all select plan_id, 'sort_field' from c where known and not list_has_all(list_concat(dimensions, metrics), sort_fields)
   union all select plan_id, 'sort_direction' from c where not list_has_all(['asc', 'desc'], sort_dirs)
   union all select plan_id, 'limit_integer' from c where limit_type not in ('UBIGINT', 'BIGINT')
+  union all select plan_id, 'limit_range' from c where limit_type in ('UBIGINT', 'BIGINT') and cast(json_extract(j, '$.limit') as bigint) not between 1 and 500
   union all select plan_id, 'question_text' from c where question is null
   union all select plan_id, 'intent_name' from c where not regexp_full_match(intent, '[A-Za-z_][A-Za-z0-9_]{{0,63}}')
   union all select plan_id, 'sort_not_selected' from c where known
@@ -71,19 +78,25 @@ def plan_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 REG.add(
     "plan_violations",
-    lambda s, d: Q.violations(*plan_frames(s, d)).drop("position"),
-    f"with {PLANS_SQL} select * from violations",
+    lambda s, d: Q.violations(*plan_frames(s, d)),
+    f"""with {PLANS_SQL} select plan_id, rule,
+      row_number() over (partition by plan_id order by list_position({list(PLAN_RULES)!r}, rule)) - 1 as position from violations""",
 )
 REG.add(
     "plan_accepted",
     lambda s, d: Q.accepted(*plan_frames(s, d)).select(
         "plan_id", "source_model", F.transform("metrics", lambda m: F.concat_ws(":", m["name"], m["aggregation"])).alias("metrics"),
-        "dimensions", F.col("row_limit").cast("long").alias("row_limit"),
+        "dimensions", F.col("row_limit").cast("long").alias("row_limit"), "question", "intent", "result_grain",
+        F.transform("filters", lambda f: F.concat_ws(" ", f["field"], f["operator"], f["value"])).alias("filters"),
+        F.transform("sort", lambda f: F.concat_ws(" ", f["field"], f["direction"])).alias("sort"),
     ),
     f"""with {PLANS_SQL} select plan_id, model as source_model,
       array_to_string(list_transform(list_zip(names, aggs), lambda z: z[1] || ':' || z[2]), '|') as metrics,
       array_to_string(dims, '|') as dimensions,
-      cast(greatest(1, least(cast(json_extract(j, '$.limit') as bigint), 500)) as bigint) as row_limit
+      cast(json_extract(j, '$.limit') as bigint) as row_limit, question, intent, grain as result_grain,
+      array_to_string(list_transform(list_zip(filter_fields, filter_ops, json_extract(j, '$.filters[*].value')),
+        lambda z: z[1] || ' ' || z[2] || ' ' || cast(z[3] as varchar)), '|') as filters,
+      array_to_string(list_transform(list_zip(sort_fields, sort_dirs), lambda z: z[1] || ' ' || z[2]), '|') as sort
     from c where plan_id not in (select plan_id from violations)""",
 )
 
@@ -173,7 +186,7 @@ LABEL = """array_to_string(list_transform(string_split({c}, '_'), lambda w: uppe
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """Stored results, one per order: schema, a few preview rows, and what the run asked for."""
-    flat = spread(table(spark, sf, "orders")).selectExpr(*(c.format(text="string") for c in RESULT_COLUMNS))
+    flat = table(spark, sf, "orders").selectExpr(*(c.format(text="string") for c in RESULT_COLUMNS))
     dim, metric = F.upper("dim"), F.upper("metric")
     fields = F.array_compact(
         F.array(
@@ -231,11 +244,11 @@ ASKED_SPEC = """concat('{"type": "', asked_type, '", "source_model": "mart_sales
   case when run_id % 23 = 0 then ', "layout": "plotly"' when run_id % 23 = 1 then ', "note": "token"' else '' end, '}')"""
 REG.add(
     "chart_violations",
-    lambda s, d: G.violations(results(s, d).withColumn("chart_spec", F.expr(ASKED_SPEC))).drop("position"),
+    lambda s, d: G.violations(results(s, d).withColumn("chart_spec", F.expr(ASKED_SPEC))),
     f"""with {FLAT_SQL}, a as (select *, case when run_id % 19 = 0 then 'NO_FIELD' else upper(coalesce(dim, 'STORE_RANK')) end as x,
       asked_type in ('bar', 'horizontal_bar', 'line') as axes from r),
-    b as (select *, x = upper(dim) as x_known from a)
-    select run_id, 'unsupported_type' as rule from b where asked_type = 'pie'
+    b as (select *, x = upper(dim) as x_known from a),
+    found as (select run_id, 'unsupported_type' as rule from b where asked_type = 'pie'
     union all select run_id, 'plotly_config' from b where run_id % 23 = 0
     union all select run_id, 'unknown_source_model' from b where source_model <> 'mart_sales'
     union all select run_id, 'secret_text' from b where run_id % 23 = 1
@@ -243,15 +256,17 @@ REG.add(
     union all select run_id, 'kpi_not_numeric' from b where asked_type = 'kpi' and not metric_numeric
     union all select run_id, 'y_not_numeric' from b where axes and not metric_numeric
     union all select run_id, 'line_x_not_time' from b where asked_type = 'line' and not (coalesce(x_known, false) and dim_time)
-    union all select run_id, 'bar_x_numeric' from b where asked_type in ('bar', 'horizontal_bar') and coalesce(x_known, false) and dim_numeric""",
+    union all select run_id, 'bar_x_numeric' from b where asked_type in ('bar', 'horizontal_bar') and coalesce(x_known, false) and dim_numeric)
+    select run_id, rule, row_number() over (partition by run_id order by list_position(['unsupported_type', 'plotly_config', 'unknown_source_model',
+      'secret_text', 'fields_outside_schema', 'kpi_not_numeric', 'y_not_numeric', 'line_x_not_time', 'bar_x_numeric'], rule)) - 1 as position from found""",
 )
 REG.add(
     "chart_series",
     lambda s, d: G.series(G.choose(results(s, d)), compact=True),
-    f"""with {FLAT_SQL}, n as (select *, unnest(range(cast(case when chart_type = 'table' then least(n_rows, 3) else n_rows end as bigint))) as position from chart)
+    f"""with {FLAT_SQL}, n as (select *, unnest(range(cast(n_rows as bigint))) as position from chart)
     select run_id, chart_type, position, case when dim is not null and (metric_numeric or chart_type = 'table') then label end as x,
       case when metric_numeric then try_cast(replace(value, ',', '') as double) end as y,
-      case when metric_numeric then value end as y_text from n""",
+      case when metric_numeric then value end as y_text, chart_type <> 'table' or position < 3 as within_limit from n""",
 )
 
 # ---- screens ------------------------------------------------------------------------------------
@@ -260,19 +275,26 @@ TERMS = Z.terms_of(RETAIL_CATALOG)
 
 
 def question_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """One payload per turn: two near-equal questions, then the turn's sentences as questions."""
+    """One payload per turn: two near-equal questions, then the turn's sentences as questions.
+
+    On some turns the first question has a bad intent, so that its second spelling is the first good one; on others
+    intents are no text.
+    """
     ending = F.when(F.col("role") == "user", " by region?").when(F.col("role") == "assistant", "?").otherwise("")
     intent = F.when(F.col("turn") % 3 == 0, F.lit("two words")).when(F.col("turn") % 3 == 1, F.lit("trend"))
     asked = F.concat(
         F.array(F.lit("Revenue by  month?"), F.lit("revenue BY month? ")),
         F.transform(F.split("text", r"\."), lambda t: F.concat(t, ending)),
     )
+    first = F.when(F.col("conv_id") % 5 == 2, F.lit("not safe"))
     items = F.transform(
-        asked, lambda q, i: F.struct(q.alias("question"), F.when(i > 1, intent).alias("intent"))
+        asked, lambda q, i: F.struct(q.alias("question"), F.when(i > 1, intent).when(i == 0, first).alias("intent"))
     )
-    return spread(table(spark, sf, "conversations")).select(
+    payload = F.to_json(F.struct(items.alias("suggested_questions")))
+    untyped = F.replace(payload, F.lit('"intent":"trend"'), F.lit('"intent":true'))
+    return table(spark, sf, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("payload_id"),
-        F.to_json(F.struct(items.alias("suggested_questions"))).alias("payload"),
+        F.when(F.col("conv_id") % 7 == 3, untyped).otherwise(payload).alias("payload"),
     )
 
 
@@ -280,21 +302,24 @@ CLEAN = "trim(regexp_replace({c}, '[\\s\\pZ]+', ' ', 'g'))"
 REG.add(
     "question_screen",
     lambda s, d: Z.screen_questions(question_payloads(s, d), TERMS),
-    f"""with a as (select conv_id || '-' || turn as payload_id, text, case turn % 3 when 0 then 'two words' when 1 then 'trend' end as intent,
+    f"""with a as (select conv_id || '-' || turn as payload_id, conv_id, text, case turn % 3 when 0 then 'two words' when 1 then 'trend' end as intent,
       list_concat(['Revenue by  month?', 'revenue BY month? '], list_transform(string_split(text, '.'),
-        lambda t: t || case role when 'user' then ' by region?' when 'assistant' then '?' else '' end))[1:5] as asked from conversations),
-    q as (select payload_id, text, case when position > 1 then intent end as intent, position, {CLEAN.format(c='question')} as question from (
-      select payload_id, text, intent, unnest(asked) as question, generate_subscripts(asked, 1) - 1 as position from a)),
+        lambda t: t || case role when 'user' then ' by region?' when 'assistant' then '?' else '' end)) as asked from conversations),
+    q as (select payload_id, text, case when position > 1 then intent when position = 0 and conv_id % 5 = 2 then 'not safe' end as intent,
+        conv_id % 7 = 3 and intent = 'trend' and position > 1 as untyped, position, {CLEAN.format(c='question')} as question from (
+      select payload_id, conv_id, text, intent, unnest(asked) as question, generate_subscripts(asked, 1) - 1 as position from a)),
     v as (select *, concat_ws('|', case when length(question) < 1 or length(question) > 180 then 'text' end,
         case when not contains(question, '?') then 'no_question_mark' end,
         case when regexp_matches(lower(question), '{'|'.join(Z.RAW_ONLY_TERMS)}') then 'raw_only_term' end,
         case when not regexp_matches(lower(question), '{'|'.join(TERMS)}') then 'no_catalog_term' end,
         case when regexp_matches(lower(question), '(dashboard|chart|insight).{{0,40}}(ready|created|generated)') then 'claims_ready' end,
-        case when not regexp_full_match(intent, '[A-Za-z_][A-Za-z0-9_]{{0,63}}') then 'intent' end) as violations,
-      row_number() over (partition by payload_id, lower(question) order by position) as seen from q),
+        case when untyped or not regexp_full_match(intent, '[A-Za-z_][A-Za-z0-9_]{{0,63}}') then 'intent' end) as violations from q),
+    good as (select payload_id, lower(question) as key, min(position) as position from v where violations = '' group by 1, 2),
     s as (select conv_id || '-' || turn as payload_id from conversations where regexp_matches(lower(text), 'api_key|secret'))
-    select payload_id, position, question, violations, violations = '' and seen = 1 as kept from v where payload_id not in (select payload_id from s)
-    union all select payload_id, -1, null, 'secret_text', false from s""",
+    select payload_id, position, question, violations, (payload_id, lower(question), position) in (select (payload_id, key, position) from good) as kept,
+      position < 5 as within_limit
+    from v where payload_id not in (select payload_id from s)
+    union all select payload_id, -1, null, 'secret_text', false, true from s""",
 )
 REG.add(
     "dedupe_questions",
@@ -313,7 +338,10 @@ REG.add(
 
 
 def insight_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """One payload per document: its text as the summary, its lines as findings."""
+    """One payload per document: its text as the summary, its lines as findings, five chart insights.
+
+    Some documents hold numbers, texts and lists in the wrong places.
+    """
     lines = F.split("text", "\n")
     title = (
         F.when(F.col("doc_id") % 3 == 0, "revenue trend").when(F.col("doc_id") % 3 == 1, "Margin by Store").otherwise("")
@@ -329,44 +357,72 @@ def insight_payloads(spark: SparkSession, sf: str) -> DataFrame:
         title.alias("chart_title"), F.element_at(lines, 1).alias("summary"),
         F.array(F.lit("store")).alias("tags"), F.lit("medium").alias("confidence"),
     )
-    return spread(table(spark, sf, "documents")).select(
-        F.col("doc_id").alias("run_id"),
-        F.to_json(F.struct(question.alias("question_insight"), F.array(chart).alias("chart_insights"))).alias("payload"),
+    last = F.struct(
+        F.lit(None).cast("string").alias("chart_id"), F.lit("Revenue Trend").alias("chart_title"), F.lit("").alias("summary"),
+        F.array(F.lit("store")).alias("tags"), F.lit("medium").alias("confidence"),
+    )
+    charted = F.concat(F.array_repeat(chart, 4), F.array(last)).alias("chart_insights")
+    payload = F.to_json(F.struct(question.alias("question_insight"), charted))
+    wrong = F.lit('{"question_insight":{"summary":5,"key_findings":"all customers","tags":"trend","confidence":["low"]},"chart_insights":[7]}')
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("run_id"), F.when(F.col("doc_id") % 11 == 4, wrong).otherwise(payload).alias("payload")
     )
 
 
 def label_charts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labels").select(
+    """Two charts per labelled document; where they share a title, it means the second."""
+    title = F.when(F.col("quality") == 1, "Revenue Trend").otherwise("Margin by Store")
+    labels = table(spark, sf, "labels")
+    first = labels.select(
         F.col("doc_id").alias("run_id"), F.concat(F.lit("chart-"), F.col("doc_id").cast("string")).alias("chart_id"),
-        F.when(F.col("quality") == 1, "Revenue Trend").otherwise("Margin by Store").alias("title"),
+        title.alias("title"), F.lit(1).alias("sort_order"),
+    )
+    second = labels.select(
+        F.col("doc_id").alias("run_id"), F.concat(F.lit("a-chart-"), F.col("doc_id").cast("string")).alias("chart_id"),
+        F.when(F.col("doc_id") % 2 == 0, title).otherwise(F.lit("Other")).alias("title"), F.lit(2).alias("sort_order"),
     )
+    return first.unionByName(second)
 
 
 CLAIMS_RE = "|".join(Z.UNSUPPORTED_CLAIMS)
+BAD_FINDING = f"(length({CLEAN.format(c='f')}) not between 1 and 240 or regexp_matches(lower({CLEAN.format(c='f')}), '{CLAIMS_RE}'))"
 REG.add(
     "insight_screen",
     lambda s, d: Z.screen_insights(insight_payloads(s, d), label_charts(s, d)),
     f"""with t as (select doc_id as run_id, string_split(text, chr(10)) as lines, lang,
-        case when doc_id % 10 = 0 then 'This proves that all  customers pay' else text end as body, text,
+        case when doc_id % 10 = 0 then 'This proves that all  customers pay' else text end as body, text, doc_id % 11 = 4 as wrong,
         case when doc_id % 5 = 0 then 'chart-' || doc_id when doc_id % 3 = 0 then 'revenue trend' when doc_id % 3 = 1 then 'Margin by Store' end as reference
       from documents),
-    charts as (select doc_id, 'chart-' || doc_id as chart_id, case quality when 1 then 'Revenue Trend' else 'Margin by Store' end as title from labels),
-    s as (select run_id from t where regexp_matches(lower(text), 'api_key|secret|password|token')),
+    titles as (select doc_id, case quality when 1 then 'Revenue Trend' else 'Margin by Store' end as title from labels),
+    charts as (select doc_id, 'chart-' || doc_id as chart_id, title, 1 as sort_order from titles
+      union all select doc_id, 'a-chart-' || doc_id, case when doc_id % 2 = 0 then title else 'Other' end, 2 from titles),
+    named as (select doc_id, lower(title) as reference, arg_max(chart_id, sort_order) as chart_id from charts group by 1, 2
+      union all select doc_id, chart_id, chart_id from charts),
+    s as (select run_id from t where not wrong and regexp_matches(lower(text), 'api_key|secret|password|token')),
     q as (select run_id, 0 as position, 'question' as insight_level, concat_ws('|',
         case when length({CLEAN.format(c='body')}) not between 1 and 800 then 'summary_text' end,
         case when regexp_matches(lower({CLEAN.format(c='body')}), '{CLAIMS_RE}') then 'summary_claim' end,
-        case when len(list_filter(lines[1:5], lambda f: length({CLEAN.format(c='f')}) not between 1 and 240)) > 0 then 'finding_text' end,
-        case when len(list_filter(lines[1:5], lambda f: regexp_matches(lower({CLEAN.format(c='f')}), '{CLAIMS_RE}'))) > 0 then 'finding_claim' end,
+        case when len(list_filter(lines, lambda f: length({CLEAN.format(c='f')}) not between 1 and 240)) > 0 then 'finding_text' end,
+        case when len(list_filter(lines, lambda f: regexp_matches(lower({CLEAN.format(c='f')}), '{CLAIMS_RE}'))) > 0 then 'finding_claim' end,
         case when lang = 'fr' then 'tag' end, case when lang not in ('en', 'de') then 'confidence' end) as violations,
       case when lang = 'fr' then 'trend|data_quality|mood' else 'trend|data_quality' end as tags,
-      case lang when 'en' then 'high' when 'de' then 'low' else 'sure' end as confidence, null as chart_id from t),
-    c as (select t.*, c.chart_id from t left join charts c on t.run_id = c.doc_id and (t.reference = c.chart_id or lower(t.reference) = lower(c.title))),
-    k as (select run_id, 1 as position, 'chart' as insight_level, concat_ws('|', case when reference is null then 'no_chart_reference' end,
+      case lang when 'en' then 'high' when 'de' then 'low' else 'sure' end as confidence, null as chart_id,
+      case when len(list_filter(lines, lambda f: {BAD_FINDING})) = 0 then false
+        else len(list_filter(lines[1:5], lambda f: {BAD_FINDING})) > 0 end as finding_within_limit from t where not wrong),
+    i as (select run_id, lines, unnest(range(1, 6)) as position, reference from t where not wrong),
+    r as (select run_id, lines, position, case when position = 5 then 'Revenue Trend' else reference end as reference,
+      case when position = 5 then '' else lines[1] end as summary from i),
+    c as (select r.*, c.chart_id from r left join named c on r.run_id = c.doc_id and (r.reference = c.reference or lower(r.reference) = c.reference)),
+    k as (select run_id, position, 'chart' as insight_level, concat_ws('|', case when reference is null then 'no_chart_reference' end,
         case when reference is not null and chart_id is null then 'unknown_chart' end,
-        case when length({CLEAN.format(c='lines[1]')}) not between 1 and 800 then 'summary_text' end,
-        case when regexp_matches(lower({CLEAN.format(c='lines[1]')}), '{CLAIMS_RE}') then 'summary_claim' end) as violations,
-      'store' as tags, 'medium' as confidence, chart_id from c)
-    select run_id, cast(position as bigint) as position, insight_level, violations, tags, confidence, chart_id
-    from (select * from q union all select * from k) where run_id not in (select run_id from s)
-    union all select run_id, -1, null, 'secret_text', '', null, null from s""",
+        case when length({CLEAN.format(c='summary')}) not between 1 and 800 then 'summary_text' end,
+        case when regexp_matches(lower({CLEAN.format(c='summary')}), '{CLAIMS_RE}') then 'summary_claim' end) as violations,
+      'store' as tags, 'medium' as confidence, chart_id, false as finding_within_limit from c),
+    w as (select run_id, 0 as position, 'question' as insight_level, 'summary_text|findings_list|tags_list|confidence' as violations from t where wrong
+      union all select run_id, 1, 'chart', 'insight_object|no_chart_reference|summary_text|confidence' from t where wrong),
+    every as (select * from q union all select * from k union all select *, '', null, null, false from w)
+    select run_id, cast(position as bigint) as position, insight_level, violations, tags, confidence, chart_id, position <= 3 as within_limit,
+      finding_within_limit
+    from every where run_id not in (select run_id from s)
+    union all select run_id, -1, null, 'secret_text', '', null, null, true, false from s""",
 )

@@ -10,8 +10,9 @@ from martloom.operators import mapping as M
 from martloom.operators import proposals as P
 from martloom.plans import spec as S
 from martloom.registry.common import Registry
+from martloom.registry.retail import STG_SQL
 from martloom.sources import payloads as Y
-from martloom.sources.feeds import table
+from martloom.sources.feeds import retail_feed, table
 
 REG = Registry()
 
@@ -76,27 +77,27 @@ REG.add(
       where name in ('order_id', 'invoice_id', 'transaction_id') or ends_with(name, '_line_id') or ends_with(name, '_item_id') group by 1)
     select dataset_id, hint, columns from entities where n > 1 union all select * from other""",
 )
+SEEN_ROLE = """case when c_mktsegment = 'AUTOMOBILE' then 'dimension' when c_mktsegment = 'FURNITURE' then 'measure_column' else role end"""
 REG.add(
     "transformable_datasets",
     lambda s, d: S.transformable(
-        # Datasets in review have no measures yet.
+        # Datasets in review have no measures yet, and those in furniture nothing else.
         effective(s, d).join(
             table(s, d, "customer").select(F.col("c_custkey").alias("dataset_id"), "c_mktsegment"), "dataset_id"
-        ).filter((F.col("c_mktsegment") != "AUTOMOBILE") | (F.col("role") == "dimension"))
+        ).withColumn("role", F.expr(SEEN_ROLE))
     ),
-    f"""with {EFFECTIVE_SQL} select dataset_id, bool_or(role in ('measure_column', 'metric_candidate'))
-      and bool_or(role in ('dimension', 'date_time', 'identifier')) as transformable
-    from effective join customer on dataset_id = c_custkey
-    where c_mktsegment <> 'AUTOMOBILE' or role = 'dimension' group by 1""",
+    f"""with {EFFECTIVE_SQL}, seen as (select dataset_id, {SEEN_ROLE} as role from effective join customer on dataset_id = c_custkey)
+    select dataset_id, bool_or(role in ('measure_column', 'metric_candidate'))
+      and bool_or(role in ('dimension', 'date_time', 'identifier')) as transformable from seen group by 1""",
 )
 REG.add(
     "mapping_upsert",
     lambda s, d: M.apply_edits(
-        # The last two columns have no suggestion yet, so an edit may create them.
-        Y.mappings(s, d).filter(F.col("column_index") < 16),
+        # Some edits name columns past the last suggestion, which they create.
+        Y.mappings(s, d),
         table(s, d, "customer").selectExpr(*Y.EDIT_COLUMNS),
     ),
-    f"""with {Y.MAPPINGS_SQL}, known as (select * from mappings where column_index < 16),
+    f"""with {Y.MAPPINGS_SQL}, known as (select * from mappings),
     edits as (select {', '.join(Y.EDIT_COLUMNS)} from customer),
     cleaned as (select dataset_id, column_index, trim(approved_name) as new_name, trim(approved_role) as new_role,
       include_in_model as new_include, true as edited from edits),
@@ -154,13 +155,19 @@ def _clean(c: str) -> str:
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
+def _ordered(values: str) -> str:
+    """Each value once, where it first stands."""
+    return f"list_filter({values}, lambda e, i: list_position({values}, e) = i)"
+
+
 PARSED_SQL = f"""{FLAGS_SQL},
 p as (select c_custkey as proposal_id, {Y.PROPOSAL_PAYLOAD} as payload from customer),
 g as (select *, case when contains(lower(payload), 'api_key') or contains(lower(payload), 'secret') or contains(lower(payload), 'password') then 'secret_text'
   when not json_valid(payload) then 'not_json_object' end as stop from p),
 j as (select proposal_id, payload as j, nullif({_clean("json_extract_string(payload, '$.grain')")}, '') as grain,
   json_extract_string(payload, '$.fact_table.name') as fact_name,
-  list_distinct(json_extract_string(payload, '$.fact_table.keys[*]')) as keys,
+  json_extract_string(payload, '$.fact_table.keys[*]') as given_keys,
+  {_ordered("json_extract_string(payload, '$.fact_table.keys[*]')")} as keys,
   json_extract_string(payload, '$.fact_table.measures[*]') as measures,
   json_extract_string(payload, '$.fact_table.degenerate_dimensions[*]') as degenerate,
   json_extract_string(payload, '$.fact_table.date_columns[*]') as dates from g where stop is null),
@@ -172,7 +179,8 @@ dims as (select proposal_id, position, name, key_column,
   case when list_contains(given, key_column) then given else list_concat([key_column], given) end as columns from dim),
 dim_columns as (select proposal_id, position, name, key_column, unnest(columns) as column_name from dims),
 mart as (select proposal_id, position, json_extract_string(m, '$.name') as name,
-  coalesce(json_extract_string(m, '$.grain'), 'one row per mart grouping') as grain,
+  case when json_type(m, '$.grain') is null then 'one row per mart grouping' when json_type(m, '$.grain') = 'VARCHAR'
+    then json_extract_string(m, '$.grain') end as grain,
   json_extract_string(m, '$.dimensions[*]') as dimensions, json_extract_string(m, '$.metrics[*]') as metrics from (
     select proposal_id, unnest(range(cast(json_array_length(j, '$.marts') as bigint))) as position, j,
       json_extract(j, '$.marts[' || position || ']') as m from j)),
@@ -183,45 +191,53 @@ candidates as (
   union select proposal_id, column_name from dim_columns)"""
 
 
-def _unknown(part: str) -> str:
-    return f"""select distinct proposal_id, 'fact_{part[1]}_unknown', '' from (select proposal_id, unnest({part[0]}) as c from j) x
-      where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c)"""
+def _unknown(part: str, name: str, rank: int, first: str = "true") -> str:
+    return f"""select proposal_id, 1, 0, {rank}, 'fact_{name}_unknown', '', bool_or({first}) from (select proposal_id, given_keys, unnest({part}) as c from j) x
+      where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c) group by 1"""
+
 
+def _not_flagged(part: str, rule: str, rank: int, flag: str) -> str:
+    return f"""select distinct proposal_id, 1, 0, {rank}, '{rule}', '', true from (select proposal_id, unnest({part}) as c from j) x
+      where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c and {flag})"""
 
+
+# Block, entry and rank give the checking order; the limits are six dimensions, four marts and six keys.
 VIOLATIONS_SQL = f"""{PARSED_SQL},
-violations(proposal_id, rule, subject) as (
-  select proposal_id, stop, '' from g where stop is not null
-  union all select proposal_id, 'grain_text', '' from j where grain is null
-  union all select proposal_id, 'fact_grain', '' from j where grain is null
-  union all select proposal_id, 'fact_name', '' from j where not regexp_full_match(fact_name, 'fact_[A-Za-z0-9_]*')
-  union all select proposal_id, 'fact_degenerate_dimensions_list', '' from j where json_type(j, '$.fact_table.degenerate_dimensions') <> 'ARRAY'
-  union all {_unknown(('keys', 'keys'))} union all {_unknown(('measures', 'measures'))}
-  union all {_unknown(('degenerate', 'degenerate_dimensions'))} union all {_unknown(('dates', 'date_columns'))}
-  union all select distinct proposal_id, 'fact_measures_numeric', '' from (select proposal_id, unnest(measures) as c from j) x
-    where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c and is_measure)
-  union all select distinct proposal_id, 'fact_degenerate_labels', '' from (select proposal_id, unnest(degenerate) as c from j) x
-    where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c and is_dimension)
-  union all select distinct proposal_id, 'fact_dates', '' from (select proposal_id, unnest(dates) as c from j) x
-    where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c and is_date)
-  union all select proposal_id, 'dimension_name', name from dims where not regexp_full_match(name, 'dim_[A-Za-z0-9_]*')
-  union all select proposal_id, 'dimension_repeated', name from dims d where exists (
+found(proposal_id, block, entry, rank, rule, subject, within_limit) as (
+  select proposal_id, 0, 0, 0, stop, '', true from g where stop is not null
+  union all select proposal_id, 1, 0, 0, 'grain_text', '', true from j where grain is null
+  union all select proposal_id, 1, 0, 3, 'fact_grain', '', true from j where grain is null
+  union all select proposal_id, 1, 0, 2, 'fact_name', '', true from j where not regexp_full_match(fact_name, 'fact_[A-Za-z0-9_]*')
+  union all select proposal_id, 1, 0, 6, 'fact_degenerate_dimensions_list', '', true from j where json_type(j, '$.fact_table.degenerate_dimensions') <> 'ARRAY'
+  union all {_unknown('keys', 'keys', 8, 'list_contains(given_keys[1:6], c)')} union all {_unknown('measures', 'measures', 9)}
+  union all {_unknown('degenerate', 'degenerate_dimensions', 10)} union all {_unknown('dates', 'date_columns', 11)}
+  union all {_not_flagged('measures', 'fact_measures_numeric', 12, 'is_measure')}
+  union all {_not_flagged('degenerate', 'fact_degenerate_labels', 13, 'is_dimension')}
+  union all {_not_flagged('dates', 'fact_dates', 14, 'is_date')}
+  union all select proposal_id, 2, position, 0, 'dimension_name', name, position < 6 from dims where not regexp_full_match(name, 'dim_[A-Za-z0-9_]*')
+  union all select proposal_id, 2, position, 1, 'dimension_repeated', name, position < 6 from dims d where exists (
     select 1 from dims o where o.proposal_id = d.proposal_id and o.name = d.name and o.position < d.position)
-  union all select proposal_id, 'dimension_unknown_columns', name from (select distinct proposal_id, position, name from dim_columns c
+  union all select proposal_id, 2, position, 4, 'dimension_unknown_columns', name, position < 6 from (select distinct proposal_id, position, name from dim_columns c
     where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c.column_name))
-  union all select proposal_id, 'dimension_holds_measure', name from (select distinct proposal_id, position, name from dim_columns c
+  union all select proposal_id, 2, position, 5, 'dimension_holds_measure', name, position < 6 from (select distinct proposal_id, position, name from dim_columns c
     where column_name <> key_column
     and exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = c.column_name and is_measure))
-  union all select proposal_id, 'dimension_key_role', name from dims
+  union all select proposal_id, 2, position, 6, 'dimension_key_role', name, position < 6 from dims
     where not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = key_column and (is_dimension or is_identifier))
-  union all select proposal_id, 'mart_repeated', name from mart m where exists (
+  union all select proposal_id, 4, position, 1, 'mart_repeated', name, position < 4 from mart m where exists (
     select 1 from mart o where o.proposal_id = m.proposal_id and o.name = m.name and o.position < m.position)
-  union all select proposal_id, 'mart_metrics_required', name from mart where len(metrics) = 0
-  union all select proposal_id, 'mart_unknown_dimension', name from (select distinct proposal_id, position, name from mart_dims m
+  union all select proposal_id, 4, position, 2, 'mart_grain', name, position < 4 from mart where grain is null
+  union all select proposal_id, 4, position, 5, 'mart_metrics_required', name, position < 4 from mart where len(metrics) = 0
+  union all select proposal_id, 4, position, 6, 'mart_unknown_dimension', name, position < 4 from (select distinct proposal_id, position, name from mart_dims m
     where not exists (select 1 from candidates c where c.proposal_id = m.proposal_id and c.field = m.field)
       and not exists (select 1 from flagged f where f.dataset_id = proposal_id and f.name = m.field and is_dimension and not is_measure))
-  union all select proposal_id, 'mart_metric_not_in_fact', name from (select distinct m.proposal_id, m.position, m.name
+  union all select proposal_id, 4, position, 7, 'mart_metric_not_in_fact', name, position < 4 from (select distinct m.proposal_id, m.position, m.name
     from (select proposal_id, position, name, unnest(metrics) as metric from mart) m join j on m.proposal_id = j.proposal_id
-    where not list_contains(j.measures, m.metric)))"""
+    where not list_contains(j.measures, m.metric))
+  union all select proposal_id, 5, 0, 0, 'list_too_long', 'fact_table.keys', false from j where len(given_keys) > 6
+  union all select proposal_id, 5, 0, 1, 'list_too_long', 'dimensions', false from dims group by 1 having count(*) > 6
+  union all select proposal_id, 5, 0, 2, 'list_too_long', 'marts', false from mart group by 1 having count(*) > 4),
+violations as (select proposal_id, row_number() over (partition by proposal_id order by block, entry, rank) - 1 as position, rule, subject, within_limit from found)"""
 ACCEPTED_SQL = f"""{VIOLATIONS_SQL},
 good as (select * from j where proposal_id not in (select proposal_id from violations)),
 good_dims as (select * from dims where proposal_id in (select proposal_id from good)),
@@ -229,7 +245,7 @@ good_marts as (select * from mart where proposal_id in (select proposal_id from
 
 REG.add(
     "proposal_violations",
-    lambda s, d: P.violations(Y.proposals(s, d), sets(s, d)).drop("position"),
+    lambda s, d: P.violations(Y.proposals(s, d), sets(s, d)),
     f"with {VIOLATIONS_SQL} select * from violations",
 )
 REG.add(
@@ -244,7 +260,7 @@ REG.add(
     select * from used u where not exists (select 1 from effective e where e.dataset_id = u.proposal_id and e.name = u.column_name)""",
 )
 DERIVED_SQL = f"""{ACCEPTED_SQL},
-key_list as (select g.proposal_id, list_concat(list_sort(keys, 'desc'), list(key_column order by position)) as ks
+key_list as (select g.proposal_id, list_concat(keys, list(key_column order by position)) as ks
   from good g join good_dims d on g.proposal_id = d.proposal_id group by g.proposal_id, keys),
 inferred as (select m.proposal_id, list(m.field order by m.position, m.ord) as fields from (
     select proposal_id, position, unnest(dimensions) as field, generate_subscripts(dimensions, 1) as ord from good_marts) m
@@ -258,11 +274,12 @@ REG.add(
 )
 REG.add(
     "fact_columns",
-    lambda s, d: P.derived(accepted(s, d)).select("proposal_id", F.explode("fact_columns").alias("column_name")),
-    f"""with {DERIVED_SQL}, c as (select g.proposal_id, unnest(list_distinct(list_concat(keys, ks, degenerate,
-        coalesce(fields, []), dates, list_transform(dates, lambda x: x || '_month'), measures))) as column_name
-      from good g join key_list k on g.proposal_id = k.proposal_id left join inferred i on g.proposal_id = i.proposal_id)
-    select * from c""",
+    lambda s, d: P.derived(accepted(s, d)).select("proposal_id", F.posexplode("fact_columns").alias("position", "column_name")),
+    f"""with {DERIVED_SQL}, c as (select g.proposal_id, list_concat(keys, ks, degenerate,
+        coalesce(fields, []), dates, list_transform(dates, lambda x: x || '_month'), measures) as every
+      from good g join key_list k on g.proposal_id = k.proposal_id left join inferred i on g.proposal_id = i.proposal_id),
+    o as (select proposal_id, {_ordered('every')} as columns from c)
+    select proposal_id, unnest(range(len(columns))) as position, unnest(columns) as column_name from o""",
 )
 REG.add(
     "mart_catalog",
@@ -314,6 +331,23 @@ REG.add(
       filter ((match = 'field' and by_field) or (match = 'token' and by_token)), '') as dimensions
     from best b join pairs p on b.proposal_id = p.proposal_id and b.mart = p.mart group by 1, 2, 3""",
 )
+
+
+@REG.query(
+    "spec_from_proposal",
+    f"""with {STG_SQL} select strftime(date_trunc('month', order_date), '%Y-%m-%d') as order_date_month, cast(sum(revenue) as double) as revenue
+    from stg group by 1""",
+)
+def spec_from_proposal(spark: SparkSession, sf: str) -> DataFrame:
+    """From an accepted proposal and its dataset's mappings to a mart over the feed. Only that one spec, a few names long, comes
+    to the driver."""
+    row = accepted(spark, sf).orderBy("proposal_id").first()
+    mapped = effective(spark, sf).filter(F.col("dataset_id") == row["dataset_id"]).collect()
+    mappings = S.to_mappings(mapped)
+    models = S.build_models(retail_feed(spark, sf, [m.raw_name for m in mappings]), mappings, S.to_spec(row))
+    return models["mart_monthly_revenue"]
+
+
 REG.add(
     "catalog_terms",
     lambda s, d: P.catalog_terms(P.catalog(accepted(s, d)), ["proposal_id"]),

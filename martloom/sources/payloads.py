@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.sources.feeds import RETAIL_CONTRACT, spread, table
+from martloom.sources.feeds import RETAIL_CONTRACT, table
 
 ROLES = (
     "identifier", "identifier", "date_time", "identifier", "dimension", "dimension", "identifier", "dimension",
@@ -33,7 +33,7 @@ MAPPING_COLUMNS = (
     "not (column_index = 13 and c_nationkey % 2 = 1) as include_in_model",
 )
 EDIT_COLUMNS = (
-    "c_custkey as dataset_id", "cast(c_custkey % 16 + 1 as bigint) as column_index",
+    "c_custkey as dataset_id", "cast(c_custkey % 16 + 4 as bigint) as column_index",
     "case when c_acctbal < 0 then 'not a name' else ' renamed_column ' end as approved_name",
     "case when c_nationkey = 3 then 'metric' else 'dimension' end as approved_role",
     "c_nationkey % 2 = 0 as include_in_model",
@@ -72,18 +72,23 @@ SUGGESTION_PAYLOAD = """case when c_nationkey = 7 then 'no json' when c_nationke
 PROPOSAL_PAYLOAD = """case when c_nationkey = 11 and c_custkey % 2 = 0 then '{"grain": 1' when c_nationkey = 12 and c_custkey % 2 = 0 then '{"grain": "the password is"}' else concat(
   '{"grain": "', case when c_custkey % 19 = 0 then ' ' else 'one row  per order line' end,
   '", "fact_table": {"name": "', case when c_mktsegment = 'BUILDING' and c_custkey % 3 = 0 then 'sales lines' else 'fact_sales' end,
-  '", "keys": ["order_line_id", "order_id", "order_id"], "measures": ["quantity", "',
+  '", "keys": ["order_line_id", "order_id", "order_id"', case when c_custkey % 31 = 2 then ', "order_id", "order_id", "order_id", "no_such_key"' else '' end, '], "measures": ["quantity", "',
   case when c_custkey % 11 = 0 then 'customer_name' when c_custkey % 11 = 1 then 'amount' else 'revenue' end,
   '"], "degenerate_dimensions": ', case when c_custkey % 13 = 0 then '"payment_method"' when c_custkey % 13 = 1 then '["discount_amount"]' else '["payment_method"]' end,
   ', "date_columns": ["', case when c_custkey % 17 = 0 then 'store_name' else 'order_date' end, '"]}, ',
   '"dimensions": [{"name": "dim_customer", "key_column": "customer_id", "columns": ["customer_name", "customer_segment"]}, ',
   '{"name": "', case when c_custkey % 7 = 0 then 'dim_customer' when c_custkey % 7 = 1 then 'product' else 'dim_product' end,
   '", "key_column": "', case when c_custkey % 23 = 0 then 'quantity' else 'product_id' end,
-  '", "columns": ["product_id", "product_name"', case when c_custkey % 5 = 0 then ', "unit_price"' when c_custkey % 5 = 1 then ', "colour"' else '' end, ']}], ',
+  '", "columns": ["product_id", "product_name"', case when c_custkey % 5 = 0 then ', "unit_price"' when c_custkey % 5 = 1 then ', "colour"' else '' end, ']}',
+  case when c_custkey % 31 = 0 then concat(', {"name": "dim_a", "key_column": "store_id", "columns": ["store_id"]}, {"name": "dim_b", "key_column": "store_id", "columns": ["store_id"]}, ',
+    '{"name": "dim_c", "key_column": "store_id", "columns": ["store_id"]}, {"name": "dim_d", "key_column": "store_id", "columns": ["store_id"]}, ',
+    '{"name": "seventh", "key_column": "store_id", "columns": ["store_id"]}') else '' end, '], ',
   '"marts": [{"name": "mart_monthly_revenue", "grain": "one row per month", "dimensions": ["order_date_month"], "metrics": ["revenue"]}, ',
   '{"name": "', case when c_custkey % 9 = 0 then 'mart_monthly_revenue' else 'mart_product_sales' end,
   '", "dimensions": [', case when c_custkey % 4 = 0 then '"product_name", "store_region"' when c_custkey % 4 = 1 then '"shelf"' else '"product_name", "customer_segment"' end,
-  '], "metrics": [', case when c_custkey % 29 = 0 then '' when c_custkey % 29 = 1 then '"cost"' else '"quantity"' end, ']}]}') end"""
+  '], "metrics": [', case when c_custkey % 29 = 0 then '' when c_custkey % 29 = 1 then '"cost"' else '"quantity"' end, ']}',
+  case when c_custkey % 31 = 1 then concat(', {"name": "mart_a", "dimensions": ["product_name"], "metrics": ["quantity"]}, {"name": "mart_b", "dimensions": ["product_name"], "metrics": ["quantity"]}, ',
+    '{"name": "mart_c", "grain": 5, "dimensions": ["product_name"], "metrics": ["quantity"]}') else '' end, ']}') end"""
 
 PLAN_PAYLOAD = """case when o_custkey % 41 = 0 then 'plan: none' when o_custkey % 41 = 1 then '{"sql": "select 1"}'
   when o_custkey % 41 = 2 then '["secret"]' else concat(
@@ -107,14 +112,14 @@ PLAN_PAYLOAD = """case when o_custkey % 41 = 0 then 'plan: none' when o_custkey
 
 
 def suggestion_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "customer")).selectExpr("c_custkey as dataset_id", f"{SUGGESTION_PAYLOAD} as payload")
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as dataset_id", f"{SUGGESTION_PAYLOAD} as payload")
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "customer")).selectExpr(
+    return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey as proposal_id", "c_custkey as dataset_id", f"{PROPOSAL_PAYLOAD} as payload"
     )
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders")).selectExpr("o_orderkey as plan_id", f"{PLAN_PAYLOAD} as payload")
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as plan_id", f"{PLAN_PAYLOAD} as payload")
