@@ -47,12 +47,16 @@ def month_of(date_col: Column) -> Column:
 
 
 def net_revenue(revenue: Column, quantity: Column, unit_price: Column, discount: Column) -> Column:
-    """Stated revenue, else quantity times price less the discount (a missing discount is zero)."""
-    return F.coalesce(revenue, quantity * unit_price - F.coalesce(discount, F.lit(0)))
+    """Stated revenue, else quantity times price less the discount (a missing discount is zero).
+
+    A product too large for its type is NULL.
+    """
+    product = F.try_subtract(F.try_multiply(quantity, unit_price), F.coalesce(discount, F.lit(0).cast(MONEY)))
+    return F.coalesce(revenue, product)
 
 
 def gross_margin(net: Column, cost: Column) -> Column:
-    return net - F.coalesce(cost, F.lit(0))
+    return F.try_subtract(net, F.coalesce(cost, F.lit(0).cast(MONEY)))
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

@@ -9,10 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LIMIT = 500
-DEFAULT_LIMIT = 100
+MAX_LIMIT = 500  # a stated limit beyond this is a violation
 AGGREGATIONS: dict[str, Callable[[str], Column]] = {
-    "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max,
+    "sum": F.try_sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max,
 }
 
 
@@ -35,11 +34,7 @@ class AnalysisPlan:
     dimensions: tuple[str, ...] = ()
     filters: tuple[Filter, ...] = ()
     sort: tuple[tuple[str, str], ...] = field(default=())
-    limit: int = DEFAULT_LIMIT
-
-
-def clamp_limit(limit: int) -> int:
-    return max(1, min(limit, MAX_LIMIT))
+    limit: int | None = None
 
 
 def _order(name: str, direction: str) -> Column:
@@ -50,7 +45,8 @@ def _order(name: str, direction: str) -> Column:
 def run_plan(mart: DataFrame, plan: AnalysisPlan) -> DataFrame:
     """Aggregates re-aggregate the mart's own columns and take the metric's name.
 
-    Summing a distinct count or averaging an average is therefore as additive as the mart makes it.
+    Summing a distinct count or averaging an average is therefore as additive as the mart makes it. All groups are
+    returned unless the plan states a limit; the group columns then settle ties, so the same rows come each time.
     """
     rows = mart
     if plan.filters:
@@ -58,6 +54,9 @@ def run_plan(mart: DataFrame, plan: AnalysisPlan) -> DataFrame:
     aggregates = [AGGREGATIONS[how](name).alias(name) for name, how in plan.metrics]
     dimensions = list(dict.fromkeys(plan.dimensions))
     result = rows.groupBy(*dimensions).agg(*aggregates) if dimensions else rows.agg(*aggregates)
-    if plan.sort:
-        result = result.orderBy(*(_order(name, direction) for name, direction in plan.sort))
-    return result.limit(clamp_limit(plan.limit))
+    order = list(plan.sort)
+    if plan.limit is not None:
+        order += [(name, "asc") for name in dimensions if name not in dict(order)]
+    if order:
+        result = result.orderBy(*(_order(name, direction) for name, direction in order))
+    return result if plan.limit is None else result.limit(plan.limit)

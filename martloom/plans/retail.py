@@ -111,9 +111,9 @@ def fact(enriched: DataFrame) -> DataFrame:
 def sales_mart(facts: DataFrame) -> DataFrame:
     return facts.groupBy("order_month").agg(
         F.count_distinct("order_id").alias("orders"),
-        F.sum("quantity").alias("quantity"),
-        F.sum("net_revenue").alias("revenue"),
-        F.sum("gross_margin").alias("gross_margin"),
+        F.try_sum("quantity").alias("quantity"),
+        F.try_sum("net_revenue").alias("revenue"),
+        F.try_sum("gross_margin").alias("gross_margin"),
     )
 
 
@@ -121,26 +121,26 @@ def product_mart(facts: DataFrame, products: DataFrame) -> DataFrame:
     # Sums are taken per key before the join, so a product that holds a large share of the fact
     # reaches the join as one row. Attribute variants still fan out exactly as a row-level join.
     measures = ("quantity", "net_revenue", "gross_margin")
-    per_key = facts.groupBy("product_id").agg(*(F.sum(m).alias(m) for m in measures))
+    per_key = facts.groupBy("product_id").agg(*(F.try_sum(m).alias(m) for m in measures))
     return (
         per_key.join(products, "product_id", "left")
         .groupBy("product_category", "product_name")
         .agg(
-            F.sum("quantity").alias("quantity"),
-            F.sum("net_revenue").alias("revenue"),
-            F.sum("gross_margin").alias("gross_margin"),
+            F.try_sum("quantity").alias("quantity"),
+            F.try_sum("net_revenue").alias("revenue"),
+            F.try_sum("gross_margin").alias("gross_margin"),
         )
     )
 
 
 def _orders_by_key(facts: DataFrame, key: str) -> DataFrame:
-    return facts.groupBy(key, "order_id").agg(F.sum("net_revenue").alias("net_revenue"))
+    return facts.groupBy(key, "order_id").agg(F.try_sum("net_revenue").alias("net_revenue"))
 
 
 def segment_mart(facts: DataFrame, customers: DataFrame) -> DataFrame:
     joined = _orders_by_key(facts, "customer_id").join(customers, "customer_id", "left")
     totals = joined.groupBy("customer_segment").agg(
-        F.count_distinct("order_id").alias("orders"), F.sum("net_revenue").alias("revenue")
+        F.count_distinct("order_id").alias("orders"), F.try_sum("net_revenue").alias("revenue")
     )
     return totals.withColumn("average_order_value", C.safe_ratio(F.col("revenue"), F.col("orders")))
 
@@ -148,7 +148,7 @@ def segment_mart(facts: DataFrame, customers: DataFrame) -> DataFrame:
 def store_mart(facts: DataFrame, stores: DataFrame) -> DataFrame:
     joined = _orders_by_key(facts, "store_id").join(stores, "store_id", "left")
     return joined.groupBy("store_region", "store_name").agg(
-        F.count_distinct("order_id").alias("orders"), F.sum("net_revenue").alias("revenue")
+        F.count_distinct("order_id").alias("orders"), F.try_sum("net_revenue").alias("revenue")
     )
 
 

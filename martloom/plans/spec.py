@@ -5,9 +5,10 @@ data only ever flows through the DataFrames they describe.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from martloom.functions import cleaning as C
@@ -82,6 +83,24 @@ class ModelSpec:
         }
 
 
+def to_mappings(rows: Iterable[Row]) -> list[Mapping]:
+    """Effective mapping rows of one dataset as mappings, in the order of their columns."""
+    ordered = sorted(rows, key=lambda r: r["column_index"])
+    return [Mapping(r["raw_column_name"], r["name"], r["role"], r["detected_type"]) for r in ordered]
+
+
+def to_spec(row: Row) -> ModelSpec:
+    """One accepted proposal row as a spec. Fields that only marts mention join the fact as degenerate dimensions."""
+    loose = [f for m in row["marts"] for f in m["dimensions"] if f not in row["candidates"]]
+    return ModelSpec(
+        fact=row["fact_name"], grain=row["fact_grain"], keys=tuple(row["fact_keys"]), measures=tuple(row["fact_measures"]),
+        dates=tuple(row["fact_date_columns"]),
+        degenerate=tuple(dict.fromkeys([*row["fact_degenerate_dimensions"], *loose])),
+        dimensions=tuple(Dimension(d["name"], d["key_column"], tuple(d["columns"])) for d in row["dimensions"]),
+        marts=tuple(Mart(m["name"], m["grain"], tuple(m["dimensions"]), tuple(m["metrics"])) for m in row["marts"]),
+    )
+
+
 def route_kind(role, detected_type):
     """Column form of ``Mapping.kind`` for a table of mappings."""
     return (
@@ -126,7 +145,7 @@ def mart(facts: DataFrame, dimensions: dict[str, DataFrame], spec: ModelSpec, wa
     owners = [d for d in spec.dimensions if d.name in looked_up]
     keys = [d.key for d in owners]
     group = list(dict.fromkeys([*keys, *direct]))
-    rows = facts.groupBy(*group).agg(*(F.sum(m).alias(m) for m in wanted.metrics))
+    rows = facts.groupBy(*group).agg(*(F.try_sum(m).alias(m) for m in wanted.metrics))
     for dim in owners:
         # Whole dimension rows take part: attribute variants the mart does not show still fan out.
         key = f"__{dim.name}_key"
@@ -142,7 +161,7 @@ def mart(facts: DataFrame, dimensions: dict[str, DataFrame], spec: ModelSpec, wa
     names = [c for c in wanted.dimensions if c in held or spec.owner_of(c)]
     sums = [F.col(m).alias(f"__sum_{m}") for m in wanted.metrics]
     return rows.select(*shown, *sums).groupBy(*names).agg(
-        *(F.sum(f"__sum_{m}").alias(m) for m in wanted.metrics)
+        *(F.try_sum(f"__sum_{m}").alias(m) for m in wanted.metrics)
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from martloom.plans.analysis import AnalysisPlan, Filter, run_plan
 from martloom.registry.common import Registry
 from martloom.registry.retail import MART_SQL, mart
@@ -25,7 +27,7 @@ plan_query(
     ),
     f"""select {MONTH}, cast(sum(revenue) as double) as revenue from mart_sales_performance
     group by mart_sales_performance.order_month
-    order by mart_sales_performance.order_month asc nulls last limit 100""",
+    order by mart_sales_performance.order_month asc nulls last""",
 )
 plan_query(
     "plan_sum",
@@ -33,17 +35,17 @@ plan_query(
         "mart_product_performance", (("revenue", "sum"), ("quantity", "sum")), ("product_category",)
     ),
     """select product_category, cast(sum(revenue) as double) as revenue,
-    cast(sum(quantity) as double) as quantity from mart_product_performance group by 1 limit 100""",
+    cast(sum(quantity) as double) as quantity from mart_product_performance group by 1""",
 )
 plan_query(
     "plan_avg",
     AnalysisPlan("mart_customer_segments", (("orders", "avg"),), ("customer_segment",)),
-    "select customer_segment, avg(orders) as orders from mart_customer_segments group by 1 limit 100",
+    "select customer_segment, avg(orders) as orders from mart_customer_segments group by 1",
 )
 plan_query(
     "plan_count",
     AnalysisPlan("mart_store_performance", (("revenue", "count"),), ("store_region",)),
-    "select store_region, count(revenue) as revenue from mart_store_performance group by 1 limit 100",
+    "select store_region, count(revenue) as revenue from mart_store_performance group by 1",
 )
 plan_query(
     "plan_min_max",
@@ -51,32 +53,32 @@ plan_query(
         "mart_product_performance", (("quantity", "min"), ("revenue", "max")), ("product_category",)
     ),
     """select product_category, cast(min(quantity) as double) as quantity,
-    cast(max(revenue) as double) as revenue from mart_product_performance group by 1 limit 100""",
+    cast(max(revenue) as double) as revenue from mart_product_performance group by 1""",
 )
 plan_query(
     "plan_group_two_dims",
     AnalysisPlan(
         "mart_store_performance", (("orders", "sum"), ("revenue", "sum")), ("store_region", "store_name"),
-        sort=(("store_region", "asc"), ("store_name", "asc")), limit=500,
+        sort=(("store_region", "asc"), ("store_name", "asc")),
     ),
     """select store_region, store_name, cast(sum(orders) as bigint) as orders,
     cast(sum(revenue) as double) as revenue from mart_store_performance group by 1, 2
-    order by store_region asc nulls last, store_name asc nulls last limit 500""",
+    order by store_region asc nulls last, store_name asc nulls last""",
 )
 plan_query(
     "plan_global_kpi",
     AnalysisPlan("mart_sales_performance", (("revenue", "sum"), ("orders", "sum"))),
     """select cast(sum(revenue) as double) as revenue, cast(sum(orders) as bigint) as orders
-    from mart_sales_performance limit 100""",
+    from mart_sales_performance""",
 )
 plan_query(
     "plan_filter_eq",
     AnalysisPlan(
         "mart_product_performance", (("revenue", "sum"),), ("product_name",),
-        filters=(Filter("product_category", "=", "PROMO"),), sort=(("product_name", "asc"),), limit=500,
+        filters=(Filter("product_category", "=", "PROMO"),), sort=(("product_name", "asc"),),
     ),
     """select product_name, cast(sum(revenue) as double) as revenue from mart_product_performance
-    where product_category = 'PROMO' group by 1 order by product_name asc nulls last limit 500""",
+    where product_category = 'PROMO' group by 1 order by product_name asc nulls last""",
 )
 plan_query(
     "plan_filter_ne",
@@ -85,16 +87,21 @@ plan_query(
         filters=(Filter("product_category", "!=", "PROMO"), Filter("product_name", "!=", "red widget")),
     ),
     """select product_category, cast(sum(quantity) as double) as quantity from mart_product_performance
-    where product_category <> 'PROMO' and product_name <> 'red widget' group by 1 limit 100""",
+    where product_category <> 'PROMO' and product_name <> 'red widget' group by 1""",
 )
-plan_query(
+NULL_PLAN = AnalysisPlan(
+    "mart_customer_segments", (("revenue", "sum"), ("orders", "count")), ("customer_segment",),
+    filters=(Filter("customer_segment", "!=", "MACHINERY"),),
+)
+REG.add(
     "plan_filter_null",
-    AnalysisPlan(
-        "mart_customer_segments", (("revenue", "sum"),), ("customer_segment",),
-        filters=(Filter("customer_segment", "=", None),),
+    # One segment has no name; a filter on the column keeps no such row, for != neither.
+    lambda s, d: run_plan(
+        mart(s, d, NULL_PLAN.source_model).withColumn("customer_segment", F.nullif("customer_segment", F.lit("BUILDING"))), NULL_PLAN
     ),
-    """select customer_segment, cast(sum(revenue) as double) as revenue from mart_customer_segments
-    where customer_segment = null group by 1 limit 100""",
+    f"""with {MART_SQL}, m as (select nullif(customer_segment, 'BUILDING') as customer_segment, revenue, orders from mart_customer_segments)
+    select customer_segment, cast(sum(revenue) as double) as revenue, count(orders) as orders from m
+    where customer_segment <> 'MACHINERY' group by 1""",
 )
 plan_query(
     "plan_sorted",

@@ -267,15 +267,16 @@ REG.add(
     lambda s, d: retail_feed(s, d, ["order_id"]).agg(F.count("*").alias("rows_loaded")),
     f"with {RAW_SQL} select count(*) as rows_loaded from raw",
 )
+MOVED_KEY = "case product_category when 'PROMO' then concat('OLD-', product_id) else product_id end"
 REG.add(
     "fact_dim_left_join",
     lambda s, d: enriched(s, d, "order_line_id", "product_id")
     .join(
-        # Some products get no attribute row, so unmatched keys show up with NULL attributes.
-        dimension(s, d, "dim_product").filter(F.col("product_category") != "PROMO"), "product_id", "left"
+        # Some products stand under another key, so unmatched keys show up with NULL attributes.
+        dimension(s, d, "dim_product").withColumn("product_id", F.expr(MOVED_KEY)), "product_id", "left"
     )
     .select("order_line_id", "product_id", "product_name", "product_category", "net_revenue"),
     f"""with {MART_SQL} select f.order_line_id, f.product_id, p.product_name, p.product_category,
       cast(f.net_revenue as double) as net_revenue from int f
-      left join (select * from dim_product where product_category <> 'PROMO') p on f.product_id = p.product_id""",
+      left join (select {MOVED_KEY} as product_id, product_name, product_category from dim_product) p on f.product_id = p.product_id""",
 )
