@@ -1,4 +1,4 @@
-"""Dashboard cards: nested result documents, open result groups and card decisions."""
+"""Dashboard cards: result documents and their children, open result groups and card decisions."""
 
 from __future__ import annotations
 
@@ -7,64 +7,16 @@ from pyspark.sql import functions as F
 
 from martloom.operators.runlog import MAX_CARDS, is_deleted
 
-PART_ROWS = 500
 SNAPSHOT_TASKS = ("analysis_plan", "insight_generation")
 
 
-def _in_parts(children: DataFrame, key: str, item_id: str, part_rows: int) -> DataFrame:
-    """Number the parts a parent's children are nested in.
-
-    Nearly every parent fits part 0. A parent with more children than ``part_rows`` is spread over
-    several parts by child id, so no task ever nests an unbounded list and no child is left out.
-    """
-    large = (
-        children.groupBy(key).agg(F.count("*").alias("__children")).filter(F.col("__children") > part_rows)
-    )
-    parts = F.ceil(F.col("__children") / F.lit(part_rows))
-    number = F.when(F.col("__children").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(item_id), parts))
-    return children.join(large, key, "left").withColumn("part", number.cast("long")).drop("__children")
-
-
-def snapshots(
-    runs: DataFrame, datasets: DataFrame, charts: DataFrame, insights: DataFrame, attempts: DataFrame,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """One document per run and part: dataset, run, charts, insights and provider attempts.
-
-    The three child tables are nested by a single shuffle on (run, part).
-    """
-
-    def child(df: DataFrame, kind: str, item_id: Column, order: Column, label: Column, status: Column) -> DataFrame:
-        return df.select(
-            "run_id", F.lit(kind).alias("kind"), order.cast("string").alias("order"),
-            item_id.cast("string").alias("id"), label.alias("label"), status.alias("status"),
-        )
-
-    padded = lambda c: F.lpad(c.cast("string"), 12, "0")
-    children = (
-        child(charts, "chart", F.col("chart_id"), padded(F.col("sort_order")), F.col("chart_type"),
-              F.lit(None).cast("string"))
-        .unionByName(child(insights, "insight", F.col("insight_id"), padded(F.col("sort_order")),
-                           F.col("insight_level"), F.col("status")))
-        .unionByName(child(attempts.filter(F.col("task_type").isin(*SNAPSHOT_TASKS)), "provider_run",
-                           F.col("attempt_id"), F.date_format("created_at", "yyyyMMddHHmmssSSSSSS"),
-                           F.col("lane"), F.col("status")))
-        # Each run is an entry of its own, so a run without children has a part as well and the join
-        # below can be an inner one, which Spark may split on the side where one run has many parts.
-        .unionByName(child(runs, "run", F.col("run_id"), F.lit(""), F.lit(None).cast("string"),
-                           F.lit(None).cast("string")))
-    )
-    nested = (
-        _in_parts(children, "run_id", "id", part_rows)
-        .groupBy("run_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("order", "id", "kind", "label", "status"))).alias("items"))
-    )
+def snapshot_headers(runs: DataFrame, datasets: DataFrame) -> DataFrame:
+    """One document per run: its dataset and the run itself, without its children."""
     side = datasets.select(
         F.col("dataset_id").alias("__id"), "dataset_name", "source_type",
         F.col("status").alias("__status"), "deleted_at",
     )
-    joined = nested.join(runs, "run_id").join(side, F.col("dataset_id") == F.col("__id"), "left")
-    of_kind = lambda kind: F.filter("items", lambda i: i["kind"] == kind)
+    joined = runs.join(side, F.col("dataset_id") == F.col("__id"), "left")
     document = F.struct(
         F.lit(1).alias("snapshot_version"),
         F.struct(
@@ -76,11 +28,29 @@ def snapshots(
             F.col("run_id").alias("id"), "question", F.col("status").alias("status"), "source_model", "row_count",
             F.date_format("completed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("completed_at"),
         ).alias("analysis_run"),
-        of_kind("chart").alias("charts"),
-        of_kind("insight").alias("insights"),
-        of_kind("provider_run").alias("provider_runs"),
     )
-    return joined.select("run_id", "part", document.alias("card_snapshot"))
+    return joined.select("run_id", document.alias("card_snapshot"))
+
+
+def snapshot_children(charts: DataFrame, insights: DataFrame, attempts: DataFrame) -> DataFrame:
+    """One row per chart, insight and provider attempt of a run, with its place among its kind.
+
+    A run's children stay rows: a document that nests them would grow with the run.
+    """
+
+    def child(df: DataFrame, kind: str, item_id: str, order: Column, label: str, status: Column) -> DataFrame:
+        return df.select(
+            "run_id", F.lit(kind).alias("kind"), order.cast("string").alias("sort_key"), F.col(item_id).cast("string").alias("id"),
+            F.col(label).alias("label"), status.cast("string").alias("status"),
+        )
+
+    padded = lambda c: F.lpad(c.cast("string"), 12, "0")
+    tried = attempts.filter(F.col("task_type").isin(*SNAPSHOT_TASKS))
+    return (
+        child(charts, "chart", "chart_id", padded(F.col("sort_order")), "chart_type", F.lit(None))
+        .unionByName(child(insights, "insight", "insight_id", padded(F.col("sort_order")), "insight_level", F.col("status")))
+        .unionByName(child(tried, "provider_run", "attempt_id", F.date_format("created_at", "yyyyMMddHHmmssSSSSSS"), "lane", F.col("status")))
+    )
 
 
 def mark_deleted(snapshot: Column, deleted: Column, deleted_at: Column) -> Column:

@@ -51,7 +51,8 @@ def reuse_decisions(asked: DataFrame, runs: DataFrame) -> DataFrame:
 def fallback_chain(attempts: DataFrame) -> DataFrame:
     """Each attempt with the lane tried just before it for the same task."""
     return with_previous(
-        attempts, ["dataset_id", "task_type"], ["created_at", "attempt_id"], "lane", "fallback_from"
+        attempts, ["dataset_id", "task_type"], ["created_at", "attempt_id"], "lane", "fallback_from",
+        F.date_trunc("day", "created_at"),
     )
 
 
@@ -89,13 +90,22 @@ def history(
     runs: DataFrame, sessions: DataFrame, datasets: DataFrame, charts: DataFrame, insights: DataFrame
 ) -> DataFrame:
     """Runs since the session's reset with chart count, insight status and dataset state."""
+    return described(since_reset(runs, sessions), datasets, charts, insights)
+
+
+def since_reset(runs: DataFrame, sessions: DataFrame) -> DataFrame:
     resets = sessions.select("session_id", "reset_at")
     kept = runs.join(resets, "session_id", "left").filter(
         F.col("reset_at").isNull() | (F.col("created_at") > F.col("reset_at"))
     )
+    return kept.drop("reset_at")
+
+
+def described(runs: DataFrame, datasets: DataFrame, charts: DataFrame, insights: DataFrame) -> DataFrame:
+    """The given runs with chart count, insight status and dataset state."""
     chart_counts = charts.groupBy("run_id").agg(F.count("*").alias("chart_count"))
     return (
-        with_dataset_flag(kept.drop("reset_at"), datasets)
+        with_dataset_flag(runs, datasets)
         .join(chart_counts, "run_id", "left")
         .join(insight_status(insights), "run_id", "left")
         .withColumns(
@@ -118,6 +128,16 @@ def recent(listing: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
     )
 
 
+def recent_history(
+    runs: DataFrame, sessions: DataFrame, datasets: DataFrame, charts: DataFrame, insights: DataFrame, rows: int = HISTORY_ROWS
+) -> DataFrame:
+    """The latest few runs of every session, described. Runs are ranked first, so that only charts and insights of those
+    that stay are counted."""
+    few = recent(since_reset(runs, sessions), rows)
+    ids = few.select("run_id")
+    return described(few, datasets, charts.join(ids, "run_id", "left_semi"), insights.join(ids, "run_id", "left_semi"))
+
+
 def sessions_at(sessions: DataFrame, now: Column) -> DataFrame:
     """Live sessions whose retention has run out are expired; others keep their status."""
     expires = F.col("created_at") + F.make_interval(days=F.lit(RETENTION_DAYS))

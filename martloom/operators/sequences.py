@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martloom.session import shared_folder
-
 
 def newest(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """The row with the largest ``order`` per key, as an aggregate: each task reduces its rows to
@@ -27,26 +25,26 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return ranked.filter(F.col("__rank") <= k).drop("__rank")
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, alias: str) -> DataFrame:
+def with_previous(
+    df: DataFrame, keys: list[str], order: list[str], value: str, alias: str, cut: Column
+) -> DataFrame:
     """Add the value of the preceding row of the same key, in ``order`` (which must be unique).
 
-    Rows are cut into contiguous slices of similar size by (keys, order), so a large key spans
-    several slices. The window runs inside a slice; only the last value per key and slice travels on
-    to the next slice. The checkpoint freezes slice numbers, which a recomputed stage could change.
+    ``cut`` cuts each key's rows into slices and must never fall while ``order`` rises, such as the day of a
+    leading timestamp. The window runs inside a slice, so a key that holds much of the table spreads over as many tasks as it has
+    slices; only the last value per key and slice travels on to the next slice.
     """
-    shared_folder(df.sparkSession)
-    sliced = (
-        df.repartitionByRange(*keys, *order).withColumn("__slice", F.spark_partition_id()).checkpoint()
-    )
-    inside = W.partitionBy("__slice", *keys).orderBy(*order)
+    sliced = df.withColumn("__slice", cut)
+    inside = W.partitionBy(*keys, "__slice").orderBy(*order)
     rows = sliced.withColumns(
         {"__previous": F.lag(value).over(inside), "__first": F.row_number().over(inside) == 1}
     )
-    tails = sliced.groupBy(*keys, "__slice").agg(
-        F.max_by(value, F.struct(*order)).alias("__tail")
-    )
+    tails = sliced.groupBy(*keys, "__slice").agg(F.max_by(value, F.struct(*order)).alias("__tail"))
+    between = W.partitionBy(*keys).orderBy("__slice")
     carried = tails.select(
-        *keys, "__slice", F.lag("__tail").over(W.partitionBy(*keys).orderBy("__slice")).alias("__carry")
+        *(F.col(k).alias(f"__{k}") for k in keys), F.col("__slice").alias("__at"), F.lag("__tail").over(between).alias("__carry")
     )
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = rows.join(carried, [*same, F.col("__slice").eqNullSafe(F.col("__at"))], "left")
     previous = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__previous"))
-    return rows.join(carried, [*keys, "__slice"], "left").select(*df.columns, previous.alias(alias))
+    return met.select(*df.columns, previous.alias(alias))

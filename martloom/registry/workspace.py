@@ -69,13 +69,15 @@ REG.add(
 )
 
 
+HISTORY_TABLES = ("runs", "sessions", "datasets", "charts", "insights")
+HISTORY_FIELDS = (
+    "run_id", "session_id", "dataset_name", "dataset_deleted", "status", "source_model", "chart_count",
+    "insight_status", "created_at",
+)
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
-    return R.history(
-        *(log_table(spark, sf, n) for n in ("runs", "sessions", "datasets", "charts", "insights"))
-    ).select(
-        "run_id", "session_id", "dataset_name", "dataset_deleted", "status", "source_model", "chart_count",
-        "insight_status", "created_at",
-    )
+    return R.history(*(log_table(spark, sf, n) for n in HISTORY_TABLES)).select(*HISTORY_FIELDS)
 
 
 HISTORY_SQL = f"""{logs('runs', 'sessions', 'datasets', 'charts', 'insights')}, {STATUS_SQL},
@@ -96,7 +98,9 @@ REG.add(
 )
 REG.add(
     "workspace_history",
-    lambda s, d: stamped(R.recent(history(s, d)), "created_at"),
+    lambda s, d: stamped(
+        R.recent_history(*(log_table(s, d, n) for n in HISTORY_TABLES)).select(*HISTORY_FIELDS), "created_at"
+    ),
     f"""with {HISTORY_SQL} select {HISTORY_COLUMNS} from history
     qualify row_number() over (partition by session_id order by history.created_at desc, run_id desc) <= 10""",
 )
@@ -223,67 +227,52 @@ REG.add(
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    # Attempts hang off the run that carries the same number as their dataset.
-    attempts = log_table(spark, sf, "attempts").withColumnRenamed("dataset_id", "run_id")
-    return K.snapshots(
-        *(log_table(spark, sf, n) for n in ("runs", "datasets", "charts", "insights")), attempts
-    )
+    return K.snapshot_headers(log_table(spark, sf, "runs"), log_table(spark, sf, "datasets"))
 
 
-def listed(path: str):
-    return F.transform(
-        path, lambda i: F.concat_ws(":", i["id"], i["label"], F.coalesce(i["status"], F.lit("-")))
-    )
+def snapshot_children(spark: SparkSession, sf: str) -> DataFrame:
+    # Attempts hang off the run that carries the same number as their dataset.
+    attempts = log_table(spark, sf, "attempts").withColumnRenamed("dataset_id", "run_id")
+    return K.snapshot_children(log_table(spark, sf, "charts"), log_table(spark, sf, "insights"), attempts)
 
 
-SNAPSHOT_SQL = f"""{logs('runs', 'datasets', 'charts', 'insights', 'attempts')},
-chart_list as (select run_id, string_agg(chart_id || ':' || chart_type || ':-', '|' order by sort_order, chart_id, chart_type) as charts
-  from charts group by 1),
-insight_list as (select run_id, string_agg(insight_id || ':' || insight_level || ':' || status, '|'
-    order by sort_order, insight_id, insight_level, status) as insights from insights group by 1),
-provider_list as (select dataset_id as run_id, string_agg(attempt_id || ':' || lane || ':' || status, '|'
-    order by created_at, cast(attempt_id as varchar)) as provider_runs
-  from attempts where task_type in ('analysis_plan', 'insight_generation') group by 1),
+SNAPSHOT_SQL = f"""{logs('runs', 'datasets')},
 snapshot as (
-  select r.run_id, d.dataset_name, {DELETED} as deleted, d.deleted_at, r.question, r.row_count,
-    coalesce(charts, '') as charts, coalesce(insights, '') as insights, coalesce(provider_runs, '') as provider_runs
-  from runs r left join datasets d on r.dataset_id = d.dataset_id
-  left join chart_list c on r.run_id = c.run_id left join insight_list i on r.run_id = i.run_id
-  left join provider_list p on r.run_id = p.run_id)"""
+  select r.run_id, r.dataset_id, d.dataset_name, d.source_type, d.status as dataset_status, {DELETED} as deleted, d.deleted_at, r.question, r.status,
+    r.source_model, r.row_count, strftime(r.completed_at, '%Y-%m-%dT%H:%M:%S') as completed_at
+  from runs r left join datasets d on r.dataset_id = d.dataset_id)"""
+SNAPSHOT_FIELDS = (
+    "run_id", "card_snapshot.dataset.id as dataset_id", "card_snapshot.dataset.name as dataset_name", "card_snapshot.dataset.source_type as source_type",
+    "card_snapshot.dataset.status as dataset_status", "card_snapshot.dataset.deleted as deleted", "card_snapshot.dataset.deleted_at as deleted_at",
+    "card_snapshot.analysis_run.question as question", "card_snapshot.analysis_run.status as status",
+    "card_snapshot.analysis_run.source_model as source_model", "card_snapshot.analysis_run.row_count as row_count",
+    "card_snapshot.analysis_run.completed_at as completed_at",
+)
 REG.add(
     "card_snapshot",
-    lambda s, d: snapshots(s, d).select(
-        "run_id", "part", F.col("card_snapshot.dataset.name").alias("dataset_name"),
-        F.col("card_snapshot.dataset.deleted").alias("deleted"),
-        F.col("card_snapshot.analysis_run.question").alias("question"),
-        F.col("card_snapshot.analysis_run.row_count").alias("row_count"),
-        listed("card_snapshot.charts").alias("charts"), listed("card_snapshot.insights").alias("insights"),
-        listed("card_snapshot.provider_runs").alias("provider_runs"),
-    ),
-    f"""with {SNAPSHOT_SQL} select run_id, cast(0 as bigint) as part, dataset_name, deleted, question, row_count, charts,
-    insights, provider_runs from snapshot""",
+    lambda s, d: snapshots(s, d).selectExpr(*SNAPSHOT_FIELDS),
+    f"with {SNAPSHOT_SQL} select * from snapshot",
+)
+REG.add(
+    "card_children",
+    snapshot_children,
+    f"""with {logs('charts', 'insights', 'attempts')}
+    select run_id, 'chart' as kind, lpad(cast(sort_order as varchar), 12, '0') as sort_key, chart_id as id, chart_type as label, null as status from charts
+    union all select run_id, 'insight', lpad(cast(sort_order as varchar), 12, '0'), insight_id, insight_level, status from insights
+    union all select dataset_id, 'provider_run', strftime(created_at, '%Y%m%d%H%M%S%f'), cast(attempt_id as varchar), lane, status
+    from attempts where task_type in ('analysis_plan', 'insight_generation')""",
 )
 REG.add(
     "snapshot_mark_deleted",
-    lambda s, d: log_table(s, d, "cards")
-    .join(log_table(s, d, "datasets").select("dataset_id", "dataset_name", "deleted_at"), "dataset_id")
-    .select(
-        "card_id",
+    # A dataset goes when its number is even; its snapshots are stamped, the others stay as they were taken.
+    lambda s, d: snapshots(s, d).withColumn(
+        "card_snapshot",
         K.mark_deleted(
-            F.struct(
-                F.struct(
-                    F.col("dataset_name").alias("name"), F.lit(False).alias("deleted"),
-                    F.lit(None).cast("string").alias("deleted_at"),
-                ).alias("dataset"),
-                F.col("status").alias("card_status"),
-            ),
-            F.col("deleted_at").isNotNull(),
-            F.col("deleted_at"),
-        ).alias("card_snapshot"),
-    )
-    .select("card_id", "card_snapshot.dataset.*", "card_snapshot.card_status"),
-    f"""with {logs('cards', 'datasets')} select card_id, dataset_name as name, deleted_at is not null as deleted,
-    deleted_at, c.status as card_status from cards c join datasets d on c.dataset_id = d.dataset_id""",
+            F.col("card_snapshot"), F.coalesce(F.col("card_snapshot.dataset.id") % 2 == 0, F.lit(False)), F.lit("2024-03-01")
+        ),
+    ).selectExpr(*SNAPSHOT_FIELDS),
+    f"""with {SNAPSHOT_SQL} select * replace (deleted or coalesce(dataset_id % 2 = 0, false) as deleted,
+      case when dataset_id % 2 = 0 then '2024-03-01' else deleted_at end as deleted_at) from snapshot""",
 )
 REG.add(
     "active_cards",
@@ -291,20 +280,24 @@ REG.add(
     f"""with {logs('cards')} select card_id, run_id, session_id, dataset_id, status, sort_order, {stamp('created_at')}
     from cards where status = 'active' order by session_id, sort_order, cards.created_at, card_id""",
 )
+def of_pairs(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A log table whose sessions belong to two customers each, so that some reach the card limit and some don't."""
+    source, columns = LOG_TABLES[name]
+    return table(spark, sf, source).selectExpr(*(c.replace("o_custkey % 25", PAIR) for c in columns))
+
+
+PAIR = "cast(floor(o_custkey / 2) as bigint)"
 REG.add(
     "card_decision",
-    lambda s, d: K.decisions(
-        log_table(s, d, "runs"), log_table(s, d, "charts"),
-        log_table(s, d, "cards").filter(F.col("status") != "removed"), max_cards=230,
-    ),
-    f"""with {logs('runs', 'charts', 'cards')}, kept as (select * from cards where status <> 'removed'),
-    used as (select session_id, count(*) as n from kept group by 1)
+    lambda s, d: K.decisions(of_pairs(s, d, "runs"), log_table(s, d, "charts"), of_pairs(s, d, "cards")),
+    f"""with {logs('runs', 'cards').replace('o_custkey % 25', PAIR)}, {logs('charts')},
+    used as (select session_id, count(*) as n from cards where status in ('active', 'archived') group by 1)
     select run_id, r.session_id, case
-      when run_id in (select run_id from kept where status = 'active') then 'keep'
+      when run_id in (select run_id from cards where status = 'active') then 'keep'
       when r.status <> 'completed' then 'analysis_not_completed'
       when run_id not in (select run_id from charts) then 'analysis_has_no_charts'
-      when run_id in (select run_id from kept where status = 'archived') then 'restore'
-      when coalesce(n, 0) >= 230 then 'card_limit_reached' else 'create' end as decision
+      when run_id in (select run_id from cards where status = 'archived') then 'restore'
+      when coalesce(n, 0) >= 8 then 'card_limit_reached' else 'create' end as decision
     from runs r left join used u on r.session_id = u.session_id""",
 )
 
