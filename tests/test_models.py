@@ -14,7 +14,7 @@ from martloom.operators import proposals as O
 from martloom.operators import sequences as S
 from martloom.plans import retail as R
 from martloom.plans import spec as P
-from martloom.plans.analysis import AnalysisPlan, Filter, clamp_limit, run_plan
+from martloom.plans.analysis import AnalysisPlan, Filter, run_plan
 from martloom.sources.inline import catalog
 
 RETAIL_ROWS = [
@@ -101,41 +101,52 @@ def test_spec_mart_joins_only_what_the_fact_lacks(spark):
     assert "Join" not in models["mart_b"]._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_plan_filters_are_three_valued_and_limits_clamped(spark):
+def test_plan_filters_are_three_valued_and_only_stated_limits_hold(spark):
     mart = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 4.0)], "d string, m double")
     run = lambda **kw: [tuple(r) for r in run_plan(mart, AnalysisPlan("x", (("m", "sum"),), **kw)).collect()]
     assert run(filters=(Filter("d", "!=", "a"),)) == [(2.0,)]
     assert run(dimensions=("d",), filters=(Filter("d", "=", None),)) == []
     assert run(dimensions=("d",), sort=(("d", "asc"),)) == [("a", 1.0), ("b", 2.0), (None, 4.0)]
-    assert run(dimensions=("d",), sort=(("d", "desc"),), limit=0) == [(None, 4.0)]
-    assert [clamp_limit(n) for n in (-5, 0, 7, 501)] == [1, 1, 7, 500]
+    assert run(dimensions=("d",), sort=(("d", "desc"),), limit=1) == [(None, 4.0)]
+    many = spark.range(1200).select("id", F.lit(1).alias("m"))
+    assert run_plan(many, AnalysisPlan("x", (("m", "sum"),), ("id",))).count() == 1200
+    first = run_plan(many, AnalysisPlan("x", (("m", "sum"),), ("id",), sort=(("m", "asc"),), limit=3)).collect()
+    assert [r["id"] for r in first] == [0, 1, 2]
+
+
+def test_an_oversized_quantity_ends_no_job(spark):
+    from martloom.functions import cleaning as C
+
+    huge = "9" * 38
+    df = spark.createDataFrame([(huge, "2.50"), (huge, "3.00"), ("2", "1.50")], "q string, p string")
+    typed = df.select(C.clean_whole_number(F.col("q")).alias("quantity"), C.clean_money(F.col("p")).alias("price"))
+    none = F.lit(None).cast("decimal(18,2)")
+    net = typed.select("quantity", C.net_revenue(none, F.col("quantity"), F.col("price"), none).alias("net"))
+    assert [None if r["net"] is None else float(r["net"]) for r in net.collect()] == [None, None, 3.0]
+    assert run_plan(net, AnalysisPlan("x", (("quantity", "sum"), ("net", "sum")))).first()["quantity"] is None
 
 
 def test_previous_value_across_slices_matches_brute_force(spark):
     """One key holds most rows, so its run of rows spans several slices."""
     rows = [("hot" if i % 10 else f"k{i % 7}", (i * 7919) % 1000, i, f"v{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, t long, id long, v string").repartition(5)
-    got = {r["id"]: r["prev"] for r in S.with_previous(df, ["k"], ["t", "id"], "v", "prev").collect()}
+    got = {r["id"]: r["prev"] for r in S.with_previous(df, ["k"], ["t", "id"], "v", "prev", F.floor(F.col("t") / 50)).collect()}
     want, last = {}, defaultdict(lambda: None)
     for k, _, i, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         want[i], last[k] = last[k], v
     assert got == want
 
 
-def test_large_snapshot_is_split_and_whole(spark):
+def test_snapshot_children_stay_rows(spark):
     runs = spark.sql("select 1L as run_id, 1L as dataset_id, 'q' as question, 'completed' as status, 'm' as source_model, 1L as row_count, timestamp'2026-01-01' as completed_at union all select 2L, null, 'q', 'failed', 'm', 0L, null")
     datasets = spark.sql("select 1L as dataset_id, 'd' as dataset_name, 'upload' as source_type, 'ready_for_analysis' as status, cast(null as string) as deleted_at")
     charts = spark.range(500).select(F.lit(1).cast("long").alias("run_id"), F.concat(F.lit("c"), "id").alias("chart_id"), F.lit("bar").alias("chart_type"), F.col("id").alias("sort_order"))
     insights = charts.limit(0).select("run_id", F.col("chart_id").alias("insight_id"), F.lit("chart").alias("insight_level"), F.lit("x").alias("status"), "sort_order")
     attempts = spark.sql("select 1L as run_id, 9L as attempt_id, timestamp'2026-01-01' as created_at, 'analysis_plan' as task_type, 'a' as lane, 'completed' as status union all select 1L, 10L, timestamp'2026-01-01', 'semantic_preparation', 'a', 'completed'")
-    docs = K.snapshots(runs, datasets, charts, insights, attempts, part_rows=50).collect()
-    first = [d for d in docs if d["run_id"] == 1]
-    names = [c["id"] for d in first for c in d["card_snapshot"]["charts"]]
-    assert len(first) > 5 and sorted(names) == sorted(f"c{i}" for i in range(500))
-    assert max(len(d["card_snapshot"]["charts"]) for d in first) < 200
-    assert sum(len(d["card_snapshot"]["provider_runs"]) for d in first) == 1
-    second = [d for d in docs if d["run_id"] == 2]
-    assert len(second) == 1 and second[0]["card_snapshot"]["dataset"]["deleted"] is True
+    heads = {r["run_id"]: r["card_snapshot"] for r in K.snapshot_headers(runs, datasets).collect()}
+    assert heads[1]["dataset"]["name"] == "d" and not heads[1]["dataset"]["deleted"] and heads[2]["dataset"]["deleted"]
+    children = K.snapshot_children(charts, insights, attempts).collect()
+    assert sum(c["kind"] == "chart" for c in children) == 500 and [c["id"] for c in children if c["kind"] == "provider_run"] == ["9"]
 
 
 MAPPED = [("order_id", "identifier", "identifier"), ("order_date", "date_time", "date"), ("customer_id", "identifier", "identifier"),
@@ -186,7 +197,8 @@ def test_accepted_plan_runs(spark):
         "plan_id long, payload string",
     )
     found = {(r["plan_id"], r["rule"]) for r in Q.violations(plans, catalog(spark, marts)).collect()}
-    assert found == {(2, "filter_value"), (2, "limit_integer"), (3, "sort_not_selected")}
+    assert found == {(1, "limit_range"), (2, "filter_value"), (2, "limit_integer"), (3, "sort_not_selected")}
+    plans = spark.createDataFrame([(1, PLAN % ('"a"', "500"))], "plan_id long, payload string")
     row = Q.accepted(plans, catalog(spark, marts)).collect()[0]
     plan = Q.to_plan(row)
     assert plan == AnalysisPlan("mart_a", (("m", "sum"),), ("d",), (Filter("d", "!=", "a"),), (("m", "desc"),), 500)
@@ -204,3 +216,47 @@ def test_edits_with_a_bad_name_change_nothing(spark):
     assert rows[1, 0]["approved_name"] == "b" and rows[1, 0]["include_in_model"] is False and rows[1, 0]["user_edited"]
     assert rows[1, 1]["confidence"] == 0.0 and rows[1, 1]["suggested_name"] == "new"
     assert rows[2, 0]["approved_name"] is None and not rows[2, 0]["user_edited"]
+
+
+def test_long_lists_are_judged_to_the_end(spark, sets):
+    dims = ", ".join(f'{{"name": "dim_{k}", "key_column": "customer_id", "columns": ["customer_id"]}}' for k in range(6))
+    long = (STAR % '"revenue"').replace('"dimensions": [{"name": "dim_customer"', f'"dimensions": [{dims}, {{"name": "wrong"')
+    found = {(r["rule"], r["subject"], r["within_limit"]) for r in O.violations(payloads(spark, long), sets).collect()}
+    assert found == {("dimension_name", "wrong", False), ("list_too_long", "dimensions", False)}
+
+
+def test_an_accepted_proposal_becomes_models(spark, sets):
+    row = O.accepted(payloads(spark, STAR % '"revenue"'), sets).first()
+    spec = P.to_spec(row)
+    assert spec.fact_columns() == ["order_id", "customer_id", "channel", "order_date", "order_date_month", "revenue"]
+    assert spec.marts[0].dimensions == ("order_date_month", "channel") and spec.degenerate == ("channel",)
+
+
+QUESTIONS = """{"suggested_questions": [{"question": "Raw cost of sales?"}, {"question": "Sales trend?", "intent": "two words"},
+ {"question": "sales TREND?", "intent": "trend"}, {"question": "Sales trend?"}, {"question": 5}, {"question": "raw cost?", "intent": true}]}"""
+
+
+def test_every_question_is_judged_and_the_first_good_spelling_kept(spark):
+    from martloom.operators import screening as Z
+
+    df = spark.createDataFrame([("p", QUESTIONS)], "payload_id string, payload string")
+    rows = sorted(Z.screen_questions(df, ["sales"]).collect(), key=lambda r: r["position"])
+    assert [r["kept"] for r in rows] == [False, False, True, False, False, False]
+    assert [r["within_limit"] for r in rows] == [True] * 5 + [False]
+    assert rows[5]["violations"] == "raw_only_term|no_catalog_term|intent" and rows[4]["violations"] == "text"
+
+
+INSIGHT = """{"question_insight": {"summary": 5, "key_findings": "all customers", "tags": "trend", "confidence": "low"}, "chart_insights": [
+ {"chart_title": "Sales", "summary": "up", "key_findings": ["a", "b", "c", "d", "e", "this proves that"], "confidence": "low"},
+ {"chart_title": "Sales", "summary": "up", "tags": ["a tag that is longer than thirty-two letters"], "confidence": "low"}]}"""
+
+
+def test_insight_members_of_the_wrong_type_are_reported(spark):
+    from martloom.operators import screening as Z
+
+    df = spark.createDataFrame([(1, INSIGHT)], "run_id long, payload string")
+    charts = spark.createDataFrame([(1, "z", "Sales", 1), (1, "a", "SALES", 2)], "run_id long, chart_id string, title string, sort_order int")
+    rows = sorted(Z.screen_insights(df, charts).collect(), key=lambda r: r["position"])
+    assert rows[0]["violations"] == "summary_text|findings_list|tags_list"
+    assert rows[1]["violations"] == "finding_claim" and not rows[1]["finding_within_limit"] and rows[1]["chart_id"] == "a"
+    assert rows[2]["violations"] == "tag"

@@ -5,9 +5,14 @@ from __future__ import annotations
 import pytest
 from check import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from martloom.registry import load
 
-SQL = oracle_sql()
+SQL = load().sql
+
+
+def queries():
+    return load().queries
 
 
 @pytest.fixture(scope="module")
@@ -26,16 +31,14 @@ def test_entry_has_rows(spark):
 
 
 # Operators that pair all rows, or leave the JVM row by row: no query may plan one.
-UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "ExistingRDD")
+UNWANTED = ("RoundRobin", "CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "ExistingRDD")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, sf_dir, name):
     df = queries()[name](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    # A checkpoint is read back as an existing RDD; that is the one way a plan may hold one.
-    allowed = {"ExistingRDD"} if name == "provider_fallback_chain" else set()
-    assert not [op for op in UNWANTED if op in plan and op not in allowed]
+    assert not [op for op in UNWANTED if op in plan]
     assert compare(spark, con, name, lambda *_: df, SQL[name], sf_dir) is None
 
 
@@ -67,3 +70,16 @@ def test_profile_aggregates_the_cells_once(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "ReusedExchange [raw_column_name" in plan
+
+
+def test_history_ranks_runs_before_it_counts_their_children(spark, sf_dir):
+    plan = queries()["workspace_history"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan.index("Window ")
+    assert plan.index("LeftSemi") < ranked and "LeftOuter" in plan[:ranked]
+
+
+def test_entry_offers_the_library_queries():
+    from __spark_entry__ import oracle_sql
+    from __spark_entry__ import queries as offered
+
+    assert set(queries()) <= set(offered()) and set(SQL) <= set(oracle_sql())
