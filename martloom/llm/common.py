@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martloom.session import shared_folder
+from martloom.session import scratch_folder
 
 # A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,8 +40,6 @@ def written(df: DataFrame) -> DataFrame:
     The copy goes when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = scratch_folder(spark, "llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
