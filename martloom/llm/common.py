@@ -34,6 +34,11 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(1), *cells).alias("__h1"), F.xxhash64(F.lit(2), *cells).alias("__h2")]
 
 
+def packed(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` next to ``__row``, the whole row as a struct, so that names an operator adds meet no name of the table's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *columns)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet copy in the shared checkpoint folder, so that lost executors cost no recomputation.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.common import WORD, lower_ascii, row_key, whole_text
+from martloom.llm.common import WORD, lower_ascii, packed, row_key, whole_text
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13  # words of an overlap that must agree
@@ -94,7 +94,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, in its columns."""
     part = docs.select("doc_id", "text")
     hit = overlaps(docs, benchmark).select("__h1", "__h2").distinct()
-    keyed = docs.select("*", *row_key(part))
-    return keyed.join(hit, ["__h1", "__h2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = packed(docs, *row_key(part))
+    return keyed.join(hit, ["__h1", "__h2"], "left_anti").select("__row.*")
 
 

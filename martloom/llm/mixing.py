@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martloom.llm.common import WORD, whole_text
+from martloom.llm.common import WORD, packed, whole_text
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # copies a source's size may be taken at most
@@ -55,7 +55,7 @@ def _offset(source: Column, seed: str) -> Column:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``; 0 copies for what is not taken.
+    """Rows of ``docs`` as ``__row`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``; 0 copies for what is not taken.
 
     Null texts have size 0, the null source is a source of its own, equal rows are taken one by one. A document's
     place depends on its size, id and text alone, so reruns agree. Other columns pass through.
@@ -65,12 +65,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     a third of all rows spreads over many tasks; starts are running sums over counts.
     """
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sized = docs.withColumns({
-        "__size": words_in(whole_text()),
-        "__source": F.when(F.isnull("source"), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))),
-        "__md5": F.md5(doc_id),
-        "__text": F.xxhash64(whole_text()),
-    }).withColumn("__slice", F.substring("__md5", 1, SLICE_DIGITS))
+    sized = packed(
+        docs,
+        words_in(whole_text()).alias("__size"),
+        F.when(F.isnull("source"), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("__source"),
+        F.md5(doc_id).alias("__md5"), F.col("doc_id").alias("__id"), F.xxhash64(whole_text()).alias("__text"),
+    ).withColumn("__slice", F.substring("__md5", 1, SLICE_DIGITS))
     keys = ["__source", "__size", "__slice"]
     slices = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     by_size = slices.groupBy("__source", "__size").agg(F.sum("__n").alias("__of_size"))
@@ -89,25 +89,25 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
         .join(plan, "__source")
         .select(*keys, (F.col("__before") + F.col("__in_size")).alias("__start"), "__source_size", "__target")
     )
-    inside = W.partitionBy(*keys).orderBy("__md5", F.col("doc_id"), "__text")
-    placed = sized.withColumn("__row", F.row_number().over(inside)).join(starts, keys)
+    inside = W.partitionBy(*keys).orderBy("__md5", "__id", "__text")
+    placed = sized.withColumn("__rank", F.row_number().over(inside)).join(starts, keys)
     rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size").cast("double")), F.lit(0.0))
     offset = _offset(name, seed)
-    last = F.col("__start") + F.col("__row")
+    last = F.col("__start") + F.col("__rank")
     crossed = F.floor(last * rate + offset) - F.floor((last - 1) * rate + offset)
     copies = F.least(crossed, F.ceil(rate)).cast("int")
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), "__size", "__source_size", "__target", copies.alias("__copies"))
+    return placed.select("__row", "__size", "__source_size", "__target", copies.alias("__copies"))
 
 
 def emitted(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document's rows repeated as often as it is taken, in the columns of ``docs``."""
     rows = mixed(docs, **how).filter("__copies > 0")
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
     return mixed(docs.select("doc_id", "text", "source"), **how).select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        "__row.doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"),
     )
 

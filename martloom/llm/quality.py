@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martloom.llm.common import packed
+
 KEEP_AT = 0.7
 MOST_LABELLED = 10_000  # labelled documents of each class the trees are grown on at most
 FEATURES = (
@@ -164,13 +166,18 @@ def scorer(trees: Trees):
 
 
 def scored(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` plus ``__score``: higher means label 1 is likelier. Every row gets one, empty texts too."""
-    return docs.withColumn("__score", scorer(trees)("text"))
+    """Rows of ``docs`` as ``__row`` with ``__score``: higher means label 1 is likelier. Every row gets one, empty texts too."""
+    return packed(docs, scorer(trees)("text").alias("__score"))
+
+
+def accepted(docs: DataFrame, trees: Trees, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs`` that score ``keep_at`` or more, in its columns."""
+    return scored(docs, trees).filter(F.col("__score") >= keep_at).select("__row.*")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = scored(docs.select("doc_id", "text"), train(docs, labels))
     return rows.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
+        "__row.doc_id", held_out(F.col("__row.doc_id")).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= KEEP_AT).cast("int").alias("predicted"),
     )

@@ -117,3 +117,26 @@ def leaks(docs: list[tuple], items: list[tuple]) -> set[tuple]:
                     out.add((d, item))
                     break
     return out
+
+
+def url_parts(url: str | None) -> tuple[str, str]:
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    return host, path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+
+
+def url_rule(host: str, path: str) -> tuple[str | None, str | None]:
+    rules = {
+        "com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block",
+    }
+    fit = []
+    for rule in rules:
+        name, _, rest = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + rest):
+            fit.append(rule)
+    best = max(fit, key=len, default=None)
+    return best, rules.get(best)
