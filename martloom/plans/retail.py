@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,8 +197,12 @@ class RetailModel:
         return builders[name]()
 
     def write(self, writer: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
-        """Materialise every model in layer order; each later model reads the written ones."""
+        """Materialise every model in layer order; each later model reads the written ones.
+
+        The models of a layer do not need each other, so their jobs are started together.
+        """
         for names in self.LAYERS.values():
-            for name in names:
-                self._models[name] = writer(name, self.model(name))
+            planned = [(name, self.model(name)) for name in names]
+            with ThreadPoolExecutor(len(planned)) as pool:
+                self._models |= zip(names, pool.map(lambda item: writer(*item), planned))
         return dict(self._models)

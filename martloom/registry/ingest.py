@@ -243,15 +243,14 @@ CHART_PLAN = AnalysisPlan("mart_sales_performance", (("revenue", "sum"),), ("ord
     "plan_chart",
     f"""with {MART_SQL}, r as (select order_month, sum(revenue) as revenue, row_number() over (order by order_month asc nulls last) as pos
       from mart_sales_performance group by 1)
-    select 'line' as chart_type, 'Revenue Trend' as title, pos - 1 as position, strftime(order_month, '%Y-%m-%d') as x,
+    select 'line' as chart_type, pos - 1 as position, strftime(order_month, '%Y-%m-%d') as x,
       cast(revenue as double) as y from r""",
 )
 def plan_chart(spark: SparkSession, sf: str) -> DataFrame:
     """From a plan to the points of its chart: run, snapshot, chart choice, series."""
     snapshot = sinks.result_snapshot(run_plan(mart(spark, sf, CHART_PLAN.source_model), CHART_PLAN), CHART_PLAN.limit)
     chosen = charts.choose(sinks.as_chart_result(snapshot, CHART_PLAN, "How did revenue develop?"))
-    points = charts.series(chosen).join(chosen.select("run_id", "title"), "run_id")
-    return points.select("chart_type", "title", F.col("position").cast("long").alias("position"), "x", "y")
+    return charts.series(chosen).select("chart_type", F.col("position").cast("long").alias("position"), "x", "y")
 
 
 @REG.query(
