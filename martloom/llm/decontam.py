@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.common import WORD, lower_ascii, packed, row_key, whole_text
+from martloom.llm.common import UPPER, WORD, lower_ascii, packed, row_key, whole_text
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13  # words of an overlap that must agree
@@ -98,3 +98,24 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return keyed.join(hit, ["__h1", "__h2"], "left_anti").select("__row.*")
 
 
+
+
+_SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+')"
+# By all pairs of equal words instead of seeds.
+SQL = rf"""
+with d as (select row_number() over () as k, doc_id, {_SQL_WORDS} as w from (select distinct doc_id, text from documents)),
+i as (select min(item_id) as item_id, w from (select item_id, {_SQL_WORDS} as w from benchmark) group by w having len(w) >= 9),
+dw as (select k, doc_id, len(w) as n_ours, unnest(w) as word, generate_subscripts(w, 1) - 1 as place from d),
+iw as (select item_id, len(w) as n_theirs, unnest(w) as word, generate_subscripts(w, 1) - 1 as place from i),
+a as (
+  select k, doc_id, item_id, dw.place - iw.place as shift, any_value(n_ours) as n_ours, any_value(n_theirs) as n_theirs, list(dw.place) as places
+  from dw join iw using (word) group by 1, 2, 3, 4 having count(*) >= 0.8 * least({WINDOW}, any_value(n_theirs))
+), o as (
+  select *, greatest(shift, 0) as start, least(shift + n_theirs, n_ours) - greatest(shift, 0) as n_words, least({WINDOW}, n_theirs) as size, len(places) as n_equal from a
+), f as (
+  select * from o where len(list_filter(range(start, start + n_words - size + 1),
+    lambda s: len(list_filter(places, lambda p: p >= s and p < s + size)) >= {AGREE} * size)) > 0
+)
+select doc_id, item_id, cast(start as bigint) as start, cast(n_words as bigint) as n_words, cast(n_equal as bigint) as n_equal from f
+qualify row_number() over (partition by k, item_id order by n_equal desc, start, n_words desc) = 1
+"""

@@ -60,4 +60,6 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {"op1_source_mix": mixing.SQL, "op10_chat_format": chat.SQL}
+SQL: dict[str, str] = {
+    "op1_source_mix": mixing.SQL, "op8_decontamination": decontam.SQL, "op9_substring_dedup": substrings.SQL, "op10_chat_format": chat.SQL,
+}

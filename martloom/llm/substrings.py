@@ -190,3 +190,14 @@ def removed(docs: DataFrame, window: int = WINDOW, digest: bool = False, block_b
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remover(bits, window, digest), DIGEST_SQL if digest else OUT_SQL)
 
 
+
+
+SQL = rf"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select k, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) as h from (select k, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from d)),
+gone as (select distinct k, unnest(range(i, i + {WINDOW})) as place from (select k, i from x qualify count(*) over (partition by h) > 1)),
+words as (select k, unnest(w) as word, generate_subscripts(w, 1) as place from d),
+kept as (select k, count(*) as n, string_agg(word, ' ' order by place) as text from words anti join gone using (k, place) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from d left join kept using (k)
+"""
