@@ -11,11 +11,14 @@ can write to holds; each ``payload`` is one self-contained compressed file.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -164,53 +167,111 @@ class Shard:
         return out
 
 
+# Letters that end with an ASCII one, then ASCII marks: the vocabulary's pattern always parts a word there.
+_PARTS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,!?;:%*#&$|]+)").fullmatch
+
+
+class _Pool:
+    """Id runs of variable length, found by number."""
+
+    def __init__(self) -> None:
+        self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16)
+        self.many = self.used = 0
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        def room(values: np.ndarray, need: int) -> np.ndarray:
+            return values if need <= len(values) else np.r_[values, np.zeros(max(need - len(values), len(values)), values.dtype)]
+
+        many, used = self.many + len(sizes), self.used + len(ids)
+        self.starts, self.sizes, self.ids = room(self.starts, many), room(self.sizes, many), room(self.ids, used)
+        self.starts[self.many : many] = self.used + sizes.cumsum() - sizes
+        self.sizes[self.many : many] = sizes
+        self.ids[self.used : used] = ids
+        self.many, self.used = many, used
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the runs ``at``, one after the other."""
+        sizes = self.sizes[at]
+        ends = sizes.cumsum()
+        total = int(ends[-1]) if len(ends) else 0
+        return sizes, self.ids[np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)]
+
+
 class Encoder:
-    """Ids of whole texts. Words stand apart at white space for this vocabulary, so a word's ids are kept and used again."""
+    """Ids of whole texts. Words stand apart at white space for this vocabulary, so a word's ids are kept and used again, and
+    so are the ids of its letters without the marks behind them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        if self._tokenizer.get_vocab_size() > 1 << PLANES:
+        vocabulary = self._tokenizer.get_vocab()
+        if len(vocabulary) > 1 << PLANES:
             raise ValueError("ids do not fit the planes")
-        self._clear()
-
-    def _clear(self) -> None:
-        self._place: dict[bytes, int] = {}
-        self._starts, self._sizes, self._pool, self._used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0
+        self._ends_word = np.zeros(1 << PLANES, bool)
+        self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget_words()
+        self._forget_pieces()
+
+    def _forget_words(self) -> None:
+        self._word: dict[bytes, int] = {}
+        self._words = _Pool()
+
+    def _forget_pieces(self) -> None:
+        self._piece: dict[bytes, int] = {b"": 0}
+        self._pieces = _Pool()
+        self._pieces.add(np.zeros(1, np.int64), np.zeros(0, np.uint16))
+
+    def _learn_pieces(self, pieces: list[bytes]) -> None:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        plain, rest = [], []
+        for k, text in enumerate(texts):
+            # A piece of letters only gives one run of ids, closed by the one id that ends a word.
+            (plain if text.lower().isalpha() and unicodedata.is_normalized("NFC", text) else rest).append(k)
+        encode = self._tokenizer.encode_batch_fast
+        lines = [" ".join(texts[k] for k in plain[i : i + 256]) for i in range(0, len(plain), 256)]
+        together = [np.array(e.ids, np.uint16) for e in encode(lines, add_special_tokens=False)]
+        alone = [np.array(e.ids, np.uint16) for e in encode([texts[k] for k in rest], add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint16), *together])
+        sizes = np.diff(np.flatnonzero(self._ends_word[flat]), prepend=-1)
+        if len(sizes) != len(plain) or sizes.sum() != len(flat):
+            raise ValueError("words did not come apart in the vocabulary's ids")
+        have = self._pieces.many
+        self._pieces.add(sizes, flat)
+        self._pieces.add(np.array(list(map(len, alone)), np.int64), np.concatenate([np.zeros(0, np.uint16), *alone]))
+        self._piece.update((pieces[k], have + n) for n, k in enumerate(plain + rest))
 
     def _learn(self, words: list[bytes]) -> None:
-        got = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(sizes.sum()))
-        have, more = len(self._place), len(words)
-        while len(self._sizes) < have + more:
-            self._starts, self._sizes = np.r_[self._starts, np.zeros_like(self._starts)], np.r_[self._sizes, np.zeros_like(self._sizes)]
-        while len(self._pool) < self._used + len(flat):
-            self._pool = np.r_[self._pool, np.zeros_like(self._pool)]
-        self._starts[have : have + more] = self._used + sizes.cumsum() - sizes
-        self._sizes[have : have + more] = sizes
-        self._pool[self._used : self._used + len(flat)] = flat
-        self._used += len(flat)
-        self._place.update(zip(words, range(have, have + more)))
+        if len(self._piece) > CACHE_WORDS:
+            self._forget_pieces()
+        parts: list[bytes] = []
+        for word in words:
+            found = _PARTS(word)
+            letters, marks = found.groups() if found else (word, b"")
+            if letters.isascii() and b"<" not in letters:  # the vocabulary is lower-case, but for control tokens
+                letters = letters.lower()
+            parts += (letters, marks)
+        if new := [p for p in set(parts) if p not in self._piece]:
+            self._learn_pieces(new)
+        at = np.fromiter(map(self._piece.__getitem__, parts), np.int64, len(parts))
+        sizes, ids = self._pieces.take(at)
+        have = self._words.many
+        self._words.add(sizes[::2] + sizes[1::2], ids)
+        self._word.update(zip(words, range(have, have + len(words))))
 
     def encode(self, texts: list[bytes | None]) -> tuple[list[int], np.ndarray]:
         """Lengths and ids of all texts, each closed by the end id."""
         split = [(t or b"").split() for t in texts]
-        words = [w for ws in split for w in ws]
-        if len(self._place) > CACHE_WORDS:
-            self._clear()
-        if new := [w for w in set(words) if w not in self._place]:
+        words = list(chain.from_iterable(split))
+        if len(self._word) > CACHE_WORDS:
+            self._forget_words()
+        if new := [w for w in set(words) if w not in self._word]:
             self._learn(new)
-        at = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
-        sizes = self._sizes[at]
+        at = np.fromiter(map(self._word.__getitem__, words), np.int64, len(words))
+        sizes, ids = self._words.take(at)
         ends = np.r_[0, sizes.cumsum()]
-        places = np.arange(ends[-1]) + np.repeat(self._starts[at] - ends[:-1], sizes)
-        bounds = ends[np.r_[0, np.cumsum([len(ws) for ws in split])].astype(np.int64)]
-        lengths = np.diff(bounds)
-        ids = np.insert(self._pool[places], bounds[1:], END_ID)
-        return (lengths + 1).tolist(), ids
+        bounds = ends[np.cumsum([0, *map(len, split)])]
+        return (np.diff(bounds) + 1).tolist(), np.insert(ids, bounds[1:], END_ID)
 
 
 def encoder(path: str) -> Encoder:
