@@ -11,17 +11,16 @@ can write to holds; each ``payload`` is one self-contained compressed file.
 
 from __future__ import annotations
 
-import re
 import struct
 import sys
 import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,7 +34,7 @@ BLOCK = 1 << 15  # bits of a plane compressed together
 SHARD_TOKENS = 1 << 21  # a shard is closed by the document that reaches this
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
+CACHE_PIECES = 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -168,7 +167,7 @@ class Shard:
 
 
 # Letters that end with an ASCII one, then ASCII marks: the vocabulary's pattern always parts a word there.
-_PARTS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,!?;:%*#&$|]+)").fullmatch
+_PARTS = "^([A-Za-z\\x{80}-\\x{10FFFF}]*[A-Za-z])([.,!?;:%*#&$|]+)$"
 
 
 class _Pool:
@@ -198,8 +197,8 @@ class _Pool:
 
 
 class Encoder:
-    """Ids of whole texts. Words stand apart at white space for this vocabulary, so a word's ids are kept and used again, and
-    so are the ids of its letters without the marks behind them."""
+    """Ids of whole texts. Words stand apart at white space for this vocabulary, and letters from the marks behind them, so the ids of
+    such pieces are kept and used again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -210,20 +209,14 @@ class Encoder:
             raise ValueError("ids do not fit the planes")
         self._ends_word = np.zeros(1 << PLANES, bool)
         self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget_words()
-        self._forget_pieces()
+        self._forget()
 
-    def _forget_words(self) -> None:
-        self._word: dict[bytes, int] = {}
-        self._words = _Pool()
-
-    def _forget_pieces(self) -> None:
-        self._piece: dict[bytes, int] = {b"": 0}
+    def _forget(self) -> None:
+        self._piece: dict[str, int] = {"": 0}
         self._pieces = _Pool()
         self._pieces.add(np.zeros(1, np.int64), np.zeros(0, np.uint16))
 
-    def _learn_pieces(self, pieces: list[bytes]) -> None:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
+    def _learn(self, texts: list[str]) -> None:
         plain, rest = [], []
         for k, text in enumerate(texts):
             # A piece of letters only gives one run of ids, closed by the one id that ends a word.
@@ -239,38 +232,38 @@ class Encoder:
         have = self._pieces.many
         self._pieces.add(sizes, flat)
         self._pieces.add(np.array(list(map(len, alone)), np.int64), np.concatenate([np.zeros(0, np.uint16), *alone]))
-        self._piece.update((pieces[k], have + n) for n, k in enumerate(plain + rest))
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self._piece) > CACHE_WORDS:
-            self._forget_pieces()
-        parts: list[bytes] = []
-        for word in words:
-            found = _PARTS(word)
-            letters, marks = found.groups() if found else (word, b"")
-            if letters.isascii() and b"<" not in letters:  # the vocabulary is lower-case, but for control tokens
-                letters = letters.lower()
-            parts += (letters, marks)
-        if new := [p for p in set(parts) if p not in self._piece]:
-            self._learn_pieces(new)
-        at = np.fromiter(map(self._piece.__getitem__, parts), np.int64, len(parts))
-        sizes, ids = self._pieces.take(at)
-        have = self._words.many
-        self._words.add(sizes[::2] + sizes[1::2], ids)
-        self._word.update(zip(words, range(have, have + len(words))))
-
-    def encode(self, texts: list[bytes | None]) -> tuple[list[int], np.ndarray]:
-        """Lengths and ids of all texts, each closed by the end id."""
-        split = [(t or b"").split() for t in texts]
-        words = list(chain.from_iterable(split))
-        if len(self._word) > CACHE_WORDS:
-            self._forget_words()
-        if new := [w for w in set(words) if w not in self._word]:
-            self._learn(new)
-        at = np.fromiter(map(self._word.__getitem__, words), np.int64, len(words))
-        sizes, ids = self._words.take(at)
+        self._piece.update((texts[k], have + n) for n, k in enumerate(plain + rest))
+
+    def _numbers(self, *columns: pa.Array) -> list[np.ndarray]:
+        """The pieces' numbers, learning those that are new."""
+        coded = [c.dictionary_encode() for c in columns]
+        listed = [c.dictionary.to_pylist() for c in coded]
+        if len(self._piece) > CACHE_PIECES:
+            self._forget()
+        if new := {p for pieces in listed for p in pieces if p not in self._piece}:
+            self._learn(list(new))
+        known = [np.fromiter(map(self._piece.__getitem__, pieces), np.int64, len(pieces)) for pieces in listed]
+        return [k[c.indices.to_numpy()] for k, c in zip(known, coded)]
+
+    def encode(self, texts: pa.Array) -> tuple[list[int], np.ndarray]:
+        """Lengths and ids of all texts, each closed by the end id. Each word of the batch is put together once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        parted = pc.match_substring_regex(words, _PARTS)
+        letters = pc.if_else(parted, pc.replace_substring_regex(words, _PARTS, r"\1"), words)
+        marks = pc.if_else(parted, pc.replace_substring_regex(words, _PARTS, r"\2"), "")
+        # The vocabulary is lower-case, but for control tokens; other letters are left to it.
+        simple = pc.and_not(pc.string_is_ascii(letters), pc.match_substring(letters, "<"))
+        letters = pc.if_else(simple, pc.ascii_lower(letters), letters)
+        pairs = np.stack(self._numbers(letters, marks), axis=1).ravel()
+        sizes, ids = self._pieces.take(pairs)
+        known = _Pool()
+        known.add(sizes[::2] + sizes[1::2], ids)
+        sizes, ids = known.take(coded.indices.to_numpy())
         ends = np.r_[0, sizes.cumsum()]
-        bounds = ends[np.cumsum([0, *map(len, split)])]
+        offsets = split.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]]
         return (np.diff(bounds) + 1).tolist(), np.insert(ids, bounds[1:], END_ID)
 
 
@@ -285,7 +278,7 @@ def encoder(path: str) -> Encoder:
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-FEW = 512  # documents encoded together
+FEW = 1024  # documents encoded together
 
 
 def _written_shards(path: str, limit: int):
@@ -307,7 +300,7 @@ def _written_shards(path: str, limit: int):
         for batch in batches:
             for at in range(0, batch.num_rows, FEW):
                 few = batch.slice(at, FEW)
-                lengths, ids = encode(few.column(1).cast(pa.binary()).to_pylist())
+                lengths, ids = encode(few.column(1))
                 ends = np.cumsum(lengths)
                 start = 0
                 for doc, length, end in zip(few.column(0).to_pylist(), lengths, ends):

@@ -6,6 +6,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,12 +206,14 @@ def test_words_stand_apart_for_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = tokens.tokenizer_path()
-    whole, mine = Tokenizer.from_file(path), tokens.Encoder(path)
+    whole, mine, rng = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(2)
     texts = [
         "It's  they'LL\tgo!? 12 ab12 <|endoftext|>x y<|startoftext|>", "a\u0301 e \u0301 \u00a0x\u2003y \x1cz\x85", "ΣΑΣ Σ ας", "", "…—\u200b☃ \U0001f600", "x" * 300,
         LONG[:5000], "İ ﬁ ß ſ \x00 \x0b",
     ]
-    lengths, ids = mine.encode([t.encode() for t in texts])
+    texts += [" ".join(rng.choice(("the", "The,", "don't", "\x1fa", "é.", "x|", "</w>", "9a", "a9!", "..", "\u0338", "=\u0338", "H\u0331")) for _ in range(50)) for _ in range(40)]
+    lengths, ids = mine.encode(pa.array([*texts, None], pa.string()).slice(1))
+    texts = [*texts[1:], ""]
     want = [[*whole.encode(t, add_special_tokens=False).ids, tokens.END_ID] for t in texts]
     assert lengths == list(map(len, want)) and ids.tolist() == sum(want, [])
 
