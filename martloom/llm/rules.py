@@ -1,6 +1,6 @@
 """Quality rules: fixed base rules, and robust multivariate outliers per language and source.
 
-The centre and scatter of a group of documents come from the half of it (three quarters here) whose covariance
+The centre and scatter of a group of documents come from the half of it whose covariance
 determinant is smallest. That subset is found by concentration steps: measure every document by the present centre and
 scatter, keep the nearest share, estimate again. All documents take part in every step; a step is one
 aggregation of sums, and the share's limit is a mergeable quantile sketch, so no group is ever gathered.
@@ -20,7 +20,7 @@ from martloom.llm.common import written
 
 LEAST_WORDS, MOST_REPEATED = 10, 20  # base rules: words, and per cent of words in repeated windows
 WINDOW = 5
-SHARE = 0.75  # of a group, kept by a concentration step
+SHARE = 0.5  # of a group, kept by a concentration step: estimates hold while less than half of a group is bad
 STEPS = 5
 LEAST_GROUP = 70  # smaller groups of a language are judged together
 CUT = 80.0  # squared distance beyond which a document is an outlier
