@@ -22,7 +22,7 @@ LEAST_WORDS, MOST_REPEATED = 10, 20  # base rules: words, and per cent of words
 WINDOW = 5
 SHARE = 0.5  # of a group, kept by a concentration step: estimates hold while less than half of a group is bad
 STEPS = 5
-LEAST_GROUP = 70  # smaller groups of a language are judged together
+LEAST_GROUP = 70  # smaller groups are judged by all documents of the language, smaller languages by all documents
 CUT = 80.0  # squared distance beyond which a document is an outlier
 FEW_WORDS = 30  # shares of a short text are noisy: distances are scaled by n / (n + this)
 
@@ -91,14 +91,21 @@ def _key(*parts: Column) -> Column:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``__group``: language and source, or the language alone for documents of small groups."""
-    fine, coarse = _key(F.col("lang"), F.col("source")), _key(F.col("lang"))
-    small = (
-        rows.filter("n_words > 0").groupBy(fine.alias("__fine")).agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") >= LEAST_GROUP).select("__fine", F.lit(True).alias("__large"))
+    """Adds ``__group``, which judges a document, and ``__fits``, the groups whose estimates it takes part in.
+
+    A document is judged by its language and source; by all documents of its language where these are too few; and by
+    all documents where the language has too few.
+    """
+    fine, coarse, whole = F.concat(F.lit("f"), _key(F.col("lang"), F.col("source"))), F.concat(F.lit("l"), _key(F.col("lang"))), F.lit("a")
+    sizes = rows.filter("n_words > 0").groupBy(fine.alias("__fine"), coarse.alias("__coarse")).agg(F.count(F.lit(1)).alias("__n"))
+    languages = sizes.groupBy("__coarse").agg((F.sum("__n") >= LEAST_GROUP).alias("__many"), (F.min("__n") < LEAST_GROUP).alias("__asked"))
+    tables = languages.agg(F.coalesce(F.max(~F.col("__many")), F.lit(False)).alias("__all"))
+    large = F.col("__n") >= LEAST_GROUP
+    fits = F.array(F.when(large, F.col("__fine")), F.when(F.col("__many") & F.col("__asked"), F.col("__coarse")), F.when(F.col("__all"), whole))
+    plan = sizes.join(languages, "__coarse").crossJoin(tables).select(
+        "__fine", F.when(large, F.col("__fine")).when(F.col("__many"), F.col("__coarse")).otherwise(whole).alias("__group"), F.array_compact(fits).alias("__fits"),
     )
-    keyed = rows.withColumn("__fine", fine).join(small, "__fine", "left")
-    return keyed.withColumn("__group", F.when(F.col("__large"), F.col("__fine")).otherwise(coarse)).drop("__fine", "__large")
+    return rows.withColumn("__fine", fine).join(written(plan), "__fine", "left").drop("__fine")
 
 
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -167,13 +174,13 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """Counts, ``base_failed``, ``kept`` and ``distance`` per row. Null and empty texts have no words and fail the base rules.
 
-    Null languages and sources are groups of their own. Documents of groups too small for an estimate have a null
-    distance and are kept unless a base rule fails. The statistics are measured once and written down.
+    Null languages and sources are groups of their own. Every document with words has a distance, but where the whole table has
+    fewer than ``LEAST_GROUP`` of them: there it is null and documents are kept unless a base rule fails. The statistics are measured once and written down.
     """
     stats = F.pandas_udf(_measured, SCHEMA)
     rows = written(docs.select("doc_id", "lang", "source", stats("text").alias("__s")).select("doc_id", "lang", "source", "__s.*"))
     rows = _grouped(rows)
-    model = fit(rows.filter("n_words > 0"))
+    model = fit(rows.filter("n_words > 0").withColumn("__group", F.explode("__fits")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     sure = F.col("n_words") / (F.col("n_words") + FEW_WORDS)
     distance = F.when(F.col("n_words") > 0, _distance() / F.col("scale") * sure)

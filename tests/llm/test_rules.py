@@ -19,3 +19,17 @@ def test_estimates_ignore_a_third_of_copies(spark, bad, spread):
     rows = spark.createDataFrame([("g", *map(float, r)) for r in x], ["__group", *rules.X])
     far = rows.join(rules.fit(rows), "__group").withColumn("d", rules._distance() / F.col("scale"))
     assert far.filter("d > 80").count() == far.filter("d > 80 and x0 + x1 + x2 > 4").count() >= 0.99 * n
+
+
+def test_small_sources_are_judged_by_the_whole_language(spark):
+    rng = np.random.default_rng(6)
+
+    def prose():
+        return " ".join("abcdefghijklm"[: rng.integers(2, 12)] + str(rng.integers(500)) for _ in range(rng.integers(60, 200))) + "."
+
+    rows = [(k, prose(), "en", "hot") for k in range(300)] + [(1000 + k, prose(), "en", f"s{k % 3}") for k in range(12)]
+    rows += [(2000, "# * $ % & | " * 2 + " ".join(f"#{k}$" for k in range(300)), "en", "s1"), (3000, prose(), "xx", "rare"), (4000, "", "en", "none")]
+    got = {r["doc_id"]: r for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert len(got) == len(rows) and all((r["distance"] is None) == (d == 4000) for d, r in got.items())
+    assert not got[2000]["kept"] and not got[2000]["base_failed"]
+    assert got[3000]["kept"] and all(got[1000 + k]["kept"] for k in range(12))
