@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 A seed is the hash of six words at fixed places; the places between them are ignored. Any 13 aligned words that differ
-in at most two places share a seed under one of the two masks. Equal seeds give an alignment of a document
+in at most two places share a seed under one of the two masks. Items of 9 to 12 words are a window of their own and take two masks of
+five words more, so that every allowed placement of differing words leaves them a seed. Equal seeds give an alignment of a document
 with a benchmark item, which is then checked word by word.
 """
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from martloom.llm.common import UPPER, WORD, lower_ascii, packed, row_key, whole_text
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+SHORT_MASKS = ((0, 1, 3, 4, 5), (0, 1, 2, 5, 6))  # besides MASKS, for items shorter than a window
+LEAST = 9  # words of an item that is looked for
 WINDOW = 13  # words of an overlap that must agree
 AGREE = 0.8  # share of the window's words that must be equal
 MOST_BROADCAST = 1_000_000  # seeds of benchmark items up to which they are broadcast (16 bytes each)
@@ -29,11 +32,14 @@ def _seeds(hashes: Column, mask: tuple[int, ...], number: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.lit(number), *(F.element_at(hashes, i + p) for p in mask)))
 
 
-def seeded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (with ``__words``) as one row per seed: ``keys``, ``__seed`` and ``__at``, the seed's first word."""
+def seeded(rows: DataFrame, keys: list[str], masks: tuple = MASKS, number: int = 0) -> DataFrame:
+    """``rows`` (with ``__words``) as one row per seed: ``keys``, ``__seed`` and ``__at``, the seed's first word.
+
+    ``masks`` are two, numbered from ``number``: seeds of different masks differ.
+    """
     hashed = rows.select(*keys, F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"))
-    lists = [_seeds(F.col("__hashes"), mask, k) for k, mask in enumerate(MASKS)]
-    listed = hashed.select(*keys, F.concat(*lists).alias("__seeds"), F.greatest(F.size("__hashes") - MASKS[0][-1], F.lit(0)).alias("__first"))
+    lists = [_seeds(F.col("__hashes"), mask, k) for k, mask in enumerate(masks, number)]
+    listed = hashed.select(*keys, F.concat(*lists).alias("__seeds"), F.greatest(F.size("__hashes") - masks[0][-1], F.lit(0)).alias("__first"))
     # The outer form, because with the inner one the optimizer repeats the seeds in a filter on their number.
     out = listed.select(*keys, "__first", F.posexplode_outer("__seeds").alias("__at", "__seed"))
     return out.select(*keys, "__seed", F.when(F.col("__at") < F.col("__first"), F.col("__at")).otherwise(F.col("__at") - F.col("__first")).alias("__at"))
@@ -50,14 +56,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_B
     """
     items = (
         benchmark.select("item_id", words_of(whole_text()).alias("__words")).groupBy("__words").agg(F.min("item_id").alias("item_id"))
-        .withColumn("__item", F.xxhash64("__words", "item_id")).select("__item", "item_id", F.col("__words").alias("__theirs"))
+        .filter(F.size("__words") >= LEAST).withColumn("__item", F.xxhash64("__words", "item_id")).select("__item", "item_id", F.col("__words").alias("__theirs"))
     )
-    probe = seeded(items.withColumnRenamed("__theirs", "__words"), ["__item"]).withColumnRenamed("__at", "__item_at").distinct()
+    worded = items.withColumnRenamed("__theirs", "__words")
+    short = worded.filter(F.size("__words") < WINDOW)
+    any_short = not short.isEmpty()  # without such items documents emit no seeds for them
+    probe = seeded(worded, ["__item"])
+    if any_short:
+        probe = probe.union(seeded(short, ["__item"], SHORT_MASKS, len(MASKS)))
+    probe = probe.withColumnRenamed("__at", "__item_at").distinct()
     few = probe.count() <= most_broadcast
     small = F.broadcast if few else (lambda df: df)
     keyed = docs.select("doc_id", "text").select("doc_id", "text", *row_key(docs.select("doc_id", "text")))
     keys = ["__h1", "__h2"]
-    seeds = seeded(keyed.select(*keys, words_of(whole_text()).alias("__words")), keys)
+    split = keyed.select(*keys, words_of(whole_text()).alias("__words"))
+    seeds = seeded(split, keys)
+    if any_short:
+        seeds = seeds.union(seeded(split, keys, SHORT_MASKS, len(MASKS)))
     lines = (
         seeds.join(small(probe), "__seed").select(*keys, "__item", (F.col("__at") - F.col("__item_at")).alias("__shift")).distinct()
     )
