@@ -2,7 +2,8 @@
 
 A value beside a credential word is cut into the segments that an attacker would guess most cheaply (words, dates,
 repeats, keyboard walks, single characters by brute force). The cheapest cut over all segmentations, found by dynamic
-programming, is the value's guess cost; costly values are machine-made and reported as ``guess`` spans.
+programming, is the value's guess cost; costly values are machine-made and reported as ``guess`` spans. Words are guessed by
+their rank, in a short list of usual passwords or in the counts of all texts outside such values.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martloom.llm.common import lower_ascii
+
 # The kinds in their order, and the patterns of the base scan.
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -28,7 +31,7 @@ CONTEXT = re.compile(
     r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer)"
     r"[\"']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20+is\x20+|\x20+)[\"'`]?([!-~]{8,})", re.IGNORECASE | re.ASCII,
 )
-GUESS_AT = 12.0  # log10 of the guesses from which a value counts as a secret
+GUESS_AT = 7.5  # log10 of the guesses from which a value counts as a secret: eight random characters cost 8, less a short chance word
 
 # Guessable words, commonest first; a word's guesses are its place in this list.
 WORDS = {w: k for k, w in enumerate((
@@ -37,15 +40,18 @@ WORDS = {w: k for k, w in enumerate((
     "spring", "autumn", "change", "changeme", "default", "example", "sample", "test", "testing", "demo", "guest", "user", "root",
     "server", "system", "public", "private", "token", "value", "string", "your", "here", "none", "null", "true", "false", "my",
     "the", "key", "pass", "word", "account", "service", "client", "api", "placeholder", "insert", "enter", "undefined", "redacted",
+    "hunter",
 ), 1)}
-LONGEST_WORD = max(map(len, WORDS))
+LONGEST_WORD = 24
+LEAST_LETTERS, LEAST_COUNT = 4, 3  # of a word from the texts; shorter ones turn up in random values
+MOST_WORDS = 50_000  # commonest words of the texts that are kept
 LEET = str.maketrans("01345$@7", "oleassat")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/.]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/.])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d")
 
 
-def _segments(value: str) -> list[list[tuple[int, float]]]:
+def _segments(value: str, words: dict[str, int] = WORDS) -> list[list[tuple[int, float]]]:
     """For each start, the ends and costs (log10 of guesses) of the cheap segments that begin there."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
@@ -53,7 +59,7 @@ def _segments(value: str) -> list[list[tuple[int, float]]]:
     for i in range(n):
         for end in range(i + 2, min(n, i + LONGEST_WORD) + 1):
             for text, extra in ((low, 0.0), (plain, math.log10(4))):
-                if (rank := WORDS.get(text[i:end])) is not None:
+                if (rank := words.get(text[i:end])) is not None:
                     cost = math.log10(rank + 1) + extra + (0.0 if value[i:end].islower() else math.log10(4))
                     out[i].append((end, cost))
         if (m := DATE.match(value, i)):
@@ -83,9 +89,9 @@ def _segments(value: str) -> list[list[tuple[int, float]]]:
 BRUTE = 1.0  # log10 of guesses for one character by brute force
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: dict[str, int] = WORDS) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``; 0 for an empty value."""
-    n, cheap = len(value), _segments(value)
+    n, cheap = len(value), _segments(value, words)
     best = [0.0] + [math.inf] * n
     for i in range(n):
         best[i + 1] = min(best[i + 1], best[i] + BRUTE)
@@ -97,7 +103,7 @@ def guess_cost(value: str) -> float:
 _HEX_MARK = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 
 
-def spans(text: str | None, guess_at: float = GUESS_AT) -> list[tuple[int, int, str]]:
+def spans(text: str | None, guess_at: float = GUESS_AT, words: dict[str, int] = WORDS) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then by kind in its order; null and empty texts have none.
 
     The searches for fixed bytes only spare the patterns texts in which they cannot match.
@@ -112,7 +118,7 @@ def spans(text: str | None, guess_at: float = GUESS_AT) -> list[tuple[int, int,
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip("\"'`,;.)")
             if value not in costs:
-                costs[value] = guess_cost(value)
+                costs[value] = guess_cost(value, words)
             if costs[value] >= guess_at:
                 found.append((m.start(1), m.start(1) + len(value), 3))
     if b"AKIA" in raw:
@@ -130,17 +136,35 @@ def joined(found: list[tuple[int, int, str]]) -> str:
 COLUMNS = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
 
-def _report(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        found = spans(text)
-        base = [s for s in found if s[2] != "guess"]
-        counts = [sum(s[2] == kind for s in found) for kind in KINDS]
-        rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
+def ranked_words(docs: DataFrame) -> dict[str, int]:
+    """Words and their ranks: the short list, and the commonest words of all texts, credential values left out.
+
+    ``MOST_WORDS`` bounds what reaches the driver and the workers; rarer words are costed by character.
+    """
+    values = F.regexp_replace(F.col("text"), f"(?i){CONTEXT.pattern}", " ")
+    whole = rf"(?<![A-Za-z0-9_/+=])[a-z]{{{LEAST_LETTERS},{LONGEST_WORD}}}(?![A-Za-z0-9_/+=])"
+    found = docs.select(F.explode(F.regexp_extract_all(lower_ascii(values), F.lit(whole), F.lit(0))).alias("word"))
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    rows = counts.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    ranks = {r["word"]: k for k, r in enumerate(rows, 1)}
+    return {w: min(WORDS.get(w, MOST_WORDS), ranks.get(w, MOST_WORDS)) for w in {**WORDS, **ranks}}
+
+
+def _reporter(words: dict[str, int]):
+    def report(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            found = spans(text, words=words)
+            base = [s for s in found if s[2] != "guess"]
+            counts = [sum(s[2] == kind for s in found) for kind in KINDS]
+            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
+
+    report.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return report
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and what its whole text holds, one row per row."""
-    report = F.pandas_udf(_report, COLUMNS)
+    """``doc_id`` and what its whole text holds, one row per row. Words are counted over all texts first."""
+    report = F.pandas_udf(_reporter(ranked_words(docs)), COLUMNS)
     return docs.select("doc_id", report("text").alias("__found")).select("doc_id", "__found.*")
