@@ -132,7 +132,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees:
     """Trees from at most ``most`` labelled documents of each class, chosen by the hash of their id.
 
-    Ids labelled more than once count as 1 if most of their labels are 1; null ids and null labels are left out.
+    An id on several rows counts once, by the text with the smallest hash. Ids labelled more than once count as 1 if most of their labels are 1; null ids and null labels are left out.
     ``most`` bounds what is broadcast, what is brought to the driver and the time to grow the trees.
     """
     known = (
@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Tree
     few = [known.filter(F.col("__label") == v).orderBy(*order).limit(most) for v in (0, 1)]
     chosen = F.broadcast(few[0].union(few[1]))  # at most 2 * most pairs of numbers
     columns = F.pandas_udf(_features, "array<double>")
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "__label", columns("text").alias("__x"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "__label", F.xxhash64("text").alias("__h"), columns("text").alias("__x"))
+    rows = rows.groupBy("doc_id", "__label").agg(F.min(F.struct("__h", "__x")).alias("__first")).select("doc_id", "__label", "__first.__x")
     got = sorted((r["doc_id"], tuple(r["__x"]), r["__label"]) for r in rows.collect())
     x = np.array([r[1] for r in got], float).reshape(len(got), len(FEATURES))
     return grow(x, np.array([r[2] for r in got], float))
