@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +53,15 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch_folder(spark, "llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], limit: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices that hold about ``limit`` bytes of text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
