@@ -65,3 +65,13 @@ def in_slices(batches: Iterator[pa.RecordBatch], limit: int, column: int = 1) ->
             end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+
+
+def coded_words(raw: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The words of UTF-8 text as places in a list of its distinct words, and that list."""
+    raw = raw.strip()
+    if not raw:
+        return np.zeros(0, np.int64), []
+    # The split looks for ASCII bytes only, so texts need not be checked again.
+    words = pc.ascii_split_whitespace(pa.array([raw], pa.large_binary()).view(pa.large_string())).flatten().dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary.view(pa.large_binary()).to_pylist()

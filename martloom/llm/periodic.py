@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.common import in_slices
+from martloom.llm.common import coded_words, in_slices
 
 LEAST = 12  # words of a run
 GRAM = LEAST // 2  # words of a window that a run must repeat
@@ -184,32 +184,21 @@ def planted(doc_id: int | None, codes: np.ndarray) -> np.ndarray:
 Change = Callable[[int | None, np.ndarray], np.ndarray]
 
 
-class _Numbers(dict):
-    """Words by the order in which they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 def documents_runs(ids: list[int | None], texts: list[bytes], change: Change | None = None) -> Iterator[tuple]:
     """Per document: id, runs, and the words that stay once each run is cut to its first period."""
-    numbers = _Numbers()
     split = [t.split() for t in texts]
-    coded = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in split]
-    listed = list(numbers)
+    flat, listed = coded_words(b"\n".join(texts))
+    ends = np.cumsum(list(map(len, split)))
     if change:
-        for k, codes in enumerate(coded):
+        for k, codes in enumerate(np.split(flat, ends[:-1])):
             now = change(ids[k], codes)
             if now is not codes:
-                coded[k], split[k] = now, [listed[c] for c in now.tolist()]
-    ends = np.cumsum([len(c) for c in coded])
-    places = _stretches(np.concatenate([np.zeros(0, np.int64), *coded]), ends)
-    flat = np.concatenate([np.zeros(0, np.int64), *coded])
+                codes[:], split[k] = now, [listed[c] for c in now.tolist()]
+    places = _stretches(flat, ends)
     found: dict[int, list[np.ndarray]] = {}
     for (doc, a, _), rows in zip(places, runs([flat[a:b] for _, a, b in places])):
         if len(rows):
-            found.setdefault(doc, []).append(rows + [a - (ends[doc] - len(coded[doc])), 0, 0])
+            found.setdefault(doc, []).append(rows + [a - (ends[doc] - len(split[doc])), 0, 0])
     for k, words in enumerate(split):
         mine = np.concatenate(found[k]) if k in found else np.zeros((0, 3), np.int64)
         if len(mine):

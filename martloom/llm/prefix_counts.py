@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.common import in_slices, packed
+from martloom.llm.common import coded_words, in_slices, packed
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048  # tokens
@@ -438,17 +438,16 @@ class Counter:
     def tables(self, texts: list[str]) -> list[np.ndarray]:
         """Per text its counts after 0, 1, 2, … characters."""
         whole = "\n".join([*texts, ""])
-        raw = whole.encode("utf-8", "surrogatepass")
-        words = raw.split()
+        placed, words = coded_words(whole.encode("utf-8", "surrogatepass"))
         chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
         inside = np.r_[False, (chars != 32) & ((chars < 9) | (chars > 13)), False]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         begins, ends = edges[::2], edges[1::2]
         if len(self._words.flat) > CACHE_CHARS:
             self._forget()
-        if new := {w for w in words if w not in self._number}:
-            self._learn(list(new))
-        number = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        if new := [w for w in words if w not in self._number]:
+            self._learn(new)
+        number = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))[placed]
         sums = np.r_[0, self._words.totals[number].cumsum()]
         # After each character: the words before it, and its own word's table.
         out = np.zeros(len(chars) + 1, np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -140,3 +141,73 @@ def url_rule(host: str, path: str) -> tuple[str | None, str | None]:
             fit.append(rule)
     best = max(fit, key=len, default=None)
     return best, rules.get(best)
+
+
+def planted(doc: int, words: list[str]) -> list[str]:
+    h, n = zlib.crc32(str(doc).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def lyndon(codes: list) -> list[int]:
+    out = []
+    for i in range(len(codes)):
+        j = i + 1
+        while j < len(codes) and codes[j:] > codes[i:]:
+            j += 1
+        out.append(j - i)
+    return out
+
+
+def word_runs(w: list, least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs, by trying every period."""
+    n, out = len(w), []
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and w[j] == w[j + q]:
+                j += 1
+            end = j + q
+            if j > i and end - i >= max(least, 2 * q) and not any(all(w[x] == w[x + r] for x in range(i, end - r)) for r in range(1, q)):
+                out.append((i, end - i, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_row(doc: int | None, words: list[str]) -> tuple:
+    found = word_runs(words)
+    best = (None,) * 4
+    if found:
+        s, n, q = min(found, key=lambda r: (-r[1], r[0], r[2]))
+        best = (s, n, q, 1000 * n // q)
+    gone = {x for s, n, q in found for x in range(s + q, s + n)}
+    left = " ".join(x for k, x in enumerate(words) if k not in gone)
+    listed = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    return (doc, len(found), *best, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(left.encode()).hexdigest())
+
+
+def search(docs: list[tuple], items: list[tuple], most: int = 10) -> list[tuple]:
+    """(item_id, rank, doc_id, score), scoring every document; null ids last."""
+
+    def terms(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+    held = [(d, w) for d, t in docs if (w := terms(t))]
+    many, length = len(held), sum(len(w) for _, w in held)
+    counts = [(d, len(w), Counter(w)) for d, w in held]
+    out = []
+    for item, text in items:
+        scores = []
+        weight = {t: math.floor(1000 * math.log((2 * many + 2) / (2 * sum(t in c for _, _, c in counts) + 1))) for t in set(terms(text))}
+        for d, n, c in counts:
+            m = 100 - 90 + 90 * n * many // length
+            score = sum(w * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, w in weight.items() if t in c)
+            if score > 0:
+                scores.append((-score, d is None, d or 0, d))
+        out += [(item, k + 1, s[3], -s[0]) for k, s in enumerate(sorted(scores, key=lambda s: s[:3])[:most])]
+    return out

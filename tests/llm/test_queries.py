@@ -7,8 +7,9 @@ import hashlib
 import brute
 import pytest
 from check import compare, duck
+from test_near import kept_by_all_pairs
 
-from martloom.llm import registry, secret_scan, tokens
+from martloom.llm import prefix_counts, registry, secret_scan, tokens
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -113,6 +114,22 @@ def test_repeated_windows(spark, docs):
     assert sorted(map(tuple, rows(spark, "op9_substring_dedup"))) == sorted(brute.cut(docs))
 
 
+def test_prefix_counts(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(prefix_counts.tokenizer_path())
+    want = [(d, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 2048) for d, t in docs]
+    assert sorted(tuple(r)[:4] for r in rows(spark, "op12_prefix_counts")) == want
+
+
+def test_periodic_runs(spark, docs):
+    short = {d: t for d, t in docs if len(t or "") < 6000}
+    got = [tuple(r) for r in rows(spark, "op13_periodic_runs")]
+    assert len(got) == len(docs)
+    want = [brute.run_row(d, brute.planted(d, brute.WORD.findall(t or ""))) for d, t in short.items()]
+    assert sorted((r for r in got if r[0] in short), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_stages(spark, con, tmp_path):
     import corpus_pipeline as C
 
@@ -128,7 +145,7 @@ def test_pipeline_stages(spark, con, tmp_path):
             assert kept.subtract(before).isEmpty()
         if k == 1:  # one document of each component
             pairs = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
-            assert {r["doc_id"] for r in kept.collect()} == {c for _, c in brute.components(pairs).values()}
+            assert {r["doc_id"] for r in kept.collect()} == kept_by_all_pairs(pairs)
         if k == 2:
             items = con.execute("select item_id, text from benchmark").fetchall()
             assert not brute.leaks([(r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] % 3 == 0], items)
