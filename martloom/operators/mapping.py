@@ -171,9 +171,9 @@ def edit_problem(edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(mappings: DataFrame, edits: DataFrame) -> DataFrame:
-    """Upsert user edits: they override a mapping, or create one with confidence 0.
+    """Upsert user edits: they override a mapping, or create one with confidence 0. Applying the same edits again changes nothing.
 
-    A dataset whose edits contain an unusable name or role keeps its mappings as they were.
+    ``mappings`` may be the result of an earlier call; rows edited then stay marked. A dataset whose edits contain an unusable name or role keeps its mappings as they were.
     """
     checked = edit_problem(edits)
     refused = checked.filter(F.col("problem").isNotNull()).select("dataset_id").distinct()
@@ -184,6 +184,7 @@ def apply_edits(mappings: DataFrame, edits: DataFrame) -> DataFrame:
     )
     merged = mappings.join(usable, ["dataset_id", "column_index"], "full")
     edited = F.coalesce("edited", F.lit(False))
+    before = F.coalesce("user_edited", F.lit(False)) if "user_edited" in mappings.columns else F.lit(False)
     return merged.select(
         "dataset_id", "column_index",
         F.coalesce("suggested_name", "new_name").alias("suggested_name"),
@@ -192,5 +193,5 @@ def apply_edits(mappings: DataFrame, edits: DataFrame) -> DataFrame:
         F.when(edited, F.col("new_name")).otherwise(F.col("approved_name")).alias("approved_name"),
         F.when(edited, F.col("new_role")).otherwise(F.col("approved_role")).alias("approved_role"),
         F.when(edited, F.col("new_include")).otherwise(F.col("include_in_model")).alias("include_in_model"),
-        edited.alias("user_edited"),
+        (edited | before).alias("user_edited"),
     )

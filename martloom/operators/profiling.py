@@ -2,7 +2,7 @@
 
 The table is turned into (column, value) cells and aggregated to one row per (column, value) with partial aggregation on the
 map side, so a value that fills a third of a column crosses the shuffle once per task. Every later
-step, including the type tests, works on distinct values.
+step, including the type tests, works on distinct values. Types alone (``detect_types``) need no values: they are folded from masks.
 """
 
 from __future__ import annotations
@@ -73,41 +73,74 @@ def value_counts(df: DataFrame, columns: list[str], position: Column) -> DataFra
     )
 
 
-def _detected_type() -> Column:
-    return (
-        F.when(F.col("unique_count") == 0, "unknown")
-        .when(is_identifier_name(F.col("raw_column_name")), "identifier")
-        .when(F.col("all_boolean"), "boolean")
-        .when(F.col("all_integer"), "integer")
-        .when(F.col("all_decimal"), "decimal")
-        .when(F.col("all_date"), "date")
-        .otherwise("string")
+# Types by the order in which they are tried, one bit each.
+MASK = {"boolean": 1, "integer": 2, "decimal": 4, "date": 8}
+ANY = sum(MASK.values())
+
+
+def type_mask(value: Column) -> Column:
+    """The types that a cleaned value could have, as bits. A missing value allows all.
+
+    The first character settles most values: no pattern is tried on text that begins like no number, date or boolean word.
+    """
+    bit = lambda test, kind: F.when(test, MASK[kind]).otherwise(0)
+    number = (
+        F.when(is_integer_text(value), MASK["integer"] | MASK["decimal"])
+        .when(is_decimal_text(value), MASK["decimal"]).otherwise(0)
     )
+    word = F.when(F.length(value) <= 5, bit(F.lower(value).isin(*BOOLEAN_WORDS), "boolean")).otherwise(0)
+    head = F.ascii(value)
+    digits = head.between(ord("0"), ord("9"))
+    found = (
+        F.when(digits, number.bitwiseOR(word).bitwiseOR(bit(is_date_text(value), "date")))
+        .when(F.substring(value, 1, 1).isin(*"+-._iInNsS"), number.bitwiseOR(word))
+        .otherwise(word)
+    )
+    return F.when(value.isNotNull(), found).otherwise(ANY)
+
+
+def _detected_type(filled: Column, mask: Column) -> Column:
+    """The first type that all values of a column allow; ``filled`` counts its values that are not missing."""
+    found = F.when(filled == 0, "unknown").when(is_identifier_name(F.col("raw_column_name")), "identifier")
+    for kind, bit in MASK.items():
+        found = found.when(mask.bitwiseAND(bit) != 0, kind)
+    return found.otherwise("string")
+
+
+def detect_types(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(raw_column_name, detected_type) without a look at distinct values.
+
+    Each cell is a mask of the types it allows, and masks of a column are folded with ``and`` in every task, so one row per column and task
+    is all that is shuffled. A table without rows still gets one row per column.
+    """
+    # A name that marks an identifier settles the type, so its values are not tested.
+    cell = lambda c: F.struct(F.lit(c).alias("raw_column_name"), meaningful(F.col(c)).alias("value"))
+    cells = df.select(F.inline(F.array(*(cell(c) for c in columns))))
+    tested = F.when(is_identifier_name(F.col("raw_column_name")), ANY).otherwise(type_mask(F.col("value")))
+    found = cells.groupBy("raw_column_name").agg(F.count("value").alias("filled"), F.bit_and(tested).alias("mask"))
+    listed = rows(df.sparkSession, ["raw_column_name"], [(c,) for c in columns])
+    whole = listed.join(found, "raw_column_name", "left")
+    return whole.select("raw_column_name", _detected_type(F.coalesce("filled", F.lit(0)), F.coalesce("mask", F.lit(ANY))).alias("detected_type"))
 
 
 def summarize(counts: DataFrame) -> DataFrame:
     """One row per column from ``value_counts``: null and distinct counts, and the detected type."""
     value = F.col("value")
     # A name that marks an identifier settles the type, so its values are not tested.
-    tested = F.col("tested")
-    every = lambda test: F.coalesce(F.bool_and(test), F.lit(True))
-    read = counts.withColumn("tested", F.when(~is_identifier_name(F.col("raw_column_name")), value))
-    summary = read.groupBy("raw_column_name").agg(
+    tested = F.when(is_identifier_name(F.col("raw_column_name")), ANY).otherwise(type_mask(value))
+    summary = counts.groupBy("raw_column_name").agg(
         F.sum("row_total").alias("row_count"),
         F.sum(F.when(value.isNull(), F.col("row_total")).otherwise(0)).alias("null_count"),
         # Counting first_seen, as samples carry row_total, leaves both readers of the value counts
         # with the same columns, and Spark then runs that aggregation once for the two.
         F.count(F.when(value.isNotNull(), F.col("first_seen"))).alias("unique_count"),
-        every(F.lower(tested).isin(*BOOLEAN_WORDS)).alias("all_boolean"),
-        every(is_integer_text(tested)).alias("all_integer"),
-        every(is_decimal_text(tested)).alias("all_decimal"),
-        every(is_date_text(tested)).alias("all_date"),
+        F.bit_and(tested).alias("mask"),
     )
     rate = F.round(F.col("null_count") / F.col("row_count"), 4)
     return summary.select(
         "raw_column_name",
         normalize_header(F.col("raw_column_name")).alias("normalized_column_name"),
-        _detected_type().alias("detected_type"),
+        _detected_type(F.col("unique_count"), F.col("mask")).alias("detected_type"),
         "row_count",
         "null_count",
         rate.alias("null_rate"),

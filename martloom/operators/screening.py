@@ -46,14 +46,20 @@ def _any_of(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def screen_questions(payloads: DataFrame, terms: list[str]) -> DataFrame:
+def screen_questions(payloads: DataFrame, terms: list[str], catalogs: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """All suggested questions of each payload, with every rule they break.
 
-    ``kept`` marks the first good one among questions that differ only in case; a bad spelling before it does not
+    A question must hold a catalog term: one of ``terms``, or, where ``catalogs`` (``keys``, ``term``) has terms for the payload's ``keys``,
+    one of those alone. A catalog's terms meet its payloads as one row, so questions are not multiplied. ``kept`` marks the first good one among questions that differ only in case; a bad spelling before it does not
     count. ``within_limit`` says which questions a reader of the first few would see. A payload that is unusable as
     a whole has one row at position -1. Members of the wrong type count as unusable text.
     """
-    read = payloads.withColumn("doc", D.parse(F.col("payload")))
+    read = payloads
+    if catalogs is not None:
+        # One catalog's words, as many as its marts have fields.
+        own = catalogs.groupBy(*keys).agg(F.collect_set("term").alias("__terms"))
+        read = read.join(own, keys, "left")
+    read = read.withColumn("doc", D.parse(F.col("payload")))
     read = read.withColumn("items", D.items(F.col("doc"), "$.suggested_questions"))
     stop = (
         F.when(contains_any(F.col("payload"), PLAN_SECRET_MARKERS), "secret_text")
@@ -69,6 +75,12 @@ def screen_questions(payloads: DataFrame, terms: list[str]) -> DataFrame:
     )
     rule = lambda name, broken: F.when(F.coalesce(broken, F.lit(False)), F.lit(name))
 
+    def has_term(lowered: Column) -> Column:
+        known = lowered.rlike(_any_of(terms))
+        if catalogs is None:
+            return known
+        return F.when(F.col("__terms").isNull(), known).otherwise(F.exists("__terms", lambda t: F.contains(lowered, t)))
+
     def judged(q: Column) -> Column:
         question, lowered = q["question"], F.lower(q["question"])
         length = F.coalesce(F.length(question), F.lit(0))
@@ -78,7 +90,7 @@ def screen_questions(payloads: DataFrame, terms: list[str]) -> DataFrame:
                 rule("text", (length < 1) | (length > QUESTION_LENGTH)),
                 rule("no_question_mark", ~F.contains(question, F.lit("?"))),
                 rule("raw_only_term", lowered.rlike(_any_of(RAW_ONLY_TERMS))),
-                rule("no_catalog_term", ~lowered.rlike(_any_of(terms))),
+                rule("no_catalog_term", ~has_term(lowered)),
                 rule("claims_ready", lowered.rlike(READY_CLAIM)),
                 rule("intent", q["intent_given"] & ~F.coalesce(intent_ok, F.lit(False))),
             )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martloom.functions import cleaning as C
+from martloom.operators import distinct_counts
 
 TEXT_COLUMNS = (
     "order_id", "order_line_id", "customer_id", "customer_name", "customer_segment", "product_id",
@@ -153,6 +154,21 @@ def store_mart(facts: DataFrame, stores: DataFrame) -> DataFrame:
     )
 
 
+# The marts that count orders, and the dimension each takes its own dimensions from.
+ORDER_MARTS = {"mart_sales_performance": None, "mart_customer_segments": "dim_customer", "mart_store_performance": "dim_store"}
+
+
+def order_members(facts: DataFrame, mart: str, keys: DataFrame | None, numbers: DataFrame) -> DataFrame:
+    """The orders of each group of a mart as bitmaps, for true counts over fewer dimensions. ``keys`` is the mart's dimension table."""
+    dimensions = RETAIL_CATALOG[mart]["dimensions"]
+    if keys is None:
+        return distinct_counts.members(facts, dimensions, "order_id", numbers)
+    key = DIMENSIONS[ORDER_MARTS[mart]][0]
+    # Bitmaps are made per key before the join, so a key with much of the fact meets its attributes as few rows.
+    per_key = distinct_counts.members(facts, [key], "order_id", numbers)
+    return distinct_counts.coarser(per_key.join(keys, key, "left"), dimensions)
+
+
 class RetailModel:
     """The retail layers over one raw frame, or over tables already written by ``write``."""
 

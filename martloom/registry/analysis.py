@@ -9,9 +9,16 @@ from martloom.functions import cleaning as C
 from martloom.functions import text as X
 from martloom.operators import charts as G
 from martloom.operators import plan_checks as Q
+from martloom.operators import proposals as P
+from martloom.operators import redaction
 from martloom.operators import screening as Z
+from martloom.plans import batch as B
 from martloom.plans.retail import RETAIL_CATALOG
+from martloom.operators.proposals import BASE_TERMS
 from martloom.registry.common import Registry
+from martloom.registry.modelling import ACCEPTED_SQL
+from martloom.registry.modelling import accepted as accepted_specs
+from martloom.registry.retail import MART_SQL, mart
 from martloom.registry.workspace import NORMALIZED
 from martloom.sources import payloads as Y
 from martloom.sources.feeds import table
@@ -100,6 +107,44 @@ REG.add(
     from c where plan_id not in (select plan_id from violations)""",
 )
 
+CELLS_SQL = " union all ".join(
+    f"select '{name}' as model, '{field}' as field, " + (f"strftime({field}, '%Y-%m-%d')" if field == "order_month" else field)
+    + f" as member, '{metric}' as metric, cast({metric} as double) as value from {name}"
+    for name, m in RETAIL_CATALOG.items() for field in m["dimensions"] for metric in m["metrics"]
+)
+
+
+@REG.query(
+    "plan_batch",
+    # Payloads group by one dimension and sort by one field; the SQL states just that.
+    f"""with {MART_SQL}, cells as ({CELLS_SQL}), {PLANS_SQL},
+    good as (select plan_id, model, names, aggs, dims[1] as dim, filter_fields[1] as ff, filter_ops[1] as fo,
+        json_extract_string(j, '$.filters[0].value') as fv, sort_fields[1] as sf, sort_dirs[1] as sd, cast(json_extract(j, '$.limit') as bigint) as row_limit
+      from c where plan_id not in (select plan_id from violations)),
+    want as (select * exclude (names, aggs), unnest(names) as metric, unnest(aggs) as agg from good),
+    sums as (select plan_id, dim, case when dim is not null then member end as member, metric, agg, sf, sd, row_limit, sum(value) as total, avg(value) as mean, count(value) as many,
+        min(value) as least, max(value) as most from want join cells using (model, metric)
+      where cells.field = coalesce(dim, case model when 'mart_sales_performance' then 'order_month' when 'mart_product_performance' then 'product_name'
+          when 'mart_customer_segments' then 'customer_segment' else 'store_name' end)
+        and (ff is null or coalesce(case when ff = 'order_month' then case fo when '=' then member = strftime(try_cast(fv as date), '%Y-%m-%d') else member <> strftime(try_cast(fv as date), '%Y-%m-%d') end
+          else case fo when '=' then member = fv else member <> fv end end, false))
+      group by all),
+    results as (select *, case agg when 'sum' then total when 'avg' then mean when 'count' then many when 'min' then least else most end as value from sums),
+    placed as (select *, max(case when metric = sf then value end) over (partition by plan_id, member) as by_value from results),
+    ranked as (select *, dense_rank() over (partition by plan_id order by
+        case when sd = 'asc' then by_value end asc nulls last, case when sd = 'desc' then by_value end desc nulls first,
+        case when sd = 'desc' and sf = dim then member end desc nulls first, member asc nulls last) - 1 as position from placed)
+    select plan_id, cast(position as bigint) as position, coalesce(member, '') as members, metric, value from ranked where position < row_limit""",
+)
+def plan_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Every accepted plan's result: marts are aggregated once, plans that ask the same are run once."""
+    plans = B.distinct_plans(Q.accepted(*plan_frames(spark, sf)))
+    marts = {name: mart(spark, sf, name) for name in RETAIL_CATALOG}
+    found = B.run_batch(plans, marts, RETAIL_CATALOG)
+    members = F.transform("members", lambda m: F.coalesce(m, F.lit("")))
+    return plans.select("plan_id", "plan_key").join(found, "plan_key").select("plan_id", "position", members.alias("members"), "metric", "value")
+
+
 # ---- text rules ---------------------------------------------------------------------------------
 
 REG.add(
@@ -131,6 +176,31 @@ REG.add(
     """select doc_id, replace(replace(replace(text, 'the ', '[redacted]'), 'ent', '[redacted]'), 'Ouréaux', '[redacted]')
     as redacted from documents""",
 )
+
+
+@REG.query(
+    "redact_from_table",
+    # Words of eight letters or more, and openings of benchmark items, are the secrets. Every occurrence is found, then overlaps are one.
+    """with s as (select distinct unnest(list_concat(list_filter(string_split(text, ' '), lambda w: length(w) >= 8), [array_to_string(string_split(text, ' ')[1:3], ' ')])) as secret from benchmark),
+    hits as (select doc_id, text, secret, unnest(list_filter(range(1, length(text) - length(secret) + 2), lambda i: substr(text, i, length(secret)) = secret)) as a
+      from documents join s on contains(text, secret)),
+    spans as (select doc_id, a, max(a + length(secret)) as b from hits group by 1, 2),
+    edges as (select *, coalesce(max(b) over (partition by doc_id order by a rows between unbounded preceding and 1 preceding) <= a, true) as fresh from spans),
+    islands as (select *, sum(cast(fresh as int)) over (partition by doc_id order by a) as island from edges),
+    merged as (select doc_id, island, min(a) as a, max(b) as b from islands group by 1, 2),
+    pieces as (select m.doc_id, m.a, substr(text, coalesce(lag(b) over w, 1), m.a - coalesce(lag(b) over w, 1)) || '[redacted]' as piece, b, text from merged m join documents d on m.doc_id = d.doc_id
+      window w as (partition by m.doc_id order by a)),
+    done as (select doc_id, string_agg(piece, '' order by a) || substr(any_value(text), max(b)) as redacted, count(*) as n from pieces group by 1)
+    select d.doc_id, coalesce(redacted, text) as redacted from documents d left join done using (doc_id)""",
+)
+def redact_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents without the secrets that a table holds: long words and openings of benchmark items."""
+    words = F.split("text", " ")
+    listed = F.concat(F.filter(words, lambda w: F.length(w) >= 8), F.array(F.array_join(F.slice(words, 1, 3), " ")))
+    secrets = table(spark, sf, "benchmark").select(F.explode(listed).alias("secret"))
+    return redaction.redact(table(spark, sf, "documents").select("doc_id", F.col("text").alias("redacted")), "doc_id", "redacted", secrets)
+
+
 DISPLAY = """case l_returnflag when 'R' then concat('1,', cast(cast(l_extendedprice as decimal(18,2)) as {text}))
   when 'A' then ' ' else concat(cast(l_linenumber as {text}), ' pcs') end"""
 REG.add(
@@ -299,28 +369,52 @@ def question_payloads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CLEAN = "trim(regexp_replace({c}, '[\\s\\pZ]+', ' ', 'g'))"
-REG.add(
-    "question_screen",
-    lambda s, d: Z.screen_questions(question_payloads(s, d), TERMS),
-    f"""with a as (select conv_id || '-' || turn as payload_id, conv_id, text, case turn % 3 when 0 then 'two words' when 1 then 'trend' end as intent,
+def question_screen_sql(terms: str, has_term: str, more: str = "") -> str:
+    return f"""with {more}a as (select conv_id || '-' || turn as payload_id, conv_id, text, case turn % 3 when 0 then 'two words' when 1 then 'trend' end as intent,
       list_concat(['Revenue by  month?', 'revenue BY month? '], list_transform(string_split(text, '.'),
         lambda t: t || case role when 'user' then ' by region?' when 'assistant' then '?' else '' end)) as asked from conversations),
-    q as (select payload_id, text, case when position > 1 then intent when position = 0 and conv_id % 5 = 2 then 'not safe' end as intent,
+    q as (select payload_id, conv_id, text, case when position > 1 then intent when position = 0 and conv_id % 5 = 2 then 'not safe' end as intent,
         conv_id % 7 = 3 and intent = 'trend' and position > 1 as untyped, position, {CLEAN.format(c='question')} as question from (
       select payload_id, conv_id, text, intent, unnest(asked) as question, generate_subscripts(asked, 1) - 1 as position from a)),
     v as (select *, concat_ws('|', case when length(question) < 1 or length(question) > 180 then 'text' end,
         case when not contains(question, '?') then 'no_question_mark' end,
         case when regexp_matches(lower(question), '{'|'.join(Z.RAW_ONLY_TERMS)}') then 'raw_only_term' end,
-        case when not regexp_matches(lower(question), '{'|'.join(TERMS)}') then 'no_catalog_term' end,
+        case when not {has_term} then 'no_catalog_term' end,
         case when regexp_matches(lower(question), '(dashboard|chart|insight).{{0,40}}(ready|created|generated)') then 'claims_ready' end,
-        case when untyped or not regexp_full_match(intent, '[A-Za-z_][A-Za-z0-9_]{{0,63}}') then 'intent' end) as violations from q),
-    good as (select payload_id, lower(question) as key, min(position) as position from v where violations = '' group by 1, 2),
+        case when untyped or not regexp_full_match(intent, '[A-Za-z_][A-Za-z0-9_]{{0,63}}') then 'intent' end) as violations from q {terms}),
+    firsts as (select payload_id, lower(question) as key, min(position) as position from v where violations = '' group by 1, 2),
     s as (select conv_id || '-' || turn as payload_id from conversations where regexp_matches(lower(text), 'api_key|secret'))
-    select payload_id, position, question, violations, (payload_id, lower(question), position) in (select (payload_id, key, position) from good) as kept,
+    select payload_id, position, question, violations, (payload_id, lower(question), position) in (select (payload_id, key, position) from firsts) as kept,
       position < 5 as within_limit
     from v where payload_id not in (select payload_id from s)
-    union all select payload_id, -1, null, 'secret_text', false, true from s""",
+    union all select payload_id, -1, null, 'secret_text', false, true from s"""
+
+
+REG.add(
+    "question_screen",
+    lambda s, d: Z.screen_questions(question_payloads(s, d), TERMS),
+    question_screen_sql("", f"regexp_matches(lower(question), '{'|'.join(TERMS)}')"),
 )
+
+
+@REG.query(
+    "question_screen_by_dataset",
+    question_screen_sql(
+        "left join own on conv_id + 1 = proposal_id",
+        f"case when own.words is null then regexp_matches(lower(question), '{'|'.join(TERMS)}') else len(list_filter(own.words, lambda t: contains(lower(question), t))) > 0 end",
+        f"""{ACCEPTED_SQL}, fields as (select proposal_id, lower(unnest(list_concat(dimensions, metrics))) as field from good_marts),
+      words as (select proposal_id, unnest({list(BASE_TERMS)!r}) as term from good union select proposal_id, lower(name) from good_marts
+        union select * from fields union select proposal_id, part from (select proposal_id, unnest(string_split(field, '_')) as part from fields) where part <> ''),
+      own as (select proposal_id, list(term) as words from words group by 1), """,
+    ),
+)
+def question_screen_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions judged by the marts of their own dataset's accepted proposal, or by the retail catalog where it has none."""
+    terms = P.catalog_terms(P.catalog(accepted_specs(spark, sf)), ["proposal_id"]).withColumnRenamed("proposal_id", "dataset_id")
+    payloads = question_payloads(spark, sf).withColumn("dataset_id", F.split("payload_id", "-")[0].cast("long") + 1)
+    return Z.screen_questions(payloads, TERMS, terms, ["dataset_id"])
+
+
 REG.add(
     "dedupe_questions",
     lambda s, d: Z.first_of_each(
@@ -338,7 +432,7 @@ REG.add(
 
 
 def insight_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """One payload per document: its text as the summary, its lines as findings, five chart insights.
+    """One payload per document: its text as the summary, its lines as findings and as chart insights of their own, and an empty one.
 
     Some documents hold numbers, texts and lists in the wrong places.
     """
@@ -352,16 +446,15 @@ def insight_payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.lit("Trend"), F.lit("data quality"), F.when(F.col("lang") == "fr", "mood").otherwise("trend")).alias("tags"),
         F.when(F.col("lang") == "en", "High").when(F.col("lang") == "de", "low").otherwise("sure").alias("confidence"),
     )
-    chart = F.struct(
+    chart = lambda line: F.struct(
         F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("chart-"), F.col("doc_id").cast("string"))).alias("chart_id"),
-        title.alias("chart_title"), F.element_at(lines, 1).alias("summary"),
-        F.array(F.lit("store")).alias("tags"), F.lit("medium").alias("confidence"),
+        title.alias("chart_title"), line.alias("summary"), F.array(F.lit("store")).alias("tags"), F.lit("medium").alias("confidence"),
     )
     last = F.struct(
         F.lit(None).cast("string").alias("chart_id"), F.lit("Revenue Trend").alias("chart_title"), F.lit("").alias("summary"),
         F.array(F.lit("store")).alias("tags"), F.lit("medium").alias("confidence"),
     )
-    charted = F.concat(F.array_repeat(chart, 4), F.array(last)).alias("chart_insights")
+    charted = F.concat(F.transform(lines, chart), F.array(last)).alias("chart_insights")
     payload = F.to_json(F.struct(question.alias("question_insight"), charted))
     wrong = F.lit('{"question_insight":{"summary":5,"key_findings":"all customers","tags":"trend","confidence":["low"]},"chart_insights":[7]}')
     return table(spark, sf, "documents").select(
@@ -409,9 +502,9 @@ REG.add(
       case lang when 'en' then 'high' when 'de' then 'low' else 'sure' end as confidence, null as chart_id,
       case when len(list_filter(lines, lambda f: {BAD_FINDING})) = 0 then false
         else len(list_filter(lines[1:5], lambda f: {BAD_FINDING})) > 0 end as finding_within_limit from t where not wrong),
-    i as (select run_id, lines, unnest(range(1, 6)) as position, reference from t where not wrong),
-    r as (select run_id, lines, position, case when position = 5 then 'Revenue Trend' else reference end as reference,
-      case when position = 5 then '' else lines[1] end as summary from i),
+    i as (select run_id, lines, unnest(range(1, len(lines) + 2)) as position, reference from t where not wrong),
+    r as (select run_id, lines, position, case when position > len(lines) then 'Revenue Trend' else reference end as reference,
+      case when position > len(lines) then '' else lines[position] end as summary from i),
     c as (select r.*, c.chart_id from r left join named c on r.run_id = c.doc_id and (r.reference = c.reference or lower(r.reference) = c.reference)),
     k as (select run_id, position, 'chart' as insight_level, concat_ws('|', case when reference is null then 'no_chart_reference' end,
         case when reference is not null and chart_id is null then 'unknown_chart' end,

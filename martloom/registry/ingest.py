@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martloom.functions.names import is_safe_name
-from martloom.operators import charts
+from martloom.operators import charts, profiling
 from martloom.plans.analysis import AnalysisPlan, run_plan
 from martloom.plans.retail import RetailModel
 from martloom.registry.common import Registry
-from martloom.registry.profiling import EVENTS_SQL, events_text
+from martloom.registry.profiling import EVENTS_SQL, events_text, long_sql
 from martloom.registry.retail import MART_SQL, mart
 from martloom.session import scratch_folder
-from martloom.sources import files, raw_csv, sinks
+from martloom.sources import files, positions, raw_csv, sinks
 from martloom.sources.feeds import retail_feed, table
+from martloom.sources.inline import rows as inline_rows
 
 REG = Registry()
 
@@ -73,6 +76,68 @@ REG.add(
     ),
     """select c_custkey as "Customer No", c_name as "Full Name" from customer order by c_custkey limit 25""",
 )
+
+
+def event_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as text, written to several CSV files in order of their ids, and read back without an order column.
+
+    Some lines have a cell too many; they are left out, but count as lines.
+    """
+    cells = events_text(spark, sf).select("pos", *PLACED_COLUMNS)
+    line = F.concat_ws(",", *(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in PLACED_COLUMNS))
+    wide = F.concat(line, F.when(F.col("pos") % 50 == 7, F.lit(',"more"')).otherwise(""))
+    path = scratch_folder(spark, "event-files")
+    marks = {"header": "true", "sep": "\x01", "quote": "\x02", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    ordered = cells.select("pos", wide.alias(",".join(PLACED_COLUMNS))).repartitionByRange(5, "pos").sortWithinPartitions("pos").drop("pos")
+    ordered.write.options(**marks).csv(path)
+    return raw_csv.read_raw_csv(spark, path, list(PLACED_COLUMNS), positions=True)
+
+
+PLACED_COLUMNS = ("event_id", "event_day", "amount", "units", "note", "props")
+PLACED_SQL = f"""{EVENTS_SQL}, placed as (select row_number() over (order by pos) - 1 as line_no, * from ev),
+  lines as (select line_no as pos, {', '.join(f"case when {c} in ('', 'NULL', 'null') then null else {c} end as {c}" for c in PLACED_COLUMNS)} from placed where pos % 50 <> 7)"""
+REG.add(
+    "file_positions",
+    lambda s, d: event_files(s, d).select("event_id", F.col(positions.LOAD_ROW).alias("load_row")),
+    f"with {PLACED_SQL} select event_id, pos as load_row from lines",
+)
+REG.add(
+    "file_preview",
+    lambda s, d: raw_csv.preview(event_files(s, d), [("event_id", "Event No"), ("event_day", "Day"), ("amount", "Amount")], limit=50),
+    f"""with {PLACED_SQL} select event_id as "Event No", event_day as "Day", amount as "Amount" from lines order by pos limit 50""",
+)
+REG.add(
+    "file_samples",
+    lambda s, d: profiling.samples(profiling.value_counts(event_files(s, d), list(PLACED_COLUMNS), F.col(positions.LOAD_ROW))),
+    f"with {PLACED_SQL}, {long_sql('lines', PLACED_COLUMNS)} select raw_column_name, sample_values from sampled",
+)
+
+
+@REG.query(
+    "guarded_load",
+    """with l as (select *, 'first' as load from customer where c_acctbal < 0 union all select *, 'second' from customer where c_acctbal >= 0)
+    select 'after first' as state, count(*) as row_count, cast(sum(c_custkey) as bigint) as key_sum from l where load = 'first'
+    union all select 'after empty', count(*), cast(sum(c_custkey) as bigint) from l where load = 'first'
+    union all select 'after second', count(*), cast(sum(c_custkey) as bigint) from l where load = 'second'""",
+)
+def guarded_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Three loads into one table: rows, none (refused, the table stays), other rows. The table goes afterwards."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    name, states = f"guarded_{uuid.uuid4().hex[:12]}", []
+    loads = {"after first": customers.filter("c_acctbal < 0"), "after empty": customers.filter("c_custkey is null"), "after second": customers.filter("c_acctbal >= 0")}
+    try:
+        for state, rows in loads.items():
+            try:
+                raw_csv.load_table(rows, name)
+            except raw_csv.EmptyLoadError:
+                pass
+            found = spark.table(name).agg(F.count(F.lit(1)).alias("row_count"), F.sum("c_custkey").alias("key_sum")).first()
+            states.append((state, *found))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return inline_rows(spark, ["state", "row_count", "key_sum"], states)
+
+
 NORMALIZED_SQL = """case when regexp_matches({n}, '^[0-9]') then 'COL_' || {n} else {n} end"""
 
 

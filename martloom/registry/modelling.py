@@ -11,7 +11,9 @@ from martloom.operators import proposals as P
 from martloom.plans import spec as S
 from martloom.registry.common import Registry
 from martloom.registry.retail import STG_SQL
+from martloom.session import scratch_folder
 from martloom.sources import payloads as Y
+from martloom.sources.buckets import BucketTable
 from martloom.sources.feeds import retail_feed, table
 
 REG = Registry()
@@ -90,14 +92,7 @@ REG.add(
     select dataset_id, bool_or(role in ('measure_column', 'metric_candidate'))
       and bool_or(role in ('dimension', 'date_time', 'identifier')) as transformable from seen group by 1""",
 )
-REG.add(
-    "mapping_upsert",
-    lambda s, d: M.apply_edits(
-        # Some edits name columns past the last suggestion, which they create.
-        Y.mappings(s, d),
-        table(s, d, "customer").selectExpr(*Y.EDIT_COLUMNS),
-    ),
-    f"""with {Y.MAPPINGS_SQL}, known as (select * from mappings),
+UPSERT_SQL = f"""with {Y.MAPPINGS_SQL}, known as (select * from mappings),
     edits as (select {', '.join(Y.EDIT_COLUMNS)} from customer),
     cleaned as (select dataset_id, column_index, trim(approved_name) as new_name, trim(approved_role) as new_role,
       include_in_model as new_include, true as edited from edits),
@@ -110,8 +105,29 @@ REG.add(
       case when edited then new_role else approved_role end as approved_role,
       case when edited then new_include else include_in_model end as include_in_model,
       coalesce(edited, false) as user_edited
-    from known k full join ok o on k.dataset_id = o.dataset_id and k.column_index = o.column_index""",
+    from known k full join ok o on k.dataset_id = o.dataset_id and k.column_index = o.column_index"""
+REG.add(
+    "mapping_upsert",
+    lambda s, d: M.apply_edits(
+        # Some edits name columns past the last suggestion, which they create.
+        Y.mappings(s, d),
+        table(s, d, "customer").selectExpr(*Y.EDIT_COLUMNS),
+    ),
+    UPSERT_SQL,
 )
+
+
+@REG.query("mapping_upsert_written", UPSERT_SQL)
+def mapping_upsert_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The same edits on a written table: those of some nations, of the others, and of the first ones again. Each time only the touched buckets are rewritten."""
+    edits = table(spark, sf, "customer").selectExpr("c_nationkey", *Y.EDIT_COLUMNS)
+    none = M.apply_edits(Y.mappings(spark, sf), edits.drop("c_nationkey").limit(0))
+    written = BucketTable(spark, scratch_folder(spark, "mappings"), ["dataset_id"], 16).create(none)
+    for part in (edits.filter("c_nationkey < 12"), edits.filter("c_nationkey >= 12"), edits.filter("c_nationkey < 12")):
+        written.upsert(part.drop("c_nationkey"), M.apply_edits)
+    return written.read()
+
+
 REG.add(
     "mapping_review",
     lambda s, d: M.review_suggestions(
@@ -342,6 +358,8 @@ def spec_from_proposal(spark: SparkSession, sf: str) -> DataFrame:
     """From an accepted proposal and its dataset's mappings to a mart over the feed. Only that one spec, a few names long, comes
     to the driver."""
     row = accepted(spark, sf).orderBy("proposal_id").first()
+    if row is None:
+        return spark.createDataFrame([], "order_date_month date, revenue decimal(38,2)")
     mapped = effective(spark, sf).filter(F.col("dataset_id") == row["dataset_id"]).collect()
     mappings = S.to_mappings(mapped)
     models = S.build_models(retail_feed(spark, sf, [m.raw_name for m in mappings]), mappings, S.to_spec(row))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import DataFrame, SparkSession
+
+from martloom.functions.cleaning import safe_ratio
+from martloom.operators import distinct_counts
+from martloom.plans import retail as R
 from martloom.plans.analysis import AnalysisPlan, Filter, run_plan
 from martloom.registry.common import Registry
-from martloom.registry.retail import MART_SQL, mart
+from martloom.registry.retail import MART_SQL, dimension, enriched, mart
 
 REG = Registry()
 
@@ -125,3 +130,99 @@ plan_query(
     order by sum(revenue) desc nulls first, product_category asc nulls last, product_name asc nulls last
     limit 10""",
 )
+
+# ---- literals of other types than the field ------------------------------------------------------
+
+SEGMENT, MONTHLY = ("mart_customer_segments", "customer_segment"), ("mart_sales_performance", "order_month")
+TYPED = {
+    # What is compared, and the condition as DuckDB has it.
+    "text against number": (*SEGMENT, "!=", 5, "customer_segment <> '5'"),
+    "text against boolean": (*SEGMENT, "!=", True, "customer_segment <> 'true'"),
+    "text against null": (*SEGMENT, "=", None, "customer_segment = null"),
+    "text not null": (*SEGMENT, "!=", None, "customer_segment <> null"),
+    "date as text": (*MONTHLY, "=", "1995-03-01", "order_month = date '1995-03-01'"),
+    "date against word": (*MONTHLY, "!=", "x", "order_month <> try_cast('x' as date)"),
+    "date against number": (*MONTHLY, "!=", 12.5, "order_month <> try_cast('12.5' as date)"),
+}
+
+
+def typed_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """One plan per kind of literal. A literal takes the field's type; one that cannot is NULL and keeps nothing."""
+    out = None
+    for label, (model, field, operator, value, _) in TYPED.items():
+        plan = AnalysisPlan(model, (("revenue", "sum"),), (field,), filters=(Filter(field, operator, value),))
+        found = run_plan(mart(spark, sf, model), plan).select(F.lit(label).alias("kind"), F.col(field).cast("string").alias("member"), "revenue")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+REG.add(
+    "plan_filter_typed",
+    typed_filters,
+    f"with {MART_SQL} " + " union all ".join(
+        f"select '{label}' as kind, cast({field} as varchar) as member, cast(sum(revenue) as double) as revenue from {model} where {where} group by {field}"
+        for label, (model, field, _, _, where) in TYPED.items()
+    ),
+)
+
+# ---- true distinct counts over fewer dimensions --------------------------------------------------
+
+
+def order_members(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The bitmaps beside a mart, from one dictionary of orders numbered by date."""
+    facts = enriched(spark, sf, "order_id", "customer_id", "store_id")
+    numbers = distinct_counts.dictionary(enriched(spark, sf, "order_id"), "order_id", near="order_date")
+    by = R.ORDER_MARTS[name]
+    return R.order_members(facts, name, dimension(spark, sf, by) if by else None, numbers)
+
+
+def true_counts(name: str, plan: AnalysisPlan, select: str) -> None:
+    REG.add(
+        name,
+        lambda s, d: run_plan(mart(s, d, plan.source_model), plan, {"orders": order_members(s, d, plan.source_model)}),
+        f"with {MART_SQL} {select}",
+    )
+
+
+true_counts(
+    "plan_true_orders",
+    AnalysisPlan("mart_store_performance", (("orders", "sum"), ("revenue", "sum")), ("store_region",)),
+    """select s.store_region, count(distinct order_id) as orders, cast(sum(f.net_revenue) as double) as revenue
+    from int f left join dim_store s on f.store_id = s.store_id group by 1""",
+)
+true_counts(
+    "plan_true_orders_total",
+    AnalysisPlan("mart_sales_performance", (("revenue", "max"), ("orders", "sum"))),
+    "select (select cast(max(revenue) as double) from mart_sales_performance) as revenue, count(distinct order_id) as orders from int",
+)
+true_counts(
+    "plan_true_orders_filtered",
+    AnalysisPlan(
+        "mart_store_performance", (("orders", "sum"),), filters=(Filter("store_region", "!=", "ASIA"), Filter("store_name", "!=", "Supplier#000000001")),
+    ),
+    """select count(distinct order_id) as orders from int f join dim_store s on f.store_id = s.store_id
+    where s.store_region <> 'ASIA' and s.store_name <> 'Supplier#000000001'""",
+)
+
+
+@REG.query(
+    "region_order_value",
+    f"""with {MART_SQL} select s.store_region, count(distinct order_id) as orders,
+      cast(sum(f.net_revenue) as double) / count(distinct order_id) as average_order_value
+    from int f left join dim_store s on f.store_id = s.store_id group by 1""",
+)
+def region_order_value(spark: SparkSession, sf: str) -> DataFrame:
+    """A ratio over a coarser group than the mart's own, from its sums and its members."""
+    plan = AnalysisPlan("mart_store_performance", (("orders", "sum"), ("revenue", "sum")), ("store_region",))
+    found = run_plan(mart(spark, sf, plan.source_model), plan, {"orders": order_members(spark, sf, plan.source_model)})
+    return found.select("store_region", "orders", safe_ratio(F.col("revenue"), F.col("orders")).alias("average_order_value"))
+
+
+@REG.query(
+    "order_members",
+    f"""with {MART_SQL}, m as (select s.store_region, s.store_name, f.order_id from int f left join dim_store s on f.store_id = s.store_id)
+    select store_region, store_name, count(distinct order_id) as members from m group by 1, 2""",
+)
+def stored_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The members of the store mart's own groups, counted from their bitmaps."""
+    return distinct_counts.counted(order_members(spark, sf, "mart_store_performance"), ["store_region", "store_name"])

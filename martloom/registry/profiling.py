@@ -98,7 +98,7 @@ REG.add(
 )
 REG.add(
     "detect_types",
-    lambda s, d: P.summarize(event_counts(s, d)).select("raw_column_name", "detected_type"),
+    lambda s, d: P.detect_types(events_text(s, d), EVENT_COLUMNS),
     f"{EVENT_PROFILE_SQL} select raw_column_name, detected_type from profile",
 )
 REG.add(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martloom.operators import admission as A
 from martloom.operators import cards as K
 from martloom.operators import lineage as L
 from martloom.operators import runlog as R
@@ -202,6 +203,25 @@ REG.add(
     select session_id, cast(mb as double) as upload_mb_used, runs_used, cards_used, mb + 2 > 10 as upload_blocked,
       runs_used >= 8 as runs_blocked, cards_used >= 8 as cards_blocked from u""",
 )
+UPLOAD_UNITS = "cast(cast(value / 250 as decimal(18,4)) * 10000 as bigint)"
+
+
+@REG.query(
+    "admission_replay",
+    f"""with recursive t as (select user_id as session_id, event_id, case when event_type = 'purchase' then {UPLOAD_UNITS} else 0 end as size,
+        row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    r as (select session_id, event_id, rn, cast(0 as bigint) as used_before, size <= 100000 as admitted, case when size <= 100000 then size else 0 end as used from t where rn = 1
+      union all select t.session_id, t.event_id, t.rn, r.used, r.used + t.size <= 100000, case when r.used + t.size <= 100000 then r.used + t.size else r.used end
+      from r join t on t.session_id = r.session_id and t.rn = r.rn + 1)
+    select session_id, event_id, used_before, admitted from r""",
+)
+def admission_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event of a session with the use at that moment, in ten-thousandths of a megabyte; purchases are uploads. Slices are weeks."""
+    log = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.expr(f"case when event_type = 'purchase' then {UPLOAD_UNITS} end").alias("size"))
+    found = A.replay(log, F.col("size"), ["ts", "event_id"], F.date_trunc("week", "ts"), R.MAX_UPLOAD_MB * 10_000)
+    return found.select("session_id", "event_id", "used_before", "admitted")
+
+
 REG.add(
     "prep_status",
     lambda s, d: R.preparation_status(log_table(s, d, "datasets"), log_table(s, d, "attempts")),

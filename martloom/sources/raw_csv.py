@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martloom.sources import positions as P
+
 CORRUPT = "_corrupt_record"
 # Field contents loaded as NULL. Nothing is trimmed first.
 LOAD_NULLS = ("", "NULL", "null")
@@ -39,14 +41,19 @@ def _parsed(spark: SparkSession, path: str, columns: list[str], multi_line: bool
     return spark.read.schema(schema).options(**options).csv(path)
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False, positions: bool = False) -> DataFrame:
     """Headered CSV as text, columns found by the header's names whatever their order.
 
     A header without just these names is an error. Rows of another width than the header are left out here and
-    are what ``diverted_rows`` returns. Quoted line breaks need ``multi_line``, which reads each file in one task.
+    are what ``diverted_rows`` returns. Quoted line breaks need ``multi_line``, which reads each file in one task. With ``positions``
+    rows also say where they stand among all data lines, diverted ones included (``positions.placed``).
     """
-    good = _parsed(spark, path, columns, multi_line).filter(F.col(CORRUPT).isNull())
-    return good.select(*(nulls_applied(F.col(c)).alias(c) for c in columns))
+    parsed = _parsed(spark, path, columns, multi_line)
+    extra = [P.FILE, P.FILE_ROW, P.LOAD_ROW] if positions else []
+    if positions:
+        parsed = P.placed(P.marked(parsed))
+    good = parsed.filter(F.col(CORRUPT).isNull())
+    return good.select(*(nulls_applied(F.col(c)).alias(c) for c in columns), *extra)
 
 
 def diverted_rows(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
@@ -73,7 +80,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 def load_table(raw: DataFrame, name: str) -> DataFrame:
     """Save a raw load as a table. A load without rows fails, and a table of that name stays as it was.
 
-    Rows go to a table of another name first, which takes the place of the old one once it is complete.
+    Rows go to a table of another name first, which takes the place of the old one once it is complete (``swap_in``).
     """
     spark = raw.sparkSession
     staged = f"{name}__load_{uuid.uuid4().hex[:8]}"
@@ -81,13 +88,33 @@ def load_table(raw: DataFrame, name: str) -> DataFrame:
     if spark.table(staged).isEmpty():
         spark.sql(f"DROP TABLE {staged}")
         raise EmptyLoadError(f"load into {name} produced no rows")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    swap_in(spark, staged, name)
     return spark.table(name)
 
 
-def preview(raw: DataFrame, columns: list[tuple[str, str]], order: list[str], limit: int = 10) -> DataFrame:
-    """The first rows in an explicit order, with table columns shown under their raw headers."""
+def swap_in(spark: SparkSession, staged: str, name: str) -> None:
+    """Puts a complete table in another one's place.
+
+    The old table steps aside under a name of its own and is dropped only once the new one has the name. If the change fails in between,
+    the old one gets its name back; should the session end just there, it still stands beside as ``<name>__old_…`` with all its rows.
+    """
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        return
+    aside = f"{name}__old_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"ALTER TABLE {name} RENAME TO {aside}")
+    try:
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+        raise
+    spark.sql(f"DROP TABLE {aside}")
+
+
+def preview(raw: DataFrame, columns: list[tuple[str, str]], order: list[str] | None = None, limit: int = 10) -> DataFrame:
+    """The first rows, with table columns shown under their raw headers: in an explicit order, or else in that of the files, for rows read
+    with ``positions``."""
+    order = order or [P.LOAD_ROW]
     if not 1 <= limit <= PREVIEW_MAX:
         raise ValueError(f"preview limit must be between 1 and {PREVIEW_MAX}")
     if not columns:
