@@ -47,12 +47,22 @@ def packed(docs: DataFrame, *columns: Column | str) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet copy in the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The copy goes when the session's JVM ends.
+    The copy goes when the session's JVM ends, or earlier by :func:`forgotten`.
     """
     spark = df.sparkSession
     path = scratch_folder(spark, "llm")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._scratch = path
+    return copy
+
+
+def forgotten(*copies: DataFrame) -> None:
+    """Deletes copies made by :func:`written` that no later step reads."""
+    for copy in copies:
+        spark = copy.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(copy._scratch)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], limit: int, column: int = 1) -> Iterator[pa.RecordBatch]:
