@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martloom.llm.common import written
+from martloom.llm.common import in_slices, written
 
 MAGIC = b"WMT1"
 PLANES = 16
@@ -34,7 +34,7 @@ BLOCK = 1 << 15  # bits of a plane compressed together
 SHARD_TOKENS = 1 << 21  # a shard is closed by the document that reaches this
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_PIECES = 300_000
+CACHE_WORDS = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -197,8 +197,10 @@ class _Pool:
 
 
 class Encoder:
-    """Ids of whole texts. Words stand apart at white space for this vocabulary, and letters from the marks behind them, so the ids of
-    such pieces are kept and used again."""
+    """Ids of whole texts. Words stand apart at white space for this vocabulary, so the ids of a word are kept and used again, whatever the text.
+
+    New words are taken apart further, into letters and the marks behind them, so that the tokenizer sees each piece of a batch once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -212,15 +214,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._piece: dict[str, int] = {"": 0}
-        self._pieces = _Pool()
-        self._pieces.add(np.zeros(1, np.int64), np.zeros(0, np.uint16))
+        self._number: dict[bytes, int] = {}
+        self._words = _Pool()
 
-    def _learn(self, texts: list[str]) -> None:
+    def _pieces(self, texts: list[str]) -> _Pool:
+        """The ids of pieces, none of them empty."""
         plain, rest = [], []
         for k, text in enumerate(texts):
             # A piece of letters only gives one run of ids, closed by the one id that ends a word.
-            (plain if text.lower().isalpha() and unicodedata.is_normalized("NFC", text) else rest).append(k)
+            (plain if text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text) else rest).append(k)
         encode = self._tokenizer.encode_batch_fast
         lines = [" ".join(texts[k] for k in plain[i : i + 256]) for i in range(0, len(plain), 256)]
         together = [np.array(e.ids, np.uint16) for e in encode(lines, add_special_tokens=False)]
@@ -229,38 +231,40 @@ class Encoder:
         sizes = np.diff(np.flatnonzero(self._ends_word[flat]), prepend=-1)
         if len(sizes) != len(plain) or sizes.sum() != len(flat):
             raise ValueError("words did not come apart in the vocabulary's ids")
-        have = self._pieces.many
-        self._pieces.add(sizes, flat)
-        self._pieces.add(np.array(list(map(len, alone)), np.int64), np.concatenate([np.zeros(0, np.uint16), *alone]))
-        self._piece.update((texts[k], have + n) for n, k in enumerate(plain + rest))
-
-    def _numbers(self, *columns: pa.Array) -> list[np.ndarray]:
-        """The pieces' numbers, learning those that are new."""
-        coded = [c.dictionary_encode() for c in columns]
-        listed = [c.dictionary.to_pylist() for c in coded]
-        if len(self._piece) > CACHE_PIECES:
-            self._forget()
-        if new := {p for pieces in listed for p in pieces if p not in self._piece}:
-            self._learn(list(new))
-        known = [np.fromiter(map(self._piece.__getitem__, pieces), np.int64, len(pieces)) for pieces in listed]
-        return [k[c.indices.to_numpy()] for k, c in zip(known, coded)]
-
-    def encode(self, texts: pa.Array) -> tuple[list[int], np.ndarray]:
-        """Lengths and ids of all texts, each closed by the end id. Each word of the batch is put together once."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary
+        found = _Pool()
+        found.add(sizes, flat)
+        found.add(np.array(list(map(len, alone)), np.int64), np.concatenate([np.zeros(0, np.uint16), *alone]))
+        place = np.empty(len(texts), np.int64)
+        place[plain + rest] = np.arange(len(texts))
+        ordered = _Pool()
+        ordered.add(*found.take(place))
+        return ordered
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = pa.array(new, pa.binary()).view(pa.string())
         parted = pc.match_substring_regex(words, _PARTS)
         letters = pc.if_else(parted, pc.replace_substring_regex(words, _PARTS, r"\1"), words)
         marks = pc.if_else(parted, pc.replace_substring_regex(words, _PARTS, r"\2"), "")
         # The vocabulary is lower-case, but for control tokens; other letters are left to it.
         simple = pc.and_not(pc.string_is_ascii(letters), pc.match_substring(letters, "<"))
         letters = pc.if_else(simple, pc.ascii_lower(letters), letters)
-        pairs = np.stack(self._numbers(letters, marks), axis=1).ravel()
-        sizes, ids = self._pieces.take(pairs)
-        known = _Pool()
-        known.add(sizes[::2] + sizes[1::2], ids)
-        sizes, ids = known.take(coded.indices.to_numpy())
+        coded = pa.concat_arrays([letters, marks]).dictionary_encode()
+        sizes, ids = self._pieces(coded.dictionary.to_pylist()).take(coded.indices.to_numpy().reshape(2, -1).T.ravel())
+        have = self._words.many
+        self._words.add(sizes[::2] + sizes[1::2], ids)
+        self._number.update(zip(new, range(have, have + len(new))))
+
+    def encode(self, texts: pa.Array) -> tuple[list[int], np.ndarray]:
+        """Lengths and ids of all texts, each closed by the end id."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if len(self._number) > CACHE_WORDS:
+            self._forget()
+        if new := [w for w in words if w not in self._number]:
+            self._learn(new)
+        number = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        sizes, ids = self._words.take(number[coded.indices.to_numpy()])
         ends = np.r_[0, sizes.cumsum()]
         offsets = split.offsets.to_numpy()
         bounds = ends[offsets - offsets[0]]
@@ -278,7 +282,7 @@ def encoder(path: str) -> Encoder:
 
 SHARDS = "part int, shard int, n_docs long, n_tokens long, payload binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-FEW = 1024  # documents encoded together
+TEXT_BYTES = 1 << 23  # text encoded together
 
 
 def _written_shards(path: str, limit: int):
@@ -297,19 +301,17 @@ def _written_shards(path: str, limit: int):
             names.clear(), sizes.clear(), held.clear()
             return row
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, FEW):
-                few = batch.slice(at, FEW)
-                lengths, ids = encode(few.column(1))
-                ends = np.cumsum(lengths)
-                start = 0
-                for doc, length, end in zip(few.column(0).to_pylist(), lengths, ends):
-                    names.append(doc)
-                    sizes.append(length)
-                    held.append(ids[start:end])
-                    start = end
-                    if len(names) % 64 == 0 and sum(sizes) >= limit or length >= limit:
-                        yield close()
+        for few in in_slices(batches, TEXT_BYTES):
+            lengths, ids = encode(few.column(1))
+            ends = np.cumsum(lengths)
+            start = 0
+            for doc, length, end in zip(few.column(0).to_pylist(), lengths, ends):
+                names.append(doc)
+                sizes.append(length)
+                held.append(ids[start:end])
+                start = end
+                if len(names) % 64 == 0 and sum(sizes) >= limit or length >= limit:
+                    yield close()
         if names:
             yield close()
 
