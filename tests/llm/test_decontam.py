@@ -19,7 +19,12 @@ def test_masks_miss_no_placement(size):
 
 
 def test_short_items_with_every_allowed_replacement(spark):
-    items, docs = [(8, " ".join(f"e{k}" for k in range(8)))], [(1, f"x {' '.join(f'e{k}' for k in range(8))} y")]
+    items, docs = [], []
+    for size in range(1, 9):
+        words = [f"e{size}x{k}" for k in range(size)]
+        items.append((size, " ".join(words)))
+        docs.append((len(docs) + 1, f"x {' '.join(words).upper()} y {' '.join(words)}"))
+        docs.append((len(docs) + 1, f"x {' '.join(['other', *words[1:]])} {' '.join(words[:-1])} z"))
     for size in (9, 10, 11, 12, 14):
         words = [f"s{size}w{k}" for k in range(size)]
         items.append((size, " ".join(words)))
@@ -27,4 +32,8 @@ def test_short_items_with_every_allowed_replacement(spark):
             docs.append((len(docs) + 1, "before the " + " ".join("other" if k in other else w for k, w in enumerate(words)) + " after it"))
     got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute.leaks(docs, items)
-    assert len(brute.leaks(docs, items)) == len(docs) - 1
+    assert len(brute.leaks(docs, items)) == len(docs) - 8
+    every = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(*every, most_broadcast=0).collect()} == brute.leaks(docs, items)
+    kept = {r["doc_id"] for r in decontam.clean(*every).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, i in brute.leaks(docs, items) if i >= decontam.LEAST_LEAK}
