@@ -3,7 +3,11 @@
 A value beside a credential word is cut into the segments that an attacker would guess most cheaply (words, dates,
 repeats, keyboard walks, single characters by brute force). The cheapest cut over all segmentations, found by dynamic
 programming, is the value's guess cost; costly values are machine-made and reported as ``guess`` spans. Words are guessed by
-their rank, in a short list of usual passwords or in the counts of all texts outside such values.
+their rank: in a short list of usual passwords, or by how often all texts have them outside such values. A word that is one in f of all words
+has fewer than f words before it, so f stands for its rank.
+
+Texts are read twice. The first reading finds the base spans and the values; the second counts those words only that occur in some
+value. Values are then costed once each, with the counts of their own words, and joined back to where they stand.
 """
 
 from __future__ import annotations
@@ -11,12 +15,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martloom.llm.common import lower_ascii
+from martloom.llm.common import coded_words, in_slices, row_key, written
 
 # The kinds in their order, and the patterns of the base scan.
 KINDS = ("assign", "access", "hex", "guess")
@@ -29,7 +37,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 CONTEXT_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "credential", "authorization", "bearer")
 CONTEXT = re.compile(
     r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer)"
-    r"[\"']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20+is\x20+|\x20+)[\"'`]?([!-~]{8,})", re.IGNORECASE | re.ASCII,
+    r"[\"']?(?:\x20*(?:=>|:=|[:=])\x20*(?:([\"'`])((?:(?!\1)[\x20-~]){8,})\1|[\"'`]?([!-~]{8,}))|(?:\x20+is)?\x20+[\"'`]?([!-~]{8,}))", re.IGNORECASE | re.ASCII,
 )
 GUESS_AT = 7.5  # log10 of the guesses from which a value counts as a secret: eight random characters cost 8, less a short chance word
 
@@ -44,7 +52,8 @@ WORDS = {w: k for k, w in enumerate((
 ), 1)}
 LONGEST_WORD = 24
 LEAST_LETTERS, LEAST_COUNT = 4, 3  # of a word from the texts; shorter ones turn up in random values
-MOST_WORDS = 50_000  # commonest words of the texts that are kept
+SLOTS = 1 << 20  # of the bitmap of values' words
+TEXT_BYTES = 1 << 22  # text read at once
 LEET = str.maketrans("01345$@7", "oleassat")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in ROWS for a, b in zip(row, row[1:])}
@@ -103,68 +112,156 @@ def guess_cost(value: str, words: dict[str, int] = WORDS) -> float:
 _HEX_MARK = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 
 
-def spans(text: str | None, guess_at: float = GUESS_AT, words: dict[str, int] = WORDS) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, by start and then by kind in its order; null and empty texts have none.
+def values(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the credential-context values of a text. A value goes to its closing quote where it is assigned in quotes, spaces
+    included, and to the next space otherwise."""
+    out = []
+    for m in CONTEXT.finditer(text):
+        k = next(i for i in (2, 3, 4) if m[i] is not None)
+        value = m[k] if k == 2 else m[k].rstrip("\"'`,;.)")
+        out.append((m.start(k), m.start(k) + len(value), value))
+    return out
+
+
+def searched(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]]]:
+    """Base spans (start, kind, end) in order, and the values to be costed, of a whole text; null is empty.
 
     The searches for fixed bytes only spare the patterns texts in which they cannot match.
     """
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
-    low = raw.lower()
-    found = []
-    if any(w.encode() in low for w in CONTEXT_WORDS):
-        found += [(*m.span(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
-        costs: dict[str, float] = {}
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'`,;.)")
-            if value not in costs:
-                costs[value] = guess_cost(value, words)
-            if costs[value] >= guess_at:
-                found.append((m.start(1), m.start(1) + len(value), 3))
+    found, guessed = [], []
+    if _has_context(raw):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+        guessed = values(text)
     if b"AKIA" in raw:
-        found += [(*m.span(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     if b"h" * LEAST_HEX in raw.translate(_HEX_MARK):
-        found += [(*m.span(), 2) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
-    found.sort(key=lambda s: (s[0], s[2], s[1]))
-    return [(start, end, KINDS[kind]) for start, end, kind in found]
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
+    return sorted(found), guessed
+
+
+def _has_context(raw: bytes) -> bool:
+    low = raw.lower()
+    return any(w.encode() in low for w in CONTEXT_WORDS)
+
+
+def spans(text: str | None, guess_at: float = GUESS_AT, words: dict[str, int] = WORDS) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in code points, by start and then by kind in its order; null and empty texts have none."""
+    found, guessed = searched(text)
+    found += [(start, 3, end) for start, end, value in guessed if guess_cost(value, words) >= guess_at]
+    return [(start, end, KINDS[kind]) for start, kind, end in sorted(found)]
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in found)
 
 
-COLUMNS = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+_LETTERS = re.compile(r"[a-z]+")
+
+
+def words_in(value: str) -> set[str]:
+    """What a segmentation of the value could take for a word of the texts: its stretches of letters, also with digits and marks read as letters."""
+    low = value.lower()
+    out = set()
+    for text in {low, low.translate(LEET)}:
+        for m in _LETTERS.finditer(text):
+            run = m[0]
+            out |= {run[i : i + n] for n in range(LEAST_LETTERS, min(len(run), LONGEST_WORD) + 1) for i in range(len(run) - n + 1)}
+    return out
+
+
+def ranks(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Guesses for words: the short list's places, or, if fewer, the number of words of which the texts have one of this."""
+    found = {w: max(1, total // n) for w, n in counts.items() if n >= LEAST_COUNT}
+    return {w: min(WORDS.get(w, total), found.get(w, total)) for w in {**WORDS, **found}}
+
+
+# Bytes of words; a word is a run of them that has letters only.
+_WORD_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789_/+=" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+
+
+def counted(raws: list[bytes], wanted: np.ndarray | None = None) -> tuple[dict[str, int], int]:
+    """How often texts have the words that ``wanted``, a bitmap of checksums, lets through, and how many words there are. Values are left out."""
+    plain = []
+    for raw in raws:
+        if _has_context(raw):
+            raw = CONTEXT.sub(" ", raw.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
+        plain.append(raw.translate(_WORD_BYTES))
+    placed, words = coded_words(b" ".join(plain))
+    times = np.bincount(placed, minlength=len(words)).tolist()
+    whole = [(w, n) for w, n in zip(words, times) if LEAST_LETTERS <= len(w) <= LONGEST_WORD and w.isalpha()]
+    return {w.decode(): n for w, n in whole if wanted is None or wanted[zlib.crc32(w) % SLOTS]}, sum(n for _, n in whole)
+
+
+FOUND = "base array<struct<start: int, kind: int, stop: int>>, base_sha256 string, guessed array<struct<start: int, stop: int, value: string>>"
+
+
+def _searched(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        base, guessed = searched(text)
+        digest = hashlib.sha256(joined([(a, b, KINDS[k]) for a, k, b in base]).encode()).hexdigest()
+        rows.append(([dict(zip(("start", "kind", "stop"), s)) for s in base], digest, [dict(zip(("start", "stop", "value"), g)) for g in guessed]))
+    return pd.DataFrame(rows, columns=["base", "base_sha256", "guessed"])
+
+
+def _bitmap(pieces: DataFrame) -> np.ndarray:
+    """Which checksums the pieces have. A number for 64 slots each comes to the driver, whatever the number of pieces."""
+    slot = F.crc32(F.col("piece").cast("binary")) % SLOTS
+    words = pieces.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
+    bits = np.zeros(SLOTS // 64, np.int64)
+    for r in words.collect():
+        bits[r["word"]] = r["bits"]
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+
+
+def word_counts(docs: DataFrame, pieces: DataFrame) -> tuple[DataFrame, int]:
+    """(``piece``, ``n``) for the pieces that are words of the texts, credential values left out, and the number of all such words."""
+    wanted = _bitmap(pieces)
+    schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in in_slices(batches, TEXT_BYTES, 0):
+            found, total = counted([t or b"" for t in few.column(0).cast(pa.binary()).to_pylist()], wanted)
+            yield pa.record_batch([pa.array([None, *found], pa.string()), pa.array([total, *found.values()], pa.int64())], schema=schema)
+
+    rows = written(docs.select(F.col("text").cast("string")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    total = rows.filter("piece is null").first()
+    return rows.join(pieces, "piece", "left_semi").filter(F.col("n") >= LEAST_COUNT), total["n"] if total else 0
+
+
+def _costs(docs: DataFrame, guessed: DataFrame) -> DataFrame:
+    """(``value``, ``cost``), each value once, by its own words' counts."""
+    known = written(guessed.select("value").distinct())
+    pieces = F.pandas_udf(lambda v: v.map(lambda x: sorted(words_in(x))), "array<string>")
+    parts = written(known.select("value", F.explode(pieces("value")).alias("piece")))
+    counts, total = word_counts(docs, parts.select("piece").distinct())
+    own = parts.join(counts, "piece").groupBy("value").agg(F.collect_list(F.struct("piece", "n")).alias("__words"))
+
+    def cost(values: pd.Series, words: pd.Series) -> pd.Series:
+        listed = [{} if w is None else {x["piece"]: int(x["n"]) for x in w} for w in words]
+        return pd.Series([guess_cost(v, ranks(c, total)) for v, c in zip(values, listed)], dtype=float)
+
+    cost.__annotations__ = {"values": pd.Series, "words": pd.Series, "return": pd.Series}
+    return known.join(own, "value", "left").select("value", F.pandas_udf(cost, "double")("value", "__words").alias("cost"))
 
 
-def ranked_words(docs: DataFrame) -> dict[str, int]:
-    """Words and their ranks: the short list, and the commonest words of all texts, credential values left out.
+def scanned(docs: DataFrame, guess_at: float = GUESS_AT) -> DataFrame:
+    """``doc_id`` and what its whole text holds, one row per row: counts by kind, the digest of the base spans, and all ``spans``.
 
-    ``MOST_WORDS`` bounds what reaches the driver and the workers; rarer words are costed by character.
+    Null and empty texts hold nothing; equal rows get equal results. A value's cost depends on how common its words are in all texts, not on where it stands.
     """
-    values = F.regexp_replace(F.col("text"), f"(?i){CONTEXT.pattern}", " ")
-    whole = rf"(?<![A-Za-z0-9_/+=])[a-z]{{{LEAST_LETTERS},{LONGEST_WORD}}}(?![A-Za-z0-9_/+=])"
-    found = docs.select(F.explode(F.regexp_extract_all(lower_ascii(values), F.lit(whole), F.lit(0))).alias("word"))
-    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_COUNT)
-    rows = counts.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    ranks = {r["word"]: k for k, r in enumerate(rows, 1)}
-    return {w: min(WORDS.get(w, MOST_WORDS), ranks.get(w, MOST_WORDS)) for w in {**WORDS, **ranks}}
-
-
-def _reporter(words: dict[str, int]):
-    def report(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            found = spans(text, words=words)
-            base = [s for s in found if s[2] != "guess"]
-            counts = [sum(s[2] == kind for s in found) for kind in KINDS]
-            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
-
-    report.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return report
-
-
-def scanned(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and what its whole text holds, one row per row. Words are counted over all texts first."""
-    report = F.pandas_udf(_reporter(ranked_words(docs)), COLUMNS)
-    return docs.select("doc_id", report("text").alias("__found")).select("doc_id", "__found.*")
+    keys = ["__h1", "__h2"]
+    part = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(part.select("doc_id", *row_key(part), F.pandas_udf(_searched, FOUND)("text").alias("__f")).select("doc_id", *keys, "__f.*"))
+    guessed = rows.select(*keys, F.explode("guessed").alias("__g")).select(*keys, "__g.*").distinct()
+    costly = _costs(part, guessed).filter(F.col("cost") >= guess_at).select("value")
+    more = guessed.join(costly, "value").groupBy(*keys).agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "stop")).alias("__more"))
+    whole = rows.join(more, keys, "left")
+    every = F.array_sort(F.concat("base", F.coalesce("__more", F.array().cast("array<struct<start: int, kind: int, stop: int>>"))))
+    names = F.array(*map(F.lit, KINDS))
+    many = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    shown = F.transform(every, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"]))
+    guesses = F.coalesce(F.size("__more"), F.lit(0)).cast("long").alias("n_guess")
+    return whole.select("doc_id", many(0), many(1), many(2), guesses, "base_sha256", F.array_join(shown, ",").alias("spans"))
