@@ -94,7 +94,7 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def leaks(docs: list[tuple], items: list[tuple]) -> set[tuple]:
-    """(doc_id, item_id) with 13 aligned words (or all of a shorter item) that agree in four of five or more."""
+    """(doc_id, item_id) with 13 aligned words (or all of a shorter item) that agree in four of five or more; in all below nine words."""
 
     def low(t):
         return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -107,14 +107,15 @@ def leaks(docs: list[tuple], items: list[tuple]) -> set[tuple]:
     for d, t in docs:
         ours = low(t)
         for theirs, item in first.items():
-            if len(theirs) < 9:
+            if not theirs:
                 continue
             size = min(13, len(theirs))
+            least = size if size < 9 else 0.8 * size
             for shift in range(-len(theirs) + size, len(ours) - size + 1):
                 begin = max(shift, 0)
                 n = min(shift + len(theirs), len(ours)) - begin
                 same = [ours[begin + k] == theirs[begin - shift + k] for k in range(n)]
-                if any(sum(same[k : k + size]) >= 0.8 * size for k in range(n - size + 1)):
+                if any(sum(same[k : k + size]) >= least for k in range(n - size + 1)):
                     out.add((d, item))
                     break
     return out

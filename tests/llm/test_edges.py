@@ -78,8 +78,11 @@ def test_urls(spark):
     want = sorted((p, *(h := brute.url_parts(u)), brute.url_rule(*h)[0]) for p, u in rows)
     assert got == want
     assert urls.judged(pages.limit(0)).count() == 0
-    one_sided = urls.judged(spark.createDataFrame([(1, "http://a.com/"), (2, "http://a.org/")], "page_id long, url string")).collect()
-    assert [r["verdict"] for r in one_sided] == ["allow", "allow"]
+    two = spark.createDataFrame([(1, "http://a.net/es/"), (2, "http://a.org/")], "page_id long, url string")
+    for label, verdict in ((0, "allow"), (1, "block")):
+        known = spark.createDataFrame([("http://z.org/", label), (None, label), ("x", None)], "url string, label int")
+        assert [r["verdict"] for r in urls.judged(two, labelled=known).orderBy("page_id").collect()] == ["block", verdict]
+    assert urls.judged(two, labelled=known.limit(0)).filter("page_id = 2").first()["verdict"] == "allow"
 
 
 def test_quality(docs, empty, labels):
