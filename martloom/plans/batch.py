@@ -84,7 +84,8 @@ def run_batch(plans: DataFrame, marts: dict[str, DataFrame], catalog: dict[str,
         sets.setdefault(row["source_model"], []).append(row["__set"])
     results = [_of_mart(asked, name, marts[name], catalog[name], found) for name, found in sets.items() if name in marts]
     if not results:
-        return plans.sparkSession.createDataFrame([], "plan_key string, position long, members array<string>, metric string, value double")
+        kinds = {"plan_key": "string", "position": "long", "members": "array<string>", "metric": "string", "value": "double"}
+        return plans.sparkSession.range(0).select(*(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
     return reduce(DataFrame.unionByName, results)
 
 

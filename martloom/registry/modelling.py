@@ -359,7 +359,7 @@ def spec_from_proposal(spark: SparkSession, sf: str) -> DataFrame:
     to the driver."""
     row = accepted(spark, sf).orderBy("proposal_id").first()
     if row is None:
-        return spark.createDataFrame([], "order_date_month date, revenue decimal(38,2)")
+        return spark.range(0).selectExpr("cast(null as date) as order_date_month", "cast(null as decimal(38,2)) as revenue")
     mapped = effective(spark, sf).filter(F.col("dataset_id") == row["dataset_id"]).collect()
     mappings = S.to_mappings(mapped)
     models = S.build_models(retail_feed(spark, sf, [m.raw_name for m in mappings]), mappings, S.to_spec(row))
