@@ -48,7 +48,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byte
     ids = ids.astype(np.uint16)
     zeros, planes = [], []
     for bit in range(PLANES - 1, -1, -1):
-        ones = (ids >> bit) & 1 == 1
+        ones = ids & np.uint16(1 << bit) != 0
         planes.append(np.packbits(ones, bitorder="little"))
         zeros.append(len(ids) - int(ones.sum()))
         ids = np.concatenate([ids[~ones], ids[ones]])
@@ -211,22 +211,32 @@ class Encoder:
             raise ValueError("ids do not fit the planes")
         self._ends_word = np.zeros(1 << PLANES, bool)
         self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget()
+        self._number: dict[bytes, int] = {}  # in the order of the numbers
+        self._words, self._uses = _Pool(), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        self._number: dict[bytes, int] = {}
-        self._words = _Pool()
-
-    def _pieces(self, texts: list[str]) -> _Pool:
-        """The ids of pieces, none of them empty."""
-        plain, rest = [], []
-        for k, text in enumerate(texts):
-            # A piece of letters only gives one run of ids, closed by the one id that ends a word.
-            (plain if text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text) else rest).append(k)
+        """Drops words that came in one batch only; of the others the most used stay, in half of the room."""
+        uses = self._uses
+        keep = np.flatnonzero(uses > 1)
+        keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[: CACHE_WORDS // 2]])
+        words, names = _Pool(), list(self._number)
+        words.add(*self._words.take(keep))
+        self._number = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self._words, self._uses = words, np.ones(len(keep), np.int64)
+
+    def _pieces(self, texts: pa.Array) -> _Pool:
+        """The ids of distinct pieces."""
+        # A piece of letters only gives one run of ids, closed by the one id that ends a word.
+        letters = pc.ascii_is_alpha(texts).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~letters)
+        named = texts.take(pa.array(other)).to_pylist()
+        letters[other] = np.array([t.isalpha() and t.lower().isalpha() and unicodedata.is_normalized("NFC", t) for t in named], bool)
+        plain, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
         encode = self._tokenizer.encode_batch_fast
-        lines = [" ".join(texts[k] for k in plain[i : i + 256]) for i in range(0, len(plain), 256)]
+        offsets = pa.array(np.r_[0:len(plain):256, len(plain)], pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(offsets, texts.take(pa.array(plain))), " ").to_pylist()
         together = [np.array(e.ids, np.uint16) for e in encode(lines, add_special_tokens=False)]
-        alone = [np.array(e.ids, np.uint16) for e in encode([texts[k] for k in rest], add_special_tokens=False)]
+        alone = [np.array(e.ids, np.uint16) for e in encode(texts.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
         flat = np.concatenate([np.zeros(0, np.uint16), *together])
         sizes = np.diff(np.flatnonzero(self._ends_word[flat]), prepend=-1)
         if len(sizes) != len(plain) or sizes.sum() != len(flat):
@@ -235,7 +245,7 @@ class Encoder:
         found.add(sizes, flat)
         found.add(np.array(list(map(len, alone)), np.int64), np.concatenate([np.zeros(0, np.uint16), *alone]))
         place = np.empty(len(texts), np.int64)
-        place[plain + rest] = np.arange(len(texts))
+        place[np.r_[plain, rest]] = np.arange(len(texts))
         ordered = _Pool()
         ordered.add(*found.take(place))
         return ordered
@@ -249,10 +259,11 @@ class Encoder:
         simple = pc.and_not(pc.string_is_ascii(letters), pc.match_substring(letters, "<"))
         letters = pc.if_else(simple, pc.ascii_lower(letters), letters)
         coded = pa.concat_arrays([letters, marks]).dictionary_encode()
-        sizes, ids = self._pieces(coded.dictionary.to_pylist()).take(coded.indices.to_numpy().reshape(2, -1).T.ravel())
+        sizes, ids = self._pieces(coded.dictionary).take(coded.indices.to_numpy().reshape(2, -1).T.ravel())
         have = self._words.many
         self._words.add(sizes[::2] + sizes[1::2], ids)
         self._number.update(zip(new, range(have, have + len(new))))
+        self._uses = np.r_[self._uses, np.zeros(len(new), np.int64)]
 
     def encode(self, texts: pa.Array) -> tuple[list[int], np.ndarray]:
         """Lengths and ids of all texts, each closed by the end id."""
@@ -264,6 +275,7 @@ class Encoder:
         if new := [w for w in words if w not in self._number]:
             self._learn(new)
         number = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        self._uses[number] += 1
         sizes, ids = self._words.take(number[coded.indices.to_numpy()])
         ends = np.r_[0, sizes.cumsum()]
         offsets = split.offsets.to_numpy()
