@@ -1,8 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every window of 35 words, counted in Spark.
 
 Documents are dealt into blocks. A block sends its distinct window hashes, sorted and packed, to buckets by their leading
-bits: a window that a third of all documents share arrives once per block. Each bucket answers every block with
-one bit per hash, set if another block has it too. The block then marks its windows, merges them into maximal
+bits: a window that a third of all documents share arrives once per block. Each hash goes with a check of 32 bits from a second
+sum, so windows are equal by 96 bits. Each bucket answers every block with one bit per hash, set if another block has it too. The block then marks its windows, merges them into maximal
 intervals and cuts the words they cover.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 35
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)  # odd, so it has an inverse modulo 2**64
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)  # odd as well, the base of the check
 BLOCK_BYTES = 1 << 24  # text of a block
 BUCKET_WINDOWS = 1 << 22  # windows of a bucket
 CACHE_WORDS = 500_000
@@ -38,17 +38,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def window_hashes(words: list[bytes], known: dict[bytes, int], size: int = WINDOW) -> np.ndarray:
-    """Hash of each window, modulo 2**64: sum of w[i+j] * BASE**(size-1-j), from one running sum over the document.
-
-    A last mix spreads the sums evenly over all bits, one to one.
-    """
-    n = len(words)
-    if n < size:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-    total = np.r_[np.uint64(0), np.cumsum(w * _powers(INVERSE, n), dtype=np.uint64)]
-    h = (total[size:] - total[:-size]) * (_powers(BASE, n - size + 1) * _powers(BASE, size)[-1])
+def _sums(w: np.ndarray, base: np.uint64, size: int) -> np.ndarray:
+    """Of each window, modulo 2**64: sum of w[i+j] * base**(size-1-j), from one running sum over the document."""
+    n = len(w)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    total = np.r_[np.uint64(0), np.cumsum(w * _powers(inverse, n), dtype=np.uint64)]
+    h = (total[size:] - total[:-size]) * (_powers(base, n - size + 1) * _powers(base, size)[-1])
+    # A last mix spreads the sums evenly over all bits, one to one.
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x7FB5D329728EA185)
     h ^= h >> np.uint64(27)
@@ -56,6 +52,28 @@ def window_hashes(words: list[bytes], known: dict[bytes, int], size: int = WINDO
     return h ^ (h >> np.uint64(33))
 
 
+def window_hashes(words: list[bytes], known: dict[bytes, int], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and a 32-bit check of each window. The check sums the words' hashes after a shift that keeps the two sums apart."""
+    n = len(words)
+    if n < size:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+    return _sums(w, BASE, size), (_sums(w ^ (w >> np.uint64(29)), SECOND, size) >> np.uint64(32)).astype(np.uint32)
+
+
+def _grouped(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal windows together, and in this order, whether a window equals the one before it."""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], checks[order]
+    same = h[1:] == h[:-1]
+    apart = c[1:] != c[:-1]
+    if (same & apart).any():  # different windows with one hash
+        order = np.lexsort((checks, hashes))
+        h, c = hashes[order], checks[order]
+        same, apart = h[1:] == h[:-1], c[1:] != c[:-1]
+    return order, np.r_[np.zeros(min(len(h), 1), bool), same & ~apart]
+
+
 def packed(values: np.ndarray) -> bytes:
     """Sorted hashes by their differences, in six bytes each where they fit."""
     gaps = np.diff(values, prepend=np.uint64(0))
@@ -85,10 +103,11 @@ def _ordered(table: pa.Table) -> tuple[list, list[bytes]]:
     return [ids[k] for k in order], [texts[k] for k in order]
 
 
-def _block_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, list[int]]:
+def _block_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     known = _Hashes()
     each = [window_hashes(t.split(), known, size) for t in texts]
-    return np.concatenate([np.empty(0, np.uint64), *each]), [len(h) for h in each]
+    hashes = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in each)])
+    return hashes, np.concatenate([np.empty(0, np.uint32), *(c for _, c in each)]), [len(h) for h, _ in each]
 
 
 def _cuts(values: np.ndarray, bits: int) -> np.ndarray:
@@ -99,14 +118,17 @@ def _cuts(values: np.ndarray, bits: int) -> np.ndarray:
 
 def _sender(bits: int, size: int):
     def send(key, table):
-        hashes, _ = _block_windows(_ordered(table)[1], size)
-        values = np.unique(hashes)
+        hashes, checks, _ = _block_windows(_ordered(table)[1], size)
+        order, same = _grouped(hashes, checks)
+        first = order[~same]
+        values, checks = hashes[first], checks[first].astype("<u4")
         cuts = _cuts(values, bits)
         full = np.flatnonzero(np.diff(cuts))
         return pa.table({
             "bucket": pa.array(full, pa.int64()),
             "block": pa.array(np.full(len(full), key[0].as_py()), pa.int64()),
             "hashes": pa.array([packed(values[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
+            "checks": pa.array([checks[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
         })
 
     return send
@@ -114,12 +136,10 @@ def _sender(bits: int, size: int):
 
 def _answer(key, table):
     lists = [unpacked(raw) for raw in table.column("hashes").to_pylist()]
-    values = np.concatenate(lists)
-    order = np.argsort(values, kind="stable")
-    along = values[order]
-    same = along[1:] == along[:-1]
-    shared = np.empty(len(values), bool)
-    shared[order] = np.r_[same, False] | np.r_[False, same]
+    checks = np.concatenate([np.frombuffer(raw, "<u4") for raw in table.column("checks").to_pylist()])
+    order, same = _grouped(np.concatenate(lists), checks)
+    shared = np.empty(len(order), bool)
+    shared[order] = same | np.r_[same[1:], False]
     ends = np.cumsum([len(x) for x in lists])
     return pa.table({
         "block": table.column("block"),
@@ -137,9 +157,13 @@ DIGEST_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def _remover(bits: int, size: int, digest: bool):
     def remove(docs, answers):
         ids, texts = _ordered(docs)
-        hashes, sizes = _block_windows(texts, size)
-        values, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = counts > 1
+        hashes, checks, sizes = _block_windows(texts, size)
+        order, same = _grouped(hashes, checks)
+        number = np.cumsum(~same) - 1
+        place = np.empty(len(order), np.int64)
+        place[order] = number
+        again = np.bincount(number) > 1
+        values = hashes[order[~same]]
         cuts = _cuts(values, bits)
         for bucket, raw in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
             a, b = cuts[bucket], cuts[bucket + 1]
@@ -177,15 +201,15 @@ def removed(docs: DataFrame, window: int = WINDOW, digest: bool = False, block_b
     intervals of words removed); with ``digest`` the SHA-256 of ``kept`` stands for the last two.
 
     A word goes if a window over it starts anywhere else too. Null texts are empty; texts shorter than a window
-    stay whole; equal rows are occurrences of their own. Windows are equal if their 64-bit hashes are: among n windows
-    about n * n / 2**65 pairs are taken for equal that are not. Texts are counted first, only to choose how many blocks and buckets there are.
+    stay whole; equal rows are occurrences of their own. Windows are equal if 96 bits of two hashes are: among n windows
+    about n * n / 2**97 pairs are taken for equal that are not. Texts are counted first, only to choose how many blocks and buckets there are.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     bits = max(0, (max(1, total // 6) // bucket_windows).bit_length())
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    sent = dealt.groupBy("block").applyInArrow(_sender(bits, window), "bucket long, block long, hashes binary")
+    sent = dealt.groupBy("block").applyInArrow(_sender(bits, window), "bucket long, block long, hashes binary, checks binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, bits binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remover(bits, window, digest), DIGEST_SQL if digest else OUT_SQL)
 

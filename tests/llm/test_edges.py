@@ -7,6 +7,7 @@ import random
 import brute
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,12 +272,36 @@ def test_substrings(docs, empty):
     assert row["kept"] == "one two" and row["spans"] == [[1, 61]]
 
 
+def test_windows_that_share_a_hash_stay_apart():
+    rng = np.random.default_rng(4)
+    hashes, checks = rng.integers(0, 3, 400).astype(np.uint64), rng.integers(0, 5, 400).astype(np.uint32)
+    order, same = substrings._grouped(hashes, checks)
+    pairs = list(zip(hashes[order].tolist(), checks[order].tolist()))
+    assert sorted(order.tolist()) == list(range(400)) and not same[0]
+    assert [a == b for a, b in zip(pairs, pairs[1:])] == same[1:].tolist() and (~same).sum() == len(set(pairs))
+    assert substrings._grouped(hashes[:0], checks[:0])[1].tolist() == []
+
+
+def test_equal_hashes_of_other_words_cut_nothing(monkeypatch):
+    """All windows get one 64-bit hash; the checks alone tell them apart, within a block and between blocks."""
+    whole = substrings._sums
+    monkeypatch.setattr(substrings, "_sums", lambda w, base, size: whole(w, base, size) * np.uint64(base != substrings.BASE))
+    texts = [[f"{a}{k}" for k in range(60)] for a in "xyz"] + [["y9"] * 3 + [f"y{k}" for k in range(10, 50)]]
+    blocks = [pa.table({"doc_id": [2 * b, 2 * b + 1], "text": [" ".join(t) for t in texts[2 * b : 2 * b + 2]]}) for b in range(2)]
+    sent = pa.concat_tables([substrings._sender(0, 35)((pa.scalar(b),), t) for b, t in enumerate(blocks)])
+    answers = substrings._answer((pa.scalar(0),), sent)
+    got = [substrings._remover(0, 35, False)(t, answers.filter(pc.equal(answers["block"], b))).to_pylist() for b, t in enumerate(blocks)]
+    rows = {r["doc_id"]: r for part in got for r in part}
+    assert [rows[k]["n_removed"] for k in range(4)] == [0, 41, 0, 41]
+    assert rows[1]["spans"] == [[9, 50]] and rows[3]["spans"] == [[2, 43]]
+
+
 def test_window_hashes_follow_their_words():
     known = substrings._Hashes()
     words = [b"a", b"b", b"a", b"b", b"c"] * 30
-    h = substrings.window_hashes(words, known, 7)
+    h, checks = substrings.window_hashes(words, known, 7)
     windows = [tuple(words[i : i + 7]) for i in range(len(words) - 6)]
-    assert len({(w, int(x)) for w, x in zip(windows, h)}) == len(set(windows)) == len(set(h.tolist()))
+    assert len({(w, int(x)) for w, x in zip(windows, h)}) == len(set(windows)) == len(set(h.tolist())) == len(set(checks.tolist()))
     for values in (np.array([], np.uint64), np.array([3], np.uint64), np.unique(h), np.array([0, 1, 2**64 - 1], np.uint64)):
         assert substrings.unpacked(substrings.packed(values)).tolist() == values.tolist()
 
