@@ -1,9 +1,10 @@
 """Quality rules: fixed base rules, and robust multivariate outliers per language and source.
 
 The centre and scatter of a group of documents come from the half of it whose covariance
-determinant is smallest. That subset is found by concentration steps: measure every document by the present centre and
-scatter, keep the nearest share, estimate again. All documents take part in every step; a step is one
-aggregation of sums, and the share's limit is a mergeable quantile sketch, so no group is ever gathered.
+determinant is smallest. Such halves are found by concentration steps from two fixed robust starts: measure every document by the
+present centre and scatter, keep the nearest share, estimate again, which never raises the determinant. The start that ends with the lowest one
+gives the estimates. All documents take part in every step; a step is one aggregation of sums for all starts together,
+and the share's limit is a mergeable quantile sketch, so no group is ever gathered.
 """
 
 from __future__ import annotations
@@ -111,14 +112,14 @@ def _grouped(rows: DataFrame) -> DataFrame:
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(X)]
     squares = [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}_{j}") for i, j in PAIRS]
-    return rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
 
 
 def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Centre and inverse scatter from sums, one row per group."""
+    """Centre, inverse scatter and the scatter's log-determinant from sums, one row per group and start."""
     floor = np.square(list(STATISTICS.values()))
     for rows in batches:
         out = []
@@ -127,12 +128,28 @@ def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov = np.zeros((P, P))
             for i, j in PAIRS:
                 cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / r["n"] - centre[i] * centre[j]
-            inverse = np.linalg.inv(cov + np.diag(floor))
-            out.append((r["__group"], centre.tolist(), inverse.ravel().tolist()))
-        yield pd.DataFrame(out, columns=["__group", "centre", "inverse"])
+            scatter = cov + np.diag(floor)
+            out.append((r["__group"], r["__start"], centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])))
+        yield pd.DataFrame(out, columns=["__group", "__start", "centre", "inverse", "logdet"])
 
 
-ESTIMATE = "__group string, centre array<double>, inverse array<double>"
+ESTIMATE = "__group string, __start string, centre array<double>, inverse array<double>, logdet double"
+
+
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The start of spatial signs: medians, and the scatter of unit vectors from there, scaled by the median deviations."""
+    floor = np.square(list(STATISTICS.values()))
+    for rows in batches:
+        out = []
+        for r in rows.to_dict("records"):
+            signs = np.zeros((P, P))
+            for i, j in PAIRS:
+                signs[i, j] = signs[j, i] = r[f"q{i}_{j}"] / max(r["n"], 1)
+            scale = np.array([r[f"d{i}"] for i in range(P)])
+            # Unit vectors spread 1 / P in each direction where nothing is correlated.
+            scatter = P * signs * np.outer(scale, scale) + np.diag(floor)
+            out.append((r["__group"], "signs", [r[f"m{i}"] for i in range(P)], np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])))
+        yield pd.DataFrame(out, columns=["__group", "__start", "centre", "inverse", "logdet"])
 
 
 def _distance() -> Column:
@@ -141,34 +158,57 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _first(rows: DataFrame) -> DataFrame:
-    """The start: coordinatewise medians, and squared median deviations without correlations."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two starts a group: medians with median deviations and no correlations, and the same with the correlations of spatial signs.
+
+    Both hold while less than half of a group is bad. Others, such as the mean and covariance of all, are left out on purpose: where a third of
+    a group are copies of one bad document, a half around these has a smaller determinant than any half of good ones, and such starts lead there.
+    """
     median = [F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(X)]
-    centres = rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), *median).filter(F.col("n") >= LEAST_GROUP)
+    centres = rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), *median).filter(F.col("n") >= LEAST_GROUP).drop("n")
     apart = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(X)]
-    spread = rows.join(centres, "__group").groupBy("__group", *(f"m{i}" for i in range(P))).agg(*apart)
+    spread = written(rows.join(centres, "__group").groupBy("__group", *(f"m{i}" for i in range(P))).agg(*apart))
     floor = list(STATISTICS.values())
-    inverse = [1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + floor[i] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
-    return spread.select("__group", F.array(*(F.col(f"m{i}") for i in range(P))).alias("centre"), F.array(*inverse).alias("inverse"))
+    variance = lambda i: F.pow(1.4826 * F.col(f"d{i}"), 2) + floor[i] ** 2
+    inverse = [1 / variance(i) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
+    plain = spread.select(
+        "__group", F.lit("medians").alias("__start"), F.array(*(F.col(f"m{i}") for i in range(P))).alias("centre"), F.array(*inverse).alias("inverse"),
+        reduce(lambda a, b: a + b, [F.log(variance(i)) for i in range(P)]).alias("logdet"),
+    )
+    scaled = spread.select("__group", *(f"m{i}" for i in range(P)), *(F.sqrt(variance(i)).alias(f"d{i}") for i in range(P)))
+    gaps = rows.join(scaled, "__group").select("__group", *((F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(X))).toDF("__group", *X)
+    length = F.sqrt(reduce(lambda a, b: a + b, [F.col(x) * F.col(x) for x in X]))
+    unit = gaps.withColumn("__l", F.greatest(length, F.lit(1e-9))).select("__group", *((F.col(x) / F.col("__l")).alias(x) for x in X))
+    signs = _moments(unit, "__group").join(scaled, "__group").mapInPandas(_signed, ESTIMATE)
+    return plain.unionByName(signs)
+
+
+def _nearest(rows: DataFrame, now: DataFrame, share: float, times: float = 1.0) -> DataFrame:
+    """The rows within ``times`` the distance that covers a share of their group, for each start."""
+    placed = rows.join(now.select("__group", "__start", "centre", "inverse"), "__group").withColumn("__d", _distance())
+    limit = placed.groupBy("__group", "__start").agg((F.percentile_approx("__d", F.lit(share), F.lit(2000)) * times).alias("__limit"))
+    return placed.join(limit, ["__group", "__start"]).filter("__d <= __limit")
 
 
 def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row per group: ``centre``, ``inverse`` scatter, and ``scale``, which brings the median distance to
-    its expected value. Groups below ``LEAST_GROUP`` documents have no row. Each step's estimates are written down:
-    they are a few numbers a group, and the next step reads them twice."""
+    """One row per group: ``centre``, ``inverse`` scatter, ``scale``, which brings the median distance to
+    its expected value, and ``raw_logdet``, the lesser log-determinant of the starts' last halves. Groups below ``LEAST_GROUP`` documents have no row.
+    Each step's estimates are written down: they are a few numbers a group, and the next step reads them twice."""
     rows = rows.select("__group", *X)
-    now = written(_first(rows))
-    for step in range(steps + 1):
-        placed = rows.join(now, "__group").withColumn("__d", _distance())
-        last = step == steps
-        limit = placed.groupBy("__group").agg(F.percentile_approx("__d", F.lit(0.5 if last else share), F.lit(2000)).alias("__limit"))
-        if last:  # the last step takes every document that is no outlier by the scaled distances
-            limit = limit.withColumn("__limit", F.col("__limit") * (_chi2(P, 0.975) / _chi2(P, 0.5)))
-        near = placed.join(limit, "__group").filter("__d <= __limit")
-        now = written(_moments(near).mapInPandas(_estimates, ESTIMATE))
+    now = written(_starts(rows))
+    for _ in range(steps):
+        near = _nearest(rows, now, share)
+        now = written(_moments(near, "__group", "__start").mapInPandas(_estimates, ESTIMATE))
+    # Of starts with one determinant, the first by name.
+    least = F.min(F.struct("logdet", "__start", "centre", "inverse")).alias("__least")
+    best = written(now.groupBy("__group").agg(least).select("__group", "__least.*"))
+    # The last step takes every document that is no outlier by the scaled distances.
+    near = _nearest(rows, best, 0.5, _chi2(P, 0.975) / _chi2(P, 0.5))
+    now = written(_moments(near, "__group", "__start").mapInPandas(_estimates, ESTIMATE))
     placed = rows.join(now, "__group").withColumn("__d", _distance())
     scale = placed.groupBy("__group").agg(F.percentile_approx("__d", F.lit(0.5), F.lit(2000)).alias("__median"))
-    return now.join(scale.select("__group", F.greatest(F.col("__median") / _chi2(P, 0.5), F.lit(0.1)).alias("scale")), "__group")
+    found = now.select("__group", "centre", "inverse").join(best.select("__group", F.col("logdet").alias("raw_logdet")), "__group")
+    return found.join(scale.select("__group", F.greatest(F.col("__median") / _chi2(P, 0.5), F.lit(0.1)).alias("scale")), "__group")
 
 
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:

@@ -21,6 +21,30 @@ def test_estimates_ignore_a_third_of_copies(spark, bad, spread):
     assert far.filter("d > 80").count() == far.filter("d > 80 and x0 + x1 + x2 > 4").count() >= 0.99 * n
 
 
+def _least_logdet(x: np.ndarray, rng: np.random.Generator, tries: int = 60) -> float:
+    """Concentration steps in plain numpy from many random small subsets."""
+    floor, best = np.diag(np.square(list(rules.STATISTICS.values()))), np.inf
+    for _ in range(tries):
+        near = x[rng.choice(len(x), 2 * rules.P, replace=False)]
+        for _ in range(30):
+            d = x - near.mean(0)
+            d = np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(near.T, bias=True) + floor), d)
+            near = x[d <= np.sort(d)[(len(x) + 1) // 2 - 1]]
+        best = min(best, np.linalg.slogdet(np.cov(near.T, bias=True) + floor)[1])
+    return best
+
+
+@pytest.mark.parametrize("bad", [0.0, 0.2, 0.4])
+def test_determinants_are_as_small_as_those_of_random_starts(spark, bad):
+    rng = np.random.default_rng(5)
+    mix = rng.normal(size=(rules.P, rules.P)) * 0.5
+    x = rng.normal(size=(800, rules.P)) @ mix
+    n = int(bad * len(x))
+    x[:n] += 6 * mix[0]
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], ["__group", *rules.X])
+    assert rules.fit(rows).first()["raw_logdet"] <= _least_logdet(x, rng) + 0.1
+
+
 def test_small_sources_are_judged_by_the_whole_language(spark):
     rng = np.random.default_rng(6)
 
