@@ -15,7 +15,7 @@ from martloom.registry.common import Registry
 from martloom.registry.profiling import EVENTS_SQL, events_text, long_sql
 from martloom.registry.retail import MART_SQL, mart
 from martloom.session import scratch_folder
-from martloom.sources import files, positions, raw_csv, sinks
+from martloom.sources import files, positions, quoted, raw_csv, sinks
 from martloom.sources.feeds import retail_feed, table
 from martloom.sources.inline import rows as inline_rows
 
@@ -69,6 +69,21 @@ def raw_diverted(spark: SparkSession, sf: str) -> DataFrame:
     return raw_csv.diverted_rows(spark, customer_files(spark, sf), list(CUSTOMER_COLUMNS))
 
 
+QUOTED_COLUMNS = ("doc_id", "source", "text")
+
+
+@REG.query(
+    "quoted_load",
+    f"""select {', '.join(f"case when c.{c} in ('', 'NULL', 'null') then null else c.{c} end as {c}" for c in QUOTED_COLUMNS)}
+    from (select cast(doc_id as varchar) as doc_id, source, text from documents) c""",
+)
+def quoted_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as CSV, line breaks and all, then loaded back from all splits of the files."""
+    path = scratch_folder(spark, "quoted-load")
+    raw_csv.write_csv(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text"), path)
+    return quoted.read_quoted_csv(spark, path, list(QUOTED_COLUMNS))
+
+
 REG.add(
     "raw_preview",
     lambda s, d: raw_csv.preview(
