@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from martloom.functions import documents as D
 from martloom.functions.names import is_safe_name
 from martloom.functions.text import SPEC_SECRET_MARKERS, contains_any
-from martloom.operators.unnest import unnest
+from martloom.operators.unnest import unbroadcast, unnest
 
 # List and text caps. All entries of a list are judged; what lies beyond its cap is marked. Longer texts are refused.
 KEY_ITEMS, MEASURE_ITEMS, DEGENERATE_ITEMS, DATE_ITEMS = 6, 8, 8, 4
@@ -66,9 +66,10 @@ def parse(proposals: DataFrame) -> DataFrame:
 
     The text is read once into typed fields; ``doc`` only answers what the types cannot, such as
     whether a member was given at all. Each cleaning step is its own projection or transform, so no
-    expression is evaluated more than once.
+    expression is evaluated more than once. Texts are dealt out by dataset first: that is the shuffle of the join that follows, texts are
+    smaller than what they are parsed into, and a table in few files is parsed by all tasks.
     """
-    read = proposals.withColumns(
+    read = proposals.repartition("dataset_id").withColumns(
         {"doc": D.parse(F.col("payload")), "given": F.from_json("payload", PAYLOAD_TYPE)}
     )
     doc, given = F.col("doc"), F.col("given")
@@ -151,7 +152,7 @@ def _outside(values: Column, allowed: str) -> Column:
 
 def checked(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
     """Parsed proposals with ``broken``: the (rule, subject) pairs in checking order."""
-    joined = parse(proposals).join(column_sets, "dataset_id", "left")
+    joined = parse(proposals).join(unbroadcast(column_sets), "dataset_id", "left")
     doc, dims, marts = F.col("doc"), F.col("dimensions"), F.col("marts")
 
     def rule(name: str, broken: Column, subject: Column | None = None, within: Column | bool = True) -> Column:
@@ -329,7 +330,7 @@ def unknown_columns(specs: DataFrame, mappings: DataFrame) -> DataFrame:
         "proposal_id", "dataset_id", F.col("place.used_in").alias("used_in"),
         F.explode("place.columns").alias("name"),
     )
-    return used.join(mappings.select("dataset_id", "name"), ["dataset_id", "name"], "left_anti").select(
+    return used.join(unbroadcast(mappings.select("dataset_id", "name")), ["dataset_id", "name"], "left_anti").select(
         "proposal_id", "used_in", F.col("name").alias("column_name")
     )
 
