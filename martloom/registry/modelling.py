@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from martloom.operators import lineage as L
 from martloom.operators import mapping as M
 from martloom.operators import proposals as P
+from martloom.operators.unnest import unbroadcast
 from martloom.plans import spec as S
 from martloom.registry.common import Registry
 from martloom.registry.retail import STG_SQL
@@ -84,7 +85,7 @@ REG.add(
     "transformable_datasets",
     lambda s, d: S.transformable(
         # Datasets in review have no measures yet, and those in furniture nothing else.
-        effective(s, d).join(
+        unbroadcast(effective(s, d)).join(
             table(s, d, "customer").select(F.col("c_custkey").alias("dataset_id"), "c_mktsegment"), "dataset_id"
         ).withColumn("role", F.expr(SEEN_ROLE))
     ),
