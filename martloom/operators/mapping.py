@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from martloom.functions import documents as D
 from martloom.functions.names import is_safe_name, strip_all
 from martloom.functions.text import PLAN_SECRET_MARKERS, contains_any
-from martloom.operators.unnest import unnest
+from martloom.operators.unnest import unbroadcast, unnest
 from martloom.plans.spec import MEASURE_ROLES, NUMERIC_TYPES
 
 # Roles a mapping may have, and those that make a column a label.
@@ -108,7 +108,8 @@ def review_suggestions(payloads: DataFrame, profiles: DataFrame) -> DataFrame:
     ``payloads`` holds (dataset_id, payload); ``profiles`` (dataset_id, raw_column_name) says which
     columns exist. A payload that cannot be used at all yields one row at position -1.
     """
-    doc = payloads.select(
+    # Dealt out first, so that a table in few files is parsed by all tasks.
+    doc = payloads.repartition("dataset_id").select(
         "dataset_id",
         contains_any(F.col("payload"), PLAN_SECRET_MARKERS).alias("secret"),
         D.parse(F.col("payload")).alias("doc"),
@@ -139,7 +140,7 @@ def review_suggestions(payloads: DataFrame, profiles: DataFrame) -> DataFrame:
         F.coalesce(F.try_variant_get(i, "$.needs_review", "boolean"), F.lit(False)).alias("asked_review"),
         D.safe_text(D.text(i, "$.reason"), 512, collapse=False).alias("reason"),
     )
-    known = profiles.select("dataset_id", "raw_column_name", F.lit(True).alias("known"))
+    known = unbroadcast(profiles.select("dataset_id", "raw_column_name", F.lit(True).alias("known")))
     checked = fields.join(known, ["dataset_id", "raw_column_name"], "left")
     c = F.col("confidence")
     broken = F.array_compact(
