@@ -11,7 +11,7 @@ from martloom.functions import documents as D
 from martloom.functions.names import SAFE_NAME, collapse_spaces, strip_all
 from martloom.functions.text import PLAN_SECRET_MARKERS, SECRET_MARKERS, contains_any
 from martloom.operators.proposals import BASE_TERMS
-from martloom.operators.unnest import unnest
+from martloom.operators.unnest import unbroadcast, unnest
 
 # Entries a reader of the first few would see, and the longest texts.
 QUESTIONS, QUESTION_LENGTH, INTENT_LENGTH = 5, 180, 128
@@ -58,7 +58,7 @@ def screen_questions(payloads: DataFrame, terms: list[str], catalogs: DataFrame
     if catalogs is not None:
         # One catalog's words, as many as its marts have fields.
         own = catalogs.groupBy(*keys).agg(F.collect_set("term").alias("__terms"))
-        read = read.join(own, keys, "left")
+        read = read.join(unbroadcast(own), keys, "left")
     read = read.withColumn("doc", D.parse(F.col("payload")))
     read = read.withColumn("items", D.items(F.col("doc"), "$.suggested_questions"))
     stop = (
