@@ -2,8 +2,9 @@
 
 A mart that stores how many orders each of its groups has cannot say how many a coarser group has, since an order may be in
 several. Beside such a mart goes a table of members: keys get numbers from a dictionary, and each group holds
-them as bitmaps of 32,768 numbers. Bitmaps of any groups are joined by ``or``, so every coarser count is exact and needs
-no key again.
+them as bitmaps of 64 numbers, one long each. Bitmaps of any groups are joined by ``or``, so every coarser count is exact and needs
+no key again. A group with few members, far apart, has a long for each of them and never more, so members take no more room than the
+rows they come from, however many groups there are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ def dictionary(rows: DataFrame, key: str, near: str | None = None, folder: str |
     """(``key``, ``number``) with one number for each key that is not NULL.
 
     Keys are numbered along ``near``, the smallest value that goes with a key, or else along themselves. Groups that follow ``near``, such as months, then have
-    their members in few bitmaps. A task numbers its keys without gaps and leaves the rest of its last bitmap free, so numbers need no
+    their members in few bitmaps. A task numbers its keys without gaps and leaves the rest of its numbers free, so numbers need no
     pass over all tasks. They are written down, in ``folder`` or in the shared folder, since another run could deal keys otherwise.
     """
     spark = rows.sparkSession
@@ -34,17 +35,17 @@ def dictionary(rows: DataFrame, key: str, near: str | None = None, folder: str |
 def members(rows: DataFrame, dimensions: list[str], key: str, numbers: DataFrame) -> DataFrame:
     """(dimensions, ``bucket``, ``bits``): the members of each group, NULL groups included. Keys that are NULL are no members."""
     found = rows.select(*dimensions, key).join(numbers, key)
-    return found.groupBy(*dimensions, F.bitmap_bucket_number("number").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
-    )
+    # 64 is two to the sixth: the number's upper bits name the bitmap, its lower six the place in it.
+    bit = F.expr("shiftleft(1L, cast(number & 63 as int))")
+    return found.groupBy(*dimensions, F.shiftright("number", 6).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def coarser(found: DataFrame, dimensions: list[str]) -> DataFrame:
     """Members of the groups of fewer dimensions."""
-    return found.groupBy(*dimensions, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return found.groupBy(*dimensions, "bucket").agg(F.bit_or("bits").alias("bits"))
 
 
 def counted(found: DataFrame, dimensions: list[str]) -> DataFrame:
     """(dimensions, ``members``): how many distinct keys each group has. Without dimensions there is one row, 0 without members."""
-    ones = coarser(found, dimensions).select(*dimensions, F.bitmap_count("bits").alias("__ones"))
+    ones = coarser(found, dimensions).select(*dimensions, F.bit_count("bits").alias("__ones"))
     return ones.groupBy(*dimensions).agg(F.coalesce(F.sum("__ones"), F.lit(0)).alias("members"))
