@@ -52,7 +52,8 @@ WORDS = {w: k for k, w in enumerate((
 ), 1)}
 LONGEST_WORD = 24
 LEAST_LETTERS, LEAST_COUNT = 4, 3  # of a word from the texts; shorter ones turn up in random values
-SLOTS = 1 << 20  # of the bitmap of values' words
+SLOTS, MOST_SLOTS = 1 << 20, 1 << 27  # of the bitmap of values' words: as many as keep it sparse, at the least and at the most
+SPARSE = 32  # slots for a piece, so that about one other word in 32 is let through whatever the number of pieces
 TEXT_BYTES = 1 << 22  # text read at once
 LEET = str.maketrans("01345$@7", "oleassat")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -181,8 +182,19 @@ def ranks(counts: dict[str, int], total: int) -> dict[str, int]:
 _WORD_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789_/+=" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+def slots_for(pieces: int) -> int:
+    """The bitmap's size, a power of two."""
+    return min(MOST_SLOTS, max(SLOTS, 1 << (SPARSE * pieces - 1).bit_length() if pieces else 0))
+
+
+def lets_through(wanted: np.ndarray, word: bytes) -> bool:
+    """Whether the packed bitmap has the word's checksum."""
+    slot = zlib.crc32(word) % (8 * len(wanted))
+    return bool(wanted[slot >> 3] >> (slot & 7) & 1)
+
+
 def counted(raws: list[bytes], wanted: np.ndarray | None = None) -> tuple[dict[str, int], int]:
-    """How often texts have the words that ``wanted``, a bitmap of checksums, lets through, and how many words there are. Values are left out."""
+    """How often texts have the words that ``wanted``, a packed bitmap of checksums, lets through, and how many words there are. Values are left out."""
     plain = []
     for raw in raws:
         if _has_context(raw):
@@ -191,7 +203,7 @@ def counted(raws: list[bytes], wanted: np.ndarray | None = None) -> tuple[dict[s
     placed, words = coded_words(b" ".join(plain))
     times = np.bincount(placed, minlength=len(words)).tolist()
     whole = [(w, n) for w, n in zip(words, times) if LEAST_LETTERS <= len(w) <= LONGEST_WORD and w.isalpha()]
-    return {w.decode(): n for w, n in whole if wanted is None or wanted[zlib.crc32(w) % SLOTS]}, sum(n for _, n in whole)
+    return {w.decode(): n for w, n in whole if wanted is None or lets_through(wanted, w)}, sum(n for _, n in whole)
 
 
 FOUND = "base array<struct<start: int, kind: int, stop: int>>, base_sha256 string, guessed array<struct<start: int, stop: int, value: string>>"
@@ -207,13 +219,17 @@ def _searched(texts: pd.Series) -> pd.DataFrame:
 
 
 def _bitmap(pieces: DataFrame) -> np.ndarray:
-    """Which checksums the pieces have. A number for 64 slots each comes to the driver, whatever the number of pieces."""
-    slot = F.crc32(F.col("piece").cast("binary")) % SLOTS
+    """Which checksums the pieces have, packed. A number for 64 slots each comes to the driver, at most 16 MB of them.
+
+    Its size follows the number of pieces: in a bitmap of one size more and more words that are in no value would pass as the pieces grow.
+    """
+    size = slots_for(pieces.count())
+    slot = F.crc32(F.col("piece").cast("binary")) % size
     words = pieces.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
-    bits = np.zeros(SLOTS // 64, np.int64)
-    for r in words.collect():
+    bits = np.zeros(size // 64, np.int64)
+    for r in words.toLocalIterator():
         bits[r["word"]] = r["bits"]
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
+    return bits.astype("<i8").view(np.uint8)
 
 
 def word_counts(docs: DataFrame, pieces: DataFrame) -> tuple[DataFrame, int]:
