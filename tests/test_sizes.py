@@ -85,3 +85,29 @@ def test_members_of_many_groups_take_room_by_their_number(spark):
     assert room <= 8 * 600
     for by, want in (([], [(600,)]), (["area"], [(0, 300), (1, 300)]), (["shop"], [(s, 3) for s in range(200)])):
         assert sorted(map(tuple, distinct_counts.counted(found, by).collect())) == want
+
+
+def joined_columns(df):
+    """The columns that go into the joins of a plan."""
+    found = set()
+
+    def walk(node):
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join":
+            found.update(c.output().apply(k).name() for c in children for k in range(c.output().size()))
+        for c in children:
+            walk(c)
+
+    walk(df._jdf.queryExecution().optimizedPlan())
+    return found
+
+
+def test_insights_meet_charts_without_their_texts(spark):
+    insight = {"summary": "up", "key_findings": ["it proves that"], "tags": ["trend", "trend"], "confidence": "low"}
+    document = {"question_insight": insight, "chart_insights": [{**insight, "chart_title": "Sales"}, {**insight, "chart_id": "gone"}]}
+    charts = spark.createDataFrame([(1, "z", "SALES", 1)], "run_id long, chart_id string, title string, sort_order int")
+    rows = Z.screen_insights(payloads(spark, document, "run_id"), charts)
+    assert not joined_columns(rows) & {"payload", "doc", "summary", "findings", "i"}
+    got = sorted((r.run_id, r.position, r.violations, r.chart_id) for r in rows.filter("run_id = 1").collect())
+    assert got == [(1, 0, "finding_claim", None), (1, 1, "finding_claim", "z"), (1, 2, "unknown_chart|finding_claim", None)]
+    assert [r.violations for r in rows.filter("run_id = 2 and position = 1").collect()] == ["unknown_chart|finding_claim"]
