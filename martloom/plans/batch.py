@@ -64,6 +64,13 @@ def distinct_plans(plans: DataFrame) -> DataFrame:
     return plans.withColumn("plan_key", F.sha2(F.to_json(F.struct(*ASKED)), 256))
 
 
+def kept(plans: DataFrame) -> DataFrame:
+    """``plans`` as a copy in the shared folder, for plans that are checked on the way and read more than once."""
+    path = scratch_folder(plans.sparkSession, "plans")
+    plans.write.parquet(path)
+    return plans.sparkSession.read.schema(plans.schema).parquet(path)
+
+
 def run_batch(plans: DataFrame, marts: dict[str, DataFrame], catalog: dict[str, dict]) -> DataFrame:
     """The results of accepted plans (``plan_checks.accepted``), as rows of ``plan_key``, ``position``, ``members``, ``metric`` and ``value``.
 
@@ -75,9 +82,7 @@ def run_batch(plans: DataFrame, marts: dict[str, DataFrame], catalog: dict[str,
     asked = distinct_plans(plans).dropDuplicates(["plan_key"]).select("plan_key", *ASKED)
     asked = asked.withColumn("__set", F.array_sort(F.array_union("dimensions", F.transform("filters", lambda f: f["field"]))))
     # Every mart reads the distinct plans, which may take long to check and are short once they are.
-    path = scratch_folder(plans.sparkSession, "plans")
-    asked.write.parquet(path)
-    asked = plans.sparkSession.read.schema(asked.schema).parquet(path)
+    asked = kept(asked)
     # At most one set for each subset of a catalog's dimensions.
     sets: dict[str, list[list[str]]] = {}
     for row in asked.select("source_model", "__set").distinct().orderBy("source_model", "__set").collect():

@@ -137,8 +137,8 @@ CELLS_SQL = " union all ".join(
     select plan_id, cast(position as bigint) as position, coalesce(member, '') as members, metric, value from ranked where position < row_limit""",
 )
 def plan_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Every accepted plan's result: marts are aggregated once, plans that ask the same are run once."""
-    plans = B.distinct_plans(Q.accepted(*plan_frames(spark, sf)))
+    """Every accepted plan's result: plans are checked once, marts are aggregated once, plans that ask the same are run once."""
+    plans = B.kept(B.distinct_plans(Q.accepted(*plan_frames(spark, sf))).select("plan_id", "plan_key", *B.ASKED))
     marts = {name: mart(spark, sf, name) for name in RETAIL_CATALOG}
     found = B.run_batch(plans, marts, RETAIL_CATALOG)
     members = F.transform("members", lambda m: F.coalesce(m, F.lit("")))

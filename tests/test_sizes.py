@@ -111,3 +111,32 @@ def test_insights_meet_charts_without_their_texts(spark):
     got = sorted((r.run_id, r.position, r.violations, r.chart_id) for r in rows.filter("run_id = 1").collect())
     assert got == [(1, 0, "finding_claim", None), (1, 1, "finding_claim", "z"), (1, 2, "unknown_chart|finding_claim", None)]
     assert [r.violations for r in rows.filter("run_id = 2 and position = 1").collect()] == ["unknown_chart|finding_claim"]
+
+
+def test_plans_are_dealt_out_before_they_are_parsed(spark):
+    from martloom.operators import plan_checks as Q
+    from martloom.plans.retail import RETAIL_CATALOG
+    from martloom.sources.inline import catalog
+
+    plans = spark.createDataFrame([(i, json.dumps({"question": "q"})) for i in range(40)], "plan_id long, payload string").coalesce(1)
+    checked = Q.checked(plans, catalog(spark, RETAIL_CATALOG))
+    # So few rows are put together again at run time, but by a shuffle of the texts below the parser.
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("parseJson(") < plan.index("RepartitionByExpression [plan_id")
+    assert {tuple(r.broken) for r in checked.collect()} and checked.count() == 40
+
+
+def test_a_batch_checks_its_plans_once(spark, sf_dir, monkeypatch):
+    from martloom.plans import batch
+    from martloom.registry import analysis
+
+    copies, keep = [], batch.kept
+
+    def counted(plans):
+        copies.append(keep(plans))
+        return copies[-1]
+
+    monkeypatch.setattr(batch, "kept", counted)
+    found = analysis.REG.queries["plan_batch"](spark, sf_dir)
+    assert len(copies) == 2 and "try_parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "VariantExpressionEvalUtils" not in found._jdf.queryExecution().optimizedPlan().toString()
