@@ -135,3 +135,38 @@ def test_nulls_repeats_and_clashing_names(spark):
     # One each of the equal texts, the texts without words, the two around one passage, and the repeated row.
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, 6, 7, None, 9, 10], key=str)
     assert near.representatives(docs.limit(0)).count() == 0
+
+
+def test_simhash_classes_are_checked_and_spare_later_groups(spark, monkeypatch):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*base[:k], *base[k + 1 :]])) for k in range(0, 80, 2)] + [(1000 + k, f"other text {k} " * 9) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    judged, mates, write, pairs = [], [], near.written, near.classmates
+
+    def counted(df):
+        out = write(df)
+        if "alike" in out.columns:
+            judged.append(out.count())
+        return out
+
+    def noted(nodes):
+        out = write(pairs(nodes))
+        mates.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "written", counted)
+    monkeypatch.setattr(near, "classmates", noted)
+    assert {r["doc_id"] for r in near.representatives(docs).select("doc_id").collect()} == kept_by_all_pairs(rows)
+    # One check a set with its class's head connects the crowd; no band compares its sets again.
+    assert mates == [39] and not judged
+    monkeypatch.setattr(near, "classmates", lambda nodes: pairs(nodes).limit(0))
+    assert {r["doc_id"] for r in near.representatives(docs).select("doc_id").collect()} == kept_by_all_pairs(rows)
+    assert judged
+
+
+def test_unlike_sets_of_a_simhash_class_stay_apart(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(6)]
+    monkeypatch.setattr(near, "majority", lambda grams: 7)
+    nodes = spark.createDataFrame([(k, 7) for k in range(6)], "node long, fp long")
+    assert near.classmates(nodes).count() == 5
+    assert near.representatives(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
