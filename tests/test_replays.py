@@ -162,3 +162,18 @@ def test_types_from_masks_are_those_of_distinct_values(spark):
     tests = {"boolean": F.lower("v").isin(*profiling.BOOLEAN_WORDS), "integer": profiling.is_integer_text(F.col("v")), "decimal": profiling.is_decimal_text(F.col("v")), "date": profiling.is_date_text(F.col("v"))}
     for r in values.select("v", profiling.type_mask(F.col("v")).alias("mask"), *(t.alias(k) for k, t in tests.items())).collect():
         assert {k for k, b in profiling.MASK.items() if r["mask"] & b} == {k for k in tests if r[k]}, r
+
+
+@pytest.mark.parametrize("key", ["text", "timestamp", "decimal"])
+def test_places_of_secrets_need_no_row_per_character(spark, key, monkeypatch):
+    monkeypatch.setattr(redaction, "TEXT_BYTES", 50)
+    kind = {"text": "string", "timestamp": "timestamp", "decimal": "decimal(20,2)"}[key]
+    texts = [(k, f"\U0001f600{'é' * k}pass-{k % 3} and word{k} pass") for k in range(40)] + [(50, None), (51, "")]
+    df = spark.createDataFrame(texts, "n int, text string").selectExpr(f"cast({'timestamp_seconds(n)' if key == 'timestamp' else 'n'} as {kind}) as id", "text", "n").repartition(3)
+    secrets = ["pass-1", "pass-2 and", "é" * 30, "d7", "w"]
+    table = spark.createDataFrame([(s,) for s in secrets], "secret string")
+    found = redaction.spans(df, "id", "text", table)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and found.schema["id"].dataType == df.schema["id"].dataType
+    got = {r["n"]: r["text"] for r in redaction.redact(df, "id", "text", table).collect()}
+    assert got == {k: None if t is None else redacted(t, secrets) for k, t in texts}
