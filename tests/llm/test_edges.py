@@ -198,6 +198,24 @@ def test_components_of_a_path_a_star_and_nothing(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_plain_words_are_spared_the_normalizer():
+    mine = tokens.Encoder(tokens.tokenizer_path())
+    whole, asked = mine._tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, lines, **kwargs):
+            asked.extend(lines)
+            return whole.encode_batch_fast(lines, **kwargs)
+
+    mine._tokenizer = Watched()
+    texts = ["plain words, Here", None, "", " caf\u00e9 \u0130x don't 12 <|endoftext|>. x", "plain"]
+    lengths, ids = mine.encode(pa.array(texts, pa.large_string()))
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, tokens.END_ID] for t in texts]
+    assert lengths == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert not any(w in line.split() for line in asked for w in ("plain", "words", "here", "Here"))
+    assert tokens._listed(pa.array(["skipped", "\u00e9", "", "b"])[1:]) == ["\u00e9".encode(), b"", b"b"] and tokens._listed(pa.array([], pa.string())) == []
+
+
 def test_tokens(spark, docs, empty):
     got = [tuple(r) for r in tokens.read_documents(tokens.write_shards(docs, limit=1000)).collect()]
     want = brute.token_rows([(d, t) for d, t, *_ in ROWS if d is not None], tokens.tokenizer_path())
