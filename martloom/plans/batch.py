@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martloom.plans.analysis import MAX_LIMIT
-from martloom.session import scratch_folder
+from martloom.session import copied
 
 ASKED = ("source_model", "metrics", "dimensions", "filters", "sort", "row_limit")
 EXACT = "decimal(38,6)"
@@ -66,9 +66,7 @@ def distinct_plans(plans: DataFrame) -> DataFrame:
 
 def kept(plans: DataFrame) -> DataFrame:
     """``plans`` as a copy in the shared folder, for plans that are checked on the way and read more than once."""
-    path = scratch_folder(plans.sparkSession, "plans")
-    plans.write.parquet(path)
-    return plans.sparkSession.read.schema(plans.schema).parquet(path)
+    return copied(plans, "plans")
 
 
 def run_batch(plans: DataFrame, marts: dict[str, DataFrame], catalog: dict[str, dict]) -> DataFrame:

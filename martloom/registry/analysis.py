@@ -18,7 +18,7 @@ from martloom.operators.proposals import BASE_TERMS
 from martloom.registry.common import Registry
 from martloom.registry.modelling import ACCEPTED_SQL
 from martloom.registry.modelling import accepted as accepted_specs
-from martloom.registry.retail import MART_SQL, mart
+from martloom.registry.retail import MART_SQL, marts
 from martloom.registry.workspace import NORMALIZED
 from martloom.sources import payloads as Y
 from martloom.sources.feeds import table
@@ -139,8 +139,7 @@ CELLS_SQL = " union all ".join(
 def plan_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every accepted plan's result: plans are checked once, marts are aggregated once, plans that ask the same are run once."""
     plans = B.kept(B.distinct_plans(Q.accepted(*plan_frames(spark, sf))).select("plan_id", "plan_key", *B.ASKED))
-    marts = {name: mart(spark, sf, name) for name in RETAIL_CATALOG}
-    found = B.run_batch(plans, marts, RETAIL_CATALOG)
+    found = B.run_batch(plans, marts(spark, sf), RETAIL_CATALOG)
     members = F.transform("members", lambda m: F.coalesce(m, F.lit("")))
     return plans.select("plan_id", "plan_key").join(found, "plan_key").select("plan_id", "position", members.alias("members"), "metric", "value")
 
