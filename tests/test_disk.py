@@ -121,3 +121,20 @@ def test_a_batch_joins_its_lines_before_its_plans(spark, tables, large):
     assert "l_orderkey" not in planned(found) and "lineitem" not in planned(found)
     for name, copy in marts(spark, tables).items():
         assert sorted(map(str, copy.collect())) == sorted(map(str, mart(spark, tables, name).collect())), name
+
+
+def test_a_profile_moves_lines_twice_before_its_cells(spark, tables, large):
+    from martloom.operators.profiling import NULL_WORDS
+    from martloom.registry import profiling
+    from martloom.sources.feeds import retail_feed
+
+    profile = profiling.REG.queries["profile_columns"](spark, tables)
+    plan = planned(profile)
+    assert {k for k in ("l_orderkey", "l_partkey", "l_suppkey") if f"hashpartitioning({k}#" in plan} == {"l_orderkey", "l_partkey"}
+    cells = [r.asDict() for r in retail_feed(spark, tables).collect()]
+    found = {r.raw_column_name: (r.null_count, r.unique_count) for r in profile.collect()}
+    assert len(cells) > len(TABLES["lineitem"][1])
+    for name in cells[0]:
+        values = [(c[name], c["order_line_id"]) for c in cells if c[name] is not None and c[name] not in NULL_WORDS]
+        # A value counts as distinct where it has a place: the line without an order has none.
+        assert found[name] == (len(cells) - len(values), len({v for v, line in values if line})), name
