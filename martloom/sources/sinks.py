@@ -22,9 +22,9 @@ def parquet_writer(folder: str, partitioned: dict[str, str] | None = None) -> Ca
     def write(name: str, df: DataFrame) -> DataFrame:
         path = f"{folder.rstrip('/')}/{name}"
         if name in by:
-            df.hint("rebalance", F.col(by[name])).write.mode("overwrite").partitionBy(by[name]).parquet(path)
+            df.hint("rebalance", F.col(by[name])).write.mode("overwrite").option("compression", "zstd").partitionBy(by[name]).parquet(path)
         else:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         # The stated schema keeps types that partition folders would otherwise have guessed.
         return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 

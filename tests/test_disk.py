@@ -138,3 +138,24 @@ def test_a_profile_moves_lines_twice_before_its_cells(spark, tables, large):
         values = [(c[name], c["order_line_id"]) for c in cells if c[name] is not None and c[name] not in NULL_WORDS]
         # A value counts as distinct where it has a place: the line without an order has none.
         assert found[name] == (len(cells) - len(values), len({v for v, line in values if line})), name
+
+
+def test_a_layer_begins_when_the_shuffles_before_it_are_gone(spark, tables, large, tmp_path):
+    from martloom.plans.retail import RetailModel
+    from martloom.sources import sinks
+    from martloom.sources.feeds import retail_feed
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    lazy, model = (RetailModel(retail_feed(spark, tables)) for _ in range(2))
+    setting, before, left = spark.conf.get(key, "false"), shuffled_files(spark), {}
+    save = sinks.parquet_writer(str(tmp_path), {"fact_sales": "order_month"})
+
+    def writer(name, df):
+        left[name] = left_after(spark, before)
+        return save(name, df)
+
+    written = model.write(writer)
+    assert list(left) == [n for names in RetailModel.LAYERS.values() for n in names] and not any(left.values())
+    assert not left_after(spark, before) and spark.conf.get(key, "false") == setting
+    for name, df in written.items():
+        assert sorted(map(str, df.collect())) == sorted(map(str, lazy.model(name).select(*df.columns).collect())), name
